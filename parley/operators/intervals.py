@@ -113,36 +113,34 @@ def dominant_speaker(
 # together; all windows below run inside it, and bins of a hot meeting run apart.
 
 
-def sweep(
-    intervals: DataFrame, keys: list[str], extra: list[str], who: str = "speaker_id", bin_ms: int = SLAB_MS
-) -> DataFrame:
-    """Edges of the clipped turns with `n_speakers`, the number of different `who` heard from t on.
+def clipped_edges(intervals: DataFrame, keys: list[str], extra: list[str], bin_ms: int = SLAB_MS) -> DataFrame:
+    """Starts (d = 1) and ends (d = -1) of the turns, clipped to the bins they touch.
 
-    `d` is +1 at a start and -1 at an end; `real` is false where a bin cut the turn.
+    `real` is false where a bin cut the turn.  A (key, bin) comes together in one partition.
     """
     live = intervals.where(F.col("start_ms") < F.col("end_ms")).withColumn(
         "_bin", F.explode(_bins(F.col("start_ms"), F.col("end_ms"), bin_ms))
     )
     lo, hi = F.col("_bin") * bin_ms, (F.col("_bin") + 1) * bin_ms
-    edges = live.select(
+    start, end = F.col("start_ms").cast("long"), F.col("end_ms").cast("long")
+    return live.select(
         *keys,
-        *dict.fromkeys([who, *extra]),
+        *dict.fromkeys(extra),
         "_bin",
         F.inline(
             F.array(
-                F.struct(
-                    F.greatest(F.col("start_ms").cast("long"), lo).alias("t"),
-                    F.lit(1).alias("d"),
-                    (F.col("start_ms") >= lo).alias("real"),
-                ),
-                F.struct(
-                    F.least(F.col("end_ms").cast("long"), hi).alias("t"),
-                    F.lit(-1).alias("d"),
-                    (F.col("end_ms") <= hi).alias("real"),
-                ),
+                F.struct(F.greatest(start, lo).alias("t"), F.lit(1).alias("d"), (start >= lo).alias("real")),
+                F.struct(F.least(end, hi).alias("t"), F.lit(-1).alias("d"), (end <= hi).alias("real")),
             )
         ),
     ).repartition(*keys, "_bin")
+
+
+def sweep(
+    intervals: DataFrame, keys: list[str], extra: list[str], who: str = "speaker_id", bin_ms: int = SLAB_MS
+) -> DataFrame:
+    """Edges of the clipped turns with `n_speakers`, the number of different `who` heard from t on."""
+    edges = clipped_edges(intervals, keys, [who, *extra], bin_ms)
     one = W.partitionBy(*keys, "_bin", who).orderBy("t")
     now = F.sum("d").over(one.rangeBetween(W.unboundedPreceding, 0))
     was = F.coalesce(F.sum("d").over(one.rangeBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -183,3 +183,85 @@ def noisy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TAGS = ["(Coughs)", "[ blank_audio ]", "Music", "♪ music ♪", "(Clearing  throat)", "...", "?", "", "(door slams)",
         "[Background_Music] Thanks for watching", "Subscribe", "12 34"]
+
+
+def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of `speech_frames`, numbered on their own in every stream of a meeting."""
+    f = speech_frames(spark, sf_dir).withColumn("_slab", slab_of(F.col("frame_idx"), 50_000))
+    ranked = running(f, ["meeting_id", "stream_id"], "_slab", ["frame_idx"], [Run("_n", "sum", F.lit(1))])
+    return ranked.select("meeting_id", "stream_id", (F.col("_n") - 1).cast("long").alias("frame_idx"), "x", "value", "event_id")
+
+
+def hypothesis_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second opinion on `intervals`: every seventh turn late, and partly under another name."""
+    moved = F.col("interval_id") % 7 == 0
+    return intervals(spark, sf_dir).withColumn(
+        "start_ms", F.when(moved, F.least(F.col("start_ms") + 250, F.col("end_ms"))).otherwise(F.col("start_ms"))
+    ).withColumn(
+        "speaker_id",
+        F.when(moved & (F.col("speaker_id") == "SPEAKER_error"), "SPEAKER_view").otherwise(F.col("speaker_id")),
+    )
+
+
+def hop_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every utterance as three overlapping recognition windows with timed words."""
+    s = stt_windows(spark, sf_dir).withColumn("w", tx.words(F.col("text")))
+    n, length = F.size("w"), F.col("end_ms") - F.col("start_ms")
+    tenth = lambda x, k: F.floor(x * k / 10)
+    s = s.withColumn("n", n).withColumn("len", length)
+
+    def hop(no: int, a: int, b: int) -> Column:
+        first, last = tenth(F.col("n"), a), tenth(F.col("n"), b)
+        part = F.slice("w", (first + 1).cast("int"), (last - first).cast("int"))
+        timed = F.transform(
+            part,
+            lambda t, i: F.struct(
+                t.alias("word"),
+                (F.col("start_ms") + F.floor((first + i) * F.col("len") / F.col("n"))).alias("start_ms"),
+                (F.col("start_ms") + F.floor((first + i + 1) * F.col("len") / F.col("n"))).alias("end_ms"),
+            ),
+        )
+        return F.struct(
+            F.lit(no).alias("hop"),
+            (F.col("start_ms") + tenth(F.col("len"), a)).alias("hop_start"),
+            (F.col("start_ms") + tenth(F.col("len"), b)).alias("hop_end"),
+            F.array_join(part, " ").alias("hop_text"),
+            timed.alias("words"),
+        )
+
+    hops = F.array(hop(0, 0, 6), hop(1, 3, 9), hop(2, 6, 10))
+    return s.select("meeting_id", "conv_id", "turn", F.inline(hops)).select(
+        "meeting_id", "conv_id", F.col("hop_start").alias("start_ms"), F.col("hop_end").alias("end_ms"),
+        F.col("hop_text").alias("text"), "words", (F.col("turn") * 10 + F.col("hop")).alias("window_id"),
+    )
+
+
+def day_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The utterances on the day meetings, with the same hop variants as separate segments."""
+    h = hop_windows(spark, sf_dir)
+    return h.select(
+        "meeting_id", "conv_id", "start_ms", "end_ms", "text",
+        F.concat(F.lit("SPEAKER_0"), (F.floor(F.col("window_id") / 10) % 2).cast("string")).alias("speaker_id"),
+        F.lit(False).alias("is_overlap"), (F.col("window_id") % 10 == 0).alias("provisional"),
+        F.array().cast("array<string>").alias("overlap_speakers"),
+    )
+
+
+def partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's partial extracts: one part per utterance, its sentences as decisions."""
+    decision = lambda s: F.struct(
+        s.alias("description"), F.concat(F.lit(" "), "role").alias("executor"), F.lit(" soon ").alias("due_date"),
+        F.lit(" ").alias("status"),
+    )
+    late = F.col("turn") >= 2
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("meeting_id"),
+        F.col("turn").alias("part"),
+        F.when(F.col("turn") % 2 == 1, F.array_join(F.slice(tx.words(F.col("text")), 1, 3), " ")).otherwise("  ").alias("subject_hint"),
+        F.concat(F.lit("S"), F.col("turn").cast("string")).alias("subject"),
+        F.when(late, F.concat(F.lit(" day "), F.col("turn").cast("string"))).otherwise("").alias("meeting_date"),
+        F.lit("").alias("location"),
+        "text",
+        F.when(F.col("role") == "system", " ").otherwise(F.col("text")).alias("summary"),
+        F.transform(F.split("text", r"\."), decision).alias("decisions"),
+    )
