@@ -28,7 +28,8 @@ def w10(spark, d):
     w = s.select("meeting_id", "conv_id", "turn", F.posexplode(F.transform("w", lambda t, i: F.struct(
         t.alias("word"), at(i).alias("start_ms"), at(i + 1).alias("end_ms")))).alias("pos", "x")).select(
         "meeting_id", "conv_id", "turn", "pos", "x.*")
-    return rc.speaker_runs(w, src.intervals(spark, d), ["meeting_id", "conv_id", "turn"]).select(
+    i = src.intervals(spark, d)
+    return rc.speaker_runs(w, i, iv.shared_regions(i), ["meeting_id", "conv_id", "turn"]).select(
         "conv_id", "turn", "speaker_id", "start_ms", "end_ms", "text", "is_overlap")
 
 

@@ -192,9 +192,20 @@ def mark_overlaps(
     )
 
 
+def shared_regions(intervals: DataFrame, bin_ms: int = BIN_MS) -> DataFrame:
+    """Atomic regions with two or more speakers, with the speakers in interval order."""
+    regions = atomic_regions(intervals, ["meeting_id"]).where("n_speakers >= 2")
+    ids = ["meeting_id", "region_start", "region_end"]
+    named = speakers_at(
+        regions.withColumn("mid", F.floor((F.col("region_start") + F.col("region_end")) / 2)), intervals, "mid", ids, bin_ms
+    )
+    in_order = F.array_sort(F.collect_list(F.struct("ord", "speaker_id")))
+    return named.groupBy(*ids).agg(F.transform(in_order, lambda x: x["speaker_id"]).alias("region_speakers"))
+
+
 def significant_overlap(
     windows: DataFrame,
-    intervals: DataFrame,
+    regions: DataFrame,
     ids: list[str],
     min_overlap_ms: int = 1200,
     min_region_ms: int = 250,
@@ -202,46 +213,31 @@ def significant_overlap(
 ) -> DataFrame:
     """Windows in which speakers truly share time, with the speakers in order of appearance.
 
-    Also gives the outer edge of the shared time (any shared piece, however short).
+    `regions` are the `shared_regions` of the turns.  Also gives the outer edge of the shared
+    time (any shared piece, however short).  One join and two aggregations.
     """
-    regions = atomic_regions(intervals, ["meeting_id"]).where("n_speakers >= 2")
     w = windows.select(*ids, F.col("start_ms").alias("w_start"), F.col("end_ms").alias("w_end"))
     shared = overlap_join(
         w, regions, ["meeting_id"], ("w_start", "w_end"), ("region_start", "region_end"), bin_ms
-    )
-    clip0 = F.greatest("w_start", "region_start")
+    ).select("*", F.posexplode("region_speakers").alias("pos", "speaker_id"))
     big = F.col("overlap_ms") >= min_region_ms
-    hits = (
-        shared.groupBy(*ids)
-        .agg(
-            F.sum(F.when(big, F.col("overlap_ms"))).alias("shared_ms"),
-            F.min(clip0).alias("ov_start"),
-            F.max(F.least("w_end", "region_end")).alias("ov_end"),
-        )
-        .where(F.col("shared_ms") >= min_overlap_ms)
+    per_speaker = shared.groupBy(*ids, "speaker_id").agg(
+        F.sum(F.when(big & (F.col("pos") == 0), F.col("overlap_ms")).otherwise(0)).alias("ms"),
+        F.min(F.greatest("w_start", "region_start")).alias("a"),
+        F.max(F.least("w_end", "region_end")).alias("b"),
+        F.min(F.when(big, F.struct("region_start", "pos"))).alias("seen"),
     )
-    # Names are looked up once per shared region, then joined to the windows that need them.
-    named = speakers_at(
-        regions.withColumn("mid", F.floor((F.col("region_start") + F.col("region_end")) / 2)),
-        intervals,
-        "mid",
-        ["meeting_id", "region_start"],
-    ).select("meeting_id", "region_start", "speaker_id", "ord")
-    people = (
-        shared.where(big)
-        .join(hits.select(*ids), ids, "left_semi")
-        .join(named, ["meeting_id", "region_start"])
-        .groupBy(*ids, "speaker_id")
-        .agg(F.min(F.struct("region_start", "ord")).alias("seen"))
-        .groupBy(*ids)
+    seen = F.collect_list(F.when(F.col("seen").isNotNull(), F.struct("seen", "speaker_id")))
+    return (
+        per_speaker.groupBy(*ids)
         .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("seen", "speaker_id"))),
-                lambda x: x["speaker_id"],
-            ).alias("speakers")
+            F.sum("ms").alias("shared_ms"),
+            F.min("a").alias("ov_start"),
+            F.max("b").alias("ov_end"),
+            F.transform(F.array_sort(seen), lambda x: x["speaker_id"]).alias("speakers"),
         )
+        .where(F.col("shared_ms") >= min_overlap_ms)
     )
-    return hits.join(people, ids)
 
 
 def merge_speaker_turns(

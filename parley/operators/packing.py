@@ -15,7 +15,7 @@ from parley.plans.slabs import Run, running, slab_of
 
 # Default budgets.
 BATCH_CHARS, ITEM_OVERHEAD, MAX_BATCHES, MAX_ITEMS = 10_000, 48, 2, 24
-SLAB_ROWS = 5_000
+SLAB_ROWS = 20_000
 
 
 def _pack(
@@ -43,11 +43,9 @@ def _pack(
             out.append((int(p), starts))
         return out, used
 
-    narrow = items.select(key, F.col(pos).cast("long").alias(pos), size.cast("long").alias("_size")).withColumn(
-        "_slab", slab_of(F.col(pos), slab_rows)
-    )
+    narrow = items.select(key, F.col(pos).cast("long").alias(pos), size.cast("long").alias("_size"))
     out = T.StructType([T.StructField(pos, T.LongType()), T.StructField("_starts", T.LongType())])
-    starts = carry_fold(narrow, [key], "_slab", slab_rows, [pos], fold, out)
+    starts = carry_fold(narrow, [key], [pos], slab_rows, fold, out, slab_rows)
     starts = starts.withColumn("_slab", slab_of(F.col(pos), slab_rows))
     numbered = running(starts, [key], "_slab", [pos], [Run("_last", "sum", F.col("_starts"))])
     first = F.when(F.col("_starts") > 0, F.col("_last") - F.col("_starts") + 1).otherwise(F.col("_last"))

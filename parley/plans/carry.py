@@ -21,17 +21,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
+from parley.plans.slabs import Run, running, slab_of
 from parley.session import ensure_checkpoint_dir
 
-# fold(carry, rows, end): `rows` are sorted; `end` is the order value no later row can be
-# below (None in the key's last slab, where everything must be closed).
+# fold(carry, rows, end): `rows` are sorted; `end` is the first order value of the next slab
+# (None in the key's last slab, where everything must be closed).
 Fold = Callable[[object, pd.DataFrame, int | None], tuple[list[tuple], object]]
 
+SLAB_ROWS = 20_000
+
 
 def carry_fold(
-    rows: DataFrame, keys: list[str], slab: str, width: int, order: list[str], fold: Fold, out: T.StructType
+    rows: DataFrame,
+    keys: list[str],
+    order: list[str],
+    coarse: int,
+    fold: Fold,
+    out: T.StructType,
+    slab_rows: int = SLAB_ROWS,
 ) -> DataFrame:
-    """Fold the rows of each key in order; `order` must be total and agree with the slabs."""
+    """Fold the rows of each key in `order`, which must be total; its first column is a number.
+
+    A slab is `slab_rows` neighbouring rows, however dense they are; `coarse` is the width of
+    the first column's steps used to count them.
+    """
     spark = rows.sparkSession
     ensure_checkpoint_dir(spark)
     key_fields = [rows.schema[k] for k in keys]
@@ -43,34 +56,40 @@ def carry_fold(
     blank = [None] * len(out.fields)
 
     def run(group: tuple, pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        used = state["_carry"].iloc[0] if len(state) else None
-        used = used if isinstance(used, str) else "null"
-        last = bool(state["_final"].iloc[0])
-        end = None if last else (int(group[-1]) + 1) * width
-        closed, carry = fold(json.loads(used), pdf.sort_values(order, kind="stable"), end)
-        head = list(group[:-1]) + [int(group[-1])]
+        used, end = state["_carry"].iloc[0], state["_end"].iloc[0]
+        closed, carry = fold(json.loads(used), pdf.sort_values(order, kind="stable"), None if pd.isna(end) else int(end))
+        head = [*group[:-1], int(group[-1])]
         data = [(*head, None, None, *r) for r in closed]
         left = json.dumps(carry, ensure_ascii=False)
         return pd.DataFrame([*data, (*head, used, left, *blank)], columns=schema.names).astype(object)
 
-    src = rows.withColumn("_slab", F.col(slab).cast("long")).persist()
     by = [*keys, "_slab"]
+    rows = rows.persist()
+    counted = running(
+        rows.withColumn("_coarse", slab_of(F.col(order[0]), coarse)), keys, "_coarse", order, [Run("_rank", "sum", F.lit(1))]
+    )
+    src = counted.withColumn("_slab", F.floor((F.col("_rank") - 1) / slab_rows)).drop("_coarse", "_rank").persist()
     chain = W.partitionBy(*keys).orderBy("_slab")
     slabs = (
-        src.select(*by).distinct()
-        .select(*by, F.lead("_slab").over(chain).alias("_next"))
+        src.groupBy(*by).agg(F.min(order[0]).cast("long").alias("_from"))
+        .select(*by, F.lead("_slab").over(chain).alias("_next"), F.lead("_from").over(chain).alias("_end"))
         .checkpoint()
     )
+    # New column ids, so that later joins never mistake this table for the rows it came from.
+    slabs = slabs.select(*[F.col(c).alias(c) for c in slabs.columns])
 
     def fold_round(todo: DataFrame, number: int) -> DataFrame:
-        todo = todo.select(*by, "_carry", F.col("_next").isNull().alias("_final"))
+        todo = todo.select(*[F.col(c).alias(c) for c in [*by, "_carry", "_end"]])
         part = src.join(todo.select(*by), by, "left_semi")
         folded = part.groupBy(*by).cogroup(todo.groupBy(*by)).applyInPandas(run, schema)
-        return folded.withColumn("_round", F.lit(number)).checkpoint()
+        done = folded.withColumn("_round", F.lit(number)).checkpoint()
+        return done.select(*[F.col(c).alias(c) for c in done.columns])
 
     number = 0
     results = fold_round(slabs.withColumn("_carry", F.lit("null")), number)
-    while True:
+    newest = None
+    chained = not slabs.where(F.col("_next").isNotNull()).isEmpty()
+    while chained:
         states = results.where(F.col("_left").isNotNull())
         newest = states.groupBy(*by).agg(F.max_by(F.struct("_used", "_left"), "_round").alias("s"), F.max("_round").alias("_round"))
         handed = newest.join(slabs, by).where(F.col("_next").isNotNull()).select(
@@ -86,5 +105,6 @@ def carry_fold(
         number += 1
         results = results.unionByName(fold_round(todo, number))
     src.unpersist()
+    rows.unpersist()
     done = results if number == 0 else results.join(newest.select(*by, "_round"), [*by, "_round"], "left_semi")
     return done.where(F.col("_left").isNull()).select(*keys, *out.names)
