@@ -97,12 +97,12 @@ def merge_heads(partials: DataFrame, slab: int = 10_000) -> DataFrame:
     head = partials.groupBy("meeting_id").agg(
         first(hint).alias("subject"), first(F.col("meeting_date")).alias("meeting_date"), first(F.col("location")).alias("location")
     )
-    # Only summaries that start within the limit can be seen, so only they are gathered.
+    # Only summaries that start within the limit, or right behind it, decide the result: gather no others.
     said = partials.select("meeting_id", "part", tx.strip(F.col("summary")).alias("s")).where("s <> ''")
     placed = running(
         said.withColumn("_slab", slab_of(F.col("part"), slab)), ["meeting_id"], "_slab", ["part"],
         [Run("_upto", "sum", F.length("s") + 1)],
-    ).where(F.col("_upto") - F.length("s") - 1 <= doc.SUMMARY_LIMIT)
+    ).where(F.col("_upto") - F.length("s") - 1 <= doc.SUMMARY_LIMIT + 1)
     joined = placed.groupBy("meeting_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "s"))), lambda x: x["s"]), " ").alias("summary")
     )
