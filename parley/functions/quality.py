@@ -165,7 +165,9 @@ def with_faithful(df: DataFrame, original: str, edited: str, name: str = "faithf
     )
     # Every copy of a lost token counts; only the (few) distinct lost ones are searched.
     df = df.withColumn("_lost", F.array_except(ot, et))
-    lost = F.size(F.filter(ot, lambda t: F.array_contains(F.col("_lost"), t)))
+    copies = F.size(F.filter(ot, lambda t: F.array_contains(F.col("_lost"), t)))
+    # Naming the column twice also keeps Spark from computing it anew for every token.
+    lost = F.when(F.size("_lost") == 0, 0).otherwise(copies)
     retained = (F.size(ot) - lost) / F.size(ot) >= 0.65
     worse = (F.col("_qo") >= 0.7) & (F.col("_qe") + 0.2 < F.col("_qo"))
     flag = (

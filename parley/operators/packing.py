@@ -87,7 +87,11 @@ def worst_items(texts: DataFrame, key: str, text: str, order: str, limit: int =
 
     Copies are merged map-side, and Spark keeps only the top rows of a key before the shuffle.
     """
-    shaky = texts.withColumn(text, strip(F.col(text))).where(F.col(text) != "").where(needs_polish(F.col("score"), F.col("reasons")))
-    one = shaky.groupBy(key, text).agg(F.min(order).alias(order), F.min_by("score", order).alias("score"))
+    # The test is applied to the aggregate: filtering first would make Spark compute the whole
+    # score a second time below the filter.
+    at = F.when(needs_polish(F.col("score"), F.col("reasons")), F.col(order))
+    tidy = texts.withColumn(text, strip(F.col(text))).withColumn("_at", at)
+    one = tidy.groupBy(key, text).agg(F.min("_at").alias(order), F.min_by("score", "_at").alias("score"))
+    one = one.where(F.col(order).isNotNull() & (F.col(text) != ""))
     rank = F.row_number().over(W.partitionBy(key).orderBy("score", order))
     return one.withColumn("rank", rank).where(F.col("rank") <= limit)
