@@ -106,15 +106,16 @@ def stt_answers(windows, spark, d, ids):
 
 def t7(spark, d):
     """Recordings of all meetings to reviewed segments in one job."""
-    frames = src.speech_frames(spark, d)
+    # The frames feed the windows and the turns, and the turns feed every branch of the alignment.
+    frames = src.speech_frames(spark, d).persist()
     hop = dict(frame_ms=100, window_ms=2000, hop_ms=1500, min_rms=0.3)
     w = fr.hopping_windows(frames, ["meeting_id"], **hop).unionByName(fr.tail_window(frames, ["meeting_id"], **hop))
     said = stt_answers(w, spark, d, ["meeting_id"])
-    gated = quality.with_gate(said, "text").where("action <> 'drop'").withColumn("text", C("gated_text"))
+    gated = rv.gate_segments(said)
     gated = gated.withColumn("words", F.array().cast(rc.WORDS)).withColumn("window_id", C("window_no"))
     turns = iv.label_runs(frames, ["meeting_id"], "frame_idx", "stream_id", 1, 50_000).select(
         "meeting_id", F.concat(F.lit("SPEAKER_"), "stream_id").alias("speaker_id"), (C("run_start") * 100).alias("start_ms"),
-        (C("run_end") * 100).alias("end_ms"), F.lit(False).alias("is_overlap"), C("run_start").alias("interval_id"))
+        (C("run_end") * 100).alias("end_ms"), F.lit(False).alias("is_overlap"), C("run_start").alias("interval_id")).persist()
     seg = rc.align_windows(gated.select("meeting_id", "start_ms", "end_ms", "text", "words", "window_id"), turns, ["meeting_id"])
     seg = rc.dedupe_segments(seg, ["meeting_id"]).withColumn("ord", F.struct("start_ms", "speaker_id", "text"))
     return rv.finalize_review(seg, reviewer).select("meeting_id", "speaker_id", "start_ms", "end_ms", "text", "is_overlap")
@@ -122,10 +123,10 @@ def t7(spark, d):
 
 def t8(spark, d):
     """One stream per speaker: no diarization, one interval per stream, slabs instead of hops."""
-    frames = src.stream_frames(spark, d)
+    frames = src.stream_frames(spark, d).persist()
     slabs = fr.stream_slabs(frames, ["meeting_id", "stream_id"], 100, 1600, slab_s=1, min_rms=0.3)
     said = stt_answers(slabs.withColumnRenamed("slab_no", "window_no"), spark, d, ["meeting_id", "stream_id"])
-    gated = quality.with_gate(said, "text").where("action <> 'drop'").withColumn("text", C("gated_text"))
+    gated = rv.gate_segments(said)
     seg = rc._plain(gated.select("meeting_id", F.concat(F.lit("SPEAKER_"), "stream_id").alias("speaker_id"), "start_ms", "end_ms", "text"))
     seg = rc.dedupe_segments(seg.withColumn("provisional", F.lit(False)), ["meeting_id"])
     seg = seg.withColumn("ord", F.struct("start_ms", "speaker_id", "text"))
