@@ -49,6 +49,11 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Rec
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of differing bits of 64-bit numbers."""
+    return np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int64)
+
+
 def meetings(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(later, earlier) places of all rows of equal group, by distance; group is sorted."""
     distance, later = 1, np.arange(1, len(group))

@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .groups import compared, in_cells
+from .groups import compared, differing, in_cells
 from .tables import classes, keep, table
-from .words import Words, mix, pieces, words_of
+from .words import Words, heads, mix, pieces, words_of
 
 KMER = 5
 SIMILARITY = 0.8
@@ -61,11 +61,14 @@ def occurrence(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each k-mer, how many equal ones stand before it in the row."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)).astype(np.uint64)
     key = mix(hashes ^ mix(row + np.uint64(1)))
-    order = np.argsort(key, kind="stable")
-    repeat = np.concatenate([[False], key[order][1:] == key[order][:-1]]) if len(key) else np.zeros(0, bool)
-    number, at = np.zeros(len(key), np.int64), np.arange(len(key))
-    if repeat.any():
-        number[order] = at - np.maximum.accumulate(np.where(repeat, 0, at))
+    head = heads(key)
+    copies = np.flatnonzero(head != np.arange(len(key)))
+    number = np.zeros(len(key), np.int64)
+    if len(copies):
+        order = copies[np.argsort(head[copies], kind="stable")]
+        own = head[order]
+        at = np.arange(len(order))
+        number[order] = at - np.maximum.accumulate(np.where(np.concatenate([[True], own[1:] != own[:-1]]), at, 0)) + 1
     return number
 
 
@@ -229,7 +232,7 @@ def _across_classes(members: DataFrame, similarity: float) -> DataFrame:
         least = np.ceil(similarity / (1 + similarity) * total - 1e-9).astype(np.int64)
         ok = (c["class"][x] != c["class"][y]) & (least <= np.minimum(c["n"][x], c["n"][y]))
         x, y = x[ok], y[ok]
-        differ = sum(np.bitwise_count(c[f"b{k}"][x] ^ c[f"b{k}"][y]).astype(np.int64) for k in range(BITMAP_WORDS))
+        differ = sum(differing(c[f"b{k}"][x], c[f"b{k}"][y]) for k in range(BITMAP_WORDS))
         out = ok.copy()
         out[ok] = differ <= total[ok] - 2 * least[ok]
         return out

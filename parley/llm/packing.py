@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import keep, table
-from .words import byte_runs, mix, pieces, run_hashes, text_bytes
+from .words import byte_runs, heads, mix, pieces, run_hashes, text_bytes
 
 WINDOW = 4096
 END_ID = 2
@@ -99,8 +99,13 @@ def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     cut = np.flatnonzero(_STOP[raw[1:]] & _LETTER[raw[:-1]]) + 1 if len(raw) else np.zeros(0, np.int64)
     cut = cut[~np.isin(cut, offsets)] if len(cut) else cut
     starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
-    distinct, first, which = np.unique(run_hashes(raw, starts, ends, _VALUES), return_index=True, return_inverse=True)
-    at = known.places(distinct, raw, starts[first], ends[first])[which]
+    hashes = run_hashes(raw, starts, ends, _VALUES)
+    head = heads(hashes)
+    first = np.flatnonzero(head == np.arange(len(head)))
+    first = first[np.argsort(hashes[first])]
+    place = np.empty(len(head), np.int64)
+    place[first] = known.places(hashes[first], raw, starts[first], ends[first])
+    at = place[head]
     # an end id after each row's runs: run sizes with a one for it
     rows = np.searchsorted(starts, offsets)
     n = len(offsets) - 1

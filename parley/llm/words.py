@@ -123,8 +123,19 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
         at = end
 
 
-def last_in_row(values: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
-    """Index of the rows' windows of `width` neighbours: each index that starts such a window inside its row."""
-    at = np.arange(max(0, len(values) - width + 1))
-    ends = np.repeat(rows[1:], np.diff(rows))[: len(at)]
-    return at[at + width <= ends]
+def heads(key: np.ndarray) -> np.ndarray:
+    """For each 64-bit number, the place of the first equal one. Scatters to a table, again for what collides there."""
+    n = len(key)
+    out, waiting = np.arange(n), np.arange(n)
+    bits = max(8, int(2 * n).bit_length())
+    table, turn = np.zeros(1 << bits, np.int64), 0
+    while len(waiting):
+        turn += 1
+        own = key[waiting]
+        slot = ((own ^ (own >> np.uint64(turn % 31 + 7))) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn)) >> np.uint64(64 - bits)
+        table[slot[::-1]] = waiting[::-1]  # of equal slots, the first place is written last
+        head = table[slot]
+        same = key[head] == own
+        out[waiting[same]] = head[same]
+        waiting = waiting[~same]
+    return out
