@@ -15,36 +15,36 @@ from pyspark.sql import functions as F
 
 #: Rows of a key that one cell compares.
 CELL_ROWS = 4096
+BATCH_ROWS = 1 << 17
 
 
-def in_cells(df: DataFrame, count: Column, spread: Column) -> DataFrame:
-    """Adds `_part`, `_low` and `_high`. Rows with a key share `count`, an upper bound or estimate of their number;
-    `spread` is any number that tells them apart."""
+def in_cells(df: DataFrame, key: Column, count: Column, spread: Column) -> DataFrame:
+    """Adds `cell`, `part` and `across`. Rows with a key share `count`, an upper bound or estimate of their number;
+    `spread` is any number that tells them apart. Cells are named by a hash; two under one name are compared for nothing."""
     parts = F.greatest(F.lit(1), F.ceil(count / F.lit(CELL_ROWS / 2))).cast("int")
-    df = df.withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64(spread), "_parts").cast("int"))
+    df = df.withColumn("_parts", parts).withColumn("part", F.pmod(F.xxhash64(spread), "_parts").cast("int"))
     df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    return df.withColumn("_low", F.least("_part", "_other")).withColumn("_high", F.greatest("_part", "_other")).drop("_other", "_parts")
+    cell = F.xxhash64(key, F.least("part", "_other"), F.greatest("part", "_other"))
+    return df.withColumn("cell", cell).withColumn("across", F.col("part") != F.col("_other")).drop("_other", "_parts")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """The sorted stream in batches that no key crosses."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stream sorted by cell, in batches of some size that no cell crosses."""
     held: list[pa.RecordBatch] = []
-    last = None
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        values = [batch.column(k).to_numpy() for k in keys]
-        change = np.any([v[1:] != v[:-1] for v in values], axis=0)
-        first = last is not None and any(v[0] != x for v, x in zip(values, last, strict=True))
-        cuts = np.flatnonzero(change) + 1
-        cut = int(cuts[-1]) if len(cuts) else (0 if first else -1)
-        last = [v[-1] for v in values]
-        if cut < 0:
-            held.append(batch)
+        held.append(batch)
+        size += batch.num_rows
+        if size < BATCH_ROWS:
             continue
-        whole = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
-        yield from whole.to_batches()
-        held = [batch.slice(cut)]
+        whole = pa.Table.from_batches(held).combine_chunks()
+        cell = whole.column("cell").to_numpy()
+        cut = int(np.searchsorted(cell, cell[-1]))
+        if cut:
+            yield from whole.slice(0, cut).to_batches()
+        held, size = whole.slice(cut).to_batches(), len(cell) - cut
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
@@ -65,28 +65,30 @@ def meetings(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         distance += 1
 
 
-def compared(df: DataFrame, key: str, order: list[str], ids: list[str], schema: str,
+def compared(df: DataFrame, order: list[str], ids: list[str], schema: str,
              fits: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray], first: int | None = None) -> DataFrame:
     """For rows of a cell that `fits` accepts (columns, later, earlier): the later's `ids` and the earlier's.
 
     With `first`, only so many of the earliest partners of a row in a cell, and `more` tells whether others were left.
-    df comes from in_cells; rows are ordered by `order` within a key.
+    df has cell, part and across; rows are ordered by `order` within a cell.
     """
     names = df.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = [key, "_low", "_high"]
-        for batch in _runs(batches, keys):
+        for batch in _runs(batches):
             columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
-            change = np.any([columns[k][1:] != columns[k][:-1] for k in keys], axis=0)
-            group = np.concatenate([[0], np.cumsum(change)])
-            across = columns["_low"] != columns["_high"]
             found: list[tuple[np.ndarray, np.ndarray]] = []
             number = np.zeros(batch.num_rows, np.int64)
             best = np.full((batch.num_rows, first or 1), -1)
-            for later, earlier in meetings(group):
-                ok = fits(columns, later, earlier) & (~across[later] | (columns["_part"][later] != columns["_part"][earlier]))
+            split = columns["across"].any()
+            for later, earlier in meetings(columns["cell"]):
+                ok = fits(columns, later, earlier)
                 later, earlier = later[ok], earlier[ok]
+                if split:
+                    ok = ~columns["across"][later] | (columns["part"][later] != columns["part"][earlier])
+                    later, earlier = later[ok], earlier[ok]
+                if not len(later):
+                    continue
                 if first is None:
                     found.append((later, earlier))
                     continue
@@ -105,5 +107,4 @@ def compared(df: DataFrame, key: str, order: list[str], ids: list[str], schema:
                     both.append(pa.array(number[later] > first))
                 yield pa.RecordBatch.from_arrays(both, [*(f"later_{n}" for n in ids), *(f"earlier_{n}" for n in ids), *(["more"] if first is not None else [])])
 
-    dealt = df.repartition(key, "_low", "_high").sortWithinPartitions(key, "_low", "_high", *order)
-    return dealt.mapInArrow(work, schema)
+    return df.repartition("cell").sortWithinPartitions("cell", *order).mapInArrow(work, schema)

@@ -237,8 +237,8 @@ def _across_classes(members: DataFrame, similarity: float) -> DataFrame:
         out[ok] = differ <= total[ok] - 2 * least[ok]
         return out
 
-    cells = in_cells(members, F.col("number"), F.col("node")).drop("number")
-    return compared(cells, "entry", ["node"], ["node"], "b long, a long", fits)
+    cells = in_cells(members, F.col("entry"), F.col("number"), F.col("node")).drop("number", "entry")
+    return compared(cells, ["node"], ["node"], "b long, a long", fits)
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -39,21 +39,57 @@ def remainder(doc_id: str, by: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % by
 
 
-def sum_blocks(df: DataFrame) -> DataFrame:
-    """Sum of the int64 arrays in `counts` (bytes) for each `block`, added up as they stream in."""
+def sum_blocks(df: DataFrame, add_up=np.add) -> DataFrame:
+    """Sum (or another ufunc) of the int64 arrays in `counts` (bytes) for each `block`, added up as they stream in."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 got = np.frombuffer(counts.as_buffer(), np.int64)
-                total[block] = total[block] + got if block in total else got.copy()
+                total[block] = add_up(total[block], got) if block in total else got.copy()
         for block, counts in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([counts.tobytes()], pa.binary())], ["block", "counts"])
 
     return df.select("block", "counts").repartition("block").mapInArrow(add, "block string, counts binary")
 
 
+class Filter:
+    """A Bloom filter of 64-bit hashes: members always pass, others rarely while it is not full. Its size is bounded."""
+
+    LARGEST = 28  #: as a power of two of bits; more members than it holds let more pass, never less
+
+    def __init__(self, hashes: DataFrame, members: int):
+        self.bits = min(self.LARGEST, max(20, int(16 * members).bit_length()))
+        bits, block = self.bits, 1 << 14
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = np.zeros(1 << (bits - 6), np.uint64)
+            for batch in batches:
+                for at in _places(batch.column(0).to_numpy().view(np.uint64), bits):
+                    np.bitwise_or.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+            for k in range(0, len(words), block):
+                part = words[k : k + block]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([str(k)]), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
+
+        self.words = np.zeros(1 << (bits - 6), np.uint64)
+        for r in sum_blocks(hashes.mapInArrow(work, "block string, counts binary"), np.bitwise_or).collect():
+            got = np.frombuffer(r.counts, np.uint64)
+            self.words[int(r.block) : int(r.block) + len(got)] = got
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for at in _places(hashes.view(np.uint64), self.bits):
+            out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def _places(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        yield (hashes * np.uint64(k)) >> np.uint64(64 - bits)
+
+
 def classes(links: DataFrame) -> DataFrame:
     """(node, class) of the connected nodes of links (a, b): the class is the smallest node. Nodes are longs.
 
