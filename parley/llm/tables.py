@@ -59,14 +59,15 @@ class Filter:
 
     LARGEST = 28  #: as a power of two of bits; more members than it holds let more pass, never less
 
-    def __init__(self, hashes: DataFrame, members: int):
+    def __init__(self, rows: DataFrame, members: int, hash_of=lambda x: x.view(np.uint64)):
+        """`hash_of` makes the hashes of the rows' columns."""
         self.bits = min(self.LARGEST, max(20, int(16 * members).bit_length()))
         bits, block = self.bits, 1 << 14
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = np.zeros(1 << (bits - 6), np.uint64)
             for batch in batches:
-                for at in _places(batch.column(0).to_numpy().view(np.uint64), bits):
+                for at in _places(hash_of(*(c.to_numpy() for c in batch.columns)), bits):
                     np.bitwise_or.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
             for k in range(0, len(words), block):
                 part = words[k : k + block]
@@ -74,13 +75,13 @@ class Filter:
                     yield pa.RecordBatch.from_arrays([pa.array([str(k)]), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
 
         self.words = np.zeros(1 << (bits - 6), np.uint64)
-        for r in sum_blocks(hashes.mapInArrow(work, "block string, counts binary"), np.bitwise_or).collect():
+        for r in sum_blocks(rows.mapInArrow(work, "block string, counts binary"), np.bitwise_or).collect():
             got = np.frombuffer(r.counts, np.uint64)
             self.words[int(r.block) : int(r.block) + len(got)] = got
 
     def passes(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
-        for at in _places(hashes.view(np.uint64), self.bits):
+        for at in _places(hashes, self.bits):
             out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return out
 
