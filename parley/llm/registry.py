@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, and their SQL."""
 
-from . import decontaminate, language, lines, near_copies, neighbours, packing, toxicity, warc
+from . import decontaminate, language, lines, near_copies, neighbours, packing, secrets, toxicity, warc
 
-MODULES = [decontaminate, language, lines, near_copies, neighbours, packing, toxicity, warc]
+MODULES = [decontaminate, language, lines, near_copies, neighbours, packing, secrets, toxicity, warc]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
