@@ -66,17 +66,18 @@ def meetings(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def compared(df: DataFrame, order: list[str], ids: list[str], schema: str,
-             fits: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray], first: int | None = None) -> DataFrame:
+             fits: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray], first: int | None = None,
+             unpacked: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]] = lambda c: c) -> DataFrame:
     """For rows of a cell that `fits` accepts (columns, later, earlier): the later's `ids` and the earlier's.
 
     With `first`, only so many of the earliest partners of a row in a cell, and `more` tells whether others were left.
-    df has cell, part and across; rows are ordered by `order` within a cell.
+    df has cell, part and across, perhaps only after `unpacked`; rows are ordered by `order` within a cell.
     """
     names = df.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _runs(batches):
-            columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
+            columns = unpacked({n: batch.column(n).to_numpy(zero_copy_only=False) for n in names})
             found: list[tuple[np.ndarray, np.ndarray]] = []
             number = np.zeros(batch.num_rows, np.int64)
             best = np.full((batch.num_rows, first or 1), -1)
@@ -102,7 +103,7 @@ def compared(df: DataFrame, order: list[str], ids: list[str], schema: str,
                     found.append((later, best[later, k]))
             later, earlier = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(2))
             if len(later):
-                both = [batch.column(n).take(pa.array(at)) for at in (later, earlier) for n in ids]
+                both = [pa.array(columns[n][at]) for at in (later, earlier) for n in ids]
                 if first is not None:
                     both.append(pa.array(number[later] > first))
                 yield pa.RecordBatch.from_arrays(both, [*(f"later_{n}" for n in ids), *(f"earlier_{n}" for n in ids), *(["more"] if first is not None else [])])
