@@ -241,12 +241,12 @@ def _across_classes(members: DataFrame, similarity: float) -> DataFrame:
     return compared(cells, ["node"], ["node"], "b long, a long", fits)
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, copies): a row for each row of docs. The class is named by its smallest doc_id; copies is the
-    number of rows with the same words."""
+def _classes_of(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, node) of each row, and (node, class_id, copies, stays): stays is the first (doc_id, key) of the
+    class."""
     rows = keep(sketched(docs), "sketches")
     nodes = keep(rows.filter("node is not null").groupBy("node").agg(
-        F.min(F.struct("doc_id", "key")).alias("of"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("of"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"),
         F.first("n").alias("n"), F.first("entries").alias("entries"), F.first("bits").alias("bits")), "nodes")
     bins = nodes.select("node", "n", F.explode(F.transform("entries", lambda e, t: F.xxhash64(t, e))).alias("entry"),
                         *[F.col("bits")[k].alias(f"b{k}") for k in range(BITMAP_WORDS)])
@@ -264,18 +264,29 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     mixed = known.groupBy("entry").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("entry")
     more = _across_classes(known.join(mixed, "entry", "left_semi"), similarity).distinct()
     links = keep(links.unionByName(_verified(more, sequences, similarity)), "links")
-    final = nodes.select("node", "doc_id", "copies").join(classes(links), "node", "left").withColumn("class", F.coalesce("class", "node"))
-    names = final.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    named = final.join(names, "class").select("node", "class_id", "copies")
-    return rows.select("doc_id", "node").join(named, "node", "left").select(
+    final = nodes.select("node", "doc_id", "of", "copies").join(classes(links), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    names = final.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min("of").alias("stays"))
+    return rows.select("doc_id", "key", "node"), final.join(names, "class").select("node", "class_id", "copies", "stays")
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, copies): a row for each row of docs. The class is named by its smallest doc_id; copies is the
+    number of rows with the same words."""
+    rows, named = _classes_of(docs, similarity)
+    return rows.join(named, "node", "left").select(
         "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Documents without near copies before them: of each class, the document that names it stays, once."""
-    found = near_classes(docs, similarity).filter("doc_id = class_id").select(F.col("doc_id").alias("_stays")).distinct()
-    stays = docs.join(found, docs.doc_id == found._stays, "left_semi")
-    return stays.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of each class, the document that names it stays, once. Texts without words all stay."""
+    id_ = lambda c: F.struct(F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    rows, named = _classes_of(docs, similarity)
+    stays = named.select("stays.doc_id", "stays.key").distinct().select(id_("doc_id").alias("_id"), F.col("key").alias("_key"))
+    own = docs.select(id_("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+    wordless = rows.filter("node is null").select(id_("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    once = own.join(stays, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    both = once.unionByName(own.join(wordless, ["_id", "_key"], "left_semi"))
+    return both.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
