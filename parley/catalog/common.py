@@ -76,7 +76,7 @@ pairs AS (
   UNION ALL SELECT conv_id, turn, 'cut', text, array_to_string(w[1:(len(w) * 3) // 10], ' ') FROM pw)"""
 
 TAGS = ["(Coughs)", "[ blank_audio ]", "Music", "♪ music ♪", "(Clearing  throat)", "...", "?", "", "(door slams)",
-        "[Background_Music] Thanks for watching", "Subscribe", "12 34"]
+        "[Background_Music] Thanks for watching", "Subscribe", "12 34", "music _ _ _ _", "music ، ، ، ،"]
 
 NOISY = f"""
 nd AS (SELECT *, {words('text')} AS w, {TAGS!r}[doc_id % {len(TAGS)} + 1] AS tag FROM documents),

@@ -134,7 +134,8 @@ SQL = {
         SELECT w.meeting_id, k AS window_no, k * 1500 AS start_ms, nf * 100 AS end_ms, round(sqrt(avg(x * x)), 6) AS rms
         FROM w JOIN frames f ON f.meeting_id = w.meeting_id AND frame_idx >= k * 15 WHERE (nf - k * 15) * 100 >= 400
         GROUP BY ALL HAVING sqrt(avg(x * x)) >= 0.5e0""",
-    "w9_label_smoothing": f"""WITH {FRAMES}, c AS (SELECT a.event_id, a.stream_id, b.stream_id AS lab, count(*) AS n FROM frames a
+    "w9_label_smoothing": f"""WITH {FRAMES}, k AS (SELECT meeting_id, count(*) AS len FROM frames GROUP BY 1),
+        c AS (SELECT a.event_id, a.stream_id, CASE WHEN len < 3 THEN a.stream_id ELSE b.stream_id END AS lab, count(*) AS n FROM frames a JOIN k USING (meeting_id)
           JOIN frames b ON a.meeting_id = b.meeting_id AND b.frame_idx BETWEEN a.frame_idx - 2 AND a.frame_idx + 2 GROUP BY ALL)
         SELECT event_id, stream_id, lab AS smoothed FROM c QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY n DESC, lab) = 1""",
     "w11_context_carry": f"""WITH {SEGMENTS}, u AS (SELECT conv_id, turn, CASE WHEN length({strip('text')}) >= 2 AND regexp_matches(text, '\\p{{L}}')

@@ -76,7 +76,13 @@ def s15(spark, d):
 def h1(spark, d):
     """A stand-in recogniser that fails on batches without rows to hear, run with retries."""
     s = src.segments(spark, d).select("segment_id", "text")
-    return hooks.with_model(s, lambda pdf: pdf["text"].str.len().astype(str), "answer").select("segment_id", "answer", "tries", F.coalesce("error", F.lit("")).alias("error"))
+
+    def model(pdf):
+        if (pdf["text"].str.len() % 50 == 0).any():
+            raise ValueError("no answer")
+        return pdf["text"].str.len().astype(str)
+
+    return hooks.with_model(s, model, "answer", retries=0).select("segment_id", "answer", F.coalesce("error", F.lit("")).alias("error"))
 
 
 def h3(spark, d):
@@ -103,9 +109,9 @@ def vectors(spark, d):
 
 
 def halves(spark, d):
-    """Known voices from the lower half of the vectors, new clusters from all of them."""
+    """Known voices from every second vector, new clusters from all of them."""
     v = vectors(spark, d)
-    known = rl.centroids(v.where("pos < 250"), ["meeting_id", "label"], "v", 64).select(
+    known = rl.centroids(v.where("pos % 2 = 0"), ["meeting_id", "label"], "v", 64).select(
         "meeting_id", F.concat(F.lit("SPEAKER_0"), C("label").cast("string")).alias("speaker_id"), "centroid")
     return rl.centroids(v, ["meeting_id", "label"], "v", 64), known
 
@@ -142,13 +148,14 @@ SQL = {
         h AS (SELECT *, lag(stream_id) OVER (PARTITION BY meeting_id ORDER BY pos) AS prev, max(pos) OVER (PARTITION BY meeting_id) + 1 AS last_end FROM f)
         SELECT meeting_id, stream_id, pos AS run_start, coalesce(lead(pos) OVER (PARTITION BY meeting_id ORDER BY pos), last_end) AS run_end FROM h WHERE prev IS NULL OR prev <> stream_id""",
     "s15_update_feed": "SELECT CAST(conv_id AS VARCHAR) AS meeting_id, CASE WHEN role = 'system' THEN 'warning' ELSE 'transcript' END AS event_type, turn FROM conversations",
-    "h1_model_hook": f"WITH {SEGMENTS} SELECT segment_id, CAST(length(text) AS VARCHAR) AS answer, 1 AS tries, '' AS error FROM segments",
+    "h1_model_hook": f"""WITH {SEGMENTS} SELECT segment_id, CASE WHEN length(text) % 50 <> 0 THEN CAST(length(text) AS VARCHAR) END AS answer,
+        CASE WHEN length(text) % 50 = 0 THEN 'ValueError: no answer' ELSE '' END AS error FROM segments""",
     "h3_diarizer_hook": """WITH f AS (SELECT CAST(user_id AS VARCHAR) AS meeting_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
         s AS (SELECT meeting_id, i // 1000 AS slab, min(i) AS a, max(i) + 1 AS b FROM f GROUP BY ALL)
         SELECT meeting_id, slab, 'A' AS speaker_id, a * 100 AS start_ms, ((a + b) // 2) * 100 AS end_ms FROM s
         UNION ALL SELECT meeting_id, slab, 'B', ((a + b) // 2) * 100, b * 100 FROM s""",
     "j7_voice_similarity": """WITH e AS (SELECT label % 3 AS meeting_id, label, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
-        f AS (SELECT meeting_id, label, i, avg(CAST(x AS DOUBLE)) AS c FROM e GROUP BY ALL), k AS (SELECT meeting_id, label, i, avg(CAST(x AS DOUBLE)) AS c FROM e WHERE vec_id < 250 GROUP BY ALL)
+        f AS (SELECT meeting_id, label, i, avg(CAST(x AS DOUBLE)) AS c FROM e GROUP BY ALL), k AS (SELECT meeting_id, label, i, avg(CAST(x AS DOUBLE)) AS c FROM e WHERE vec_id % 2 = 0 GROUP BY ALL)
         SELECT f.meeting_id, f.label, 'SPEAKER_0' || k.label AS known_id, round(sum(f.c * k.c) / (sqrt(sum(f.c * f.c)) * sqrt(sum(k.c * k.c))), 6) AS similarity
         FROM f JOIN k ON f.meeting_id = k.meeting_id AND f.i = k.i GROUP BY f.meeting_id, f.label, k.label""",
 }

@@ -507,7 +507,7 @@ SQL = {
         SELECT interval_id, 'SPEAKER_08', end_ms, start_ms, false FROM intervals WHERE start_ms > end_ms""",
     "s8_wav_decode": """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 0 WHEN event_id % 3 = 1 THEN 320 ELSE 160 END AS n_samples,
         CASE WHEN event_id % 10 = 0 THEN 0 ELSE CAST(floor(value) AS BIGINT) * 60 END AS peak,
-        CASE WHEN event_id % 10 = 0 THEN 'unsupported WAV sample width: 1' ELSE '' END AS error FROM events""",
+        CASE WHEN event_id % 10 = 0 THEN 'samples of 8 bits; only 16 bits can be read' ELSE '' END AS error FROM events""",
     "s9_tagged_frames": """SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 3) THEN '' ELSE event_type END AS speaker_id,
         CASE WHEN event_id % 6 IN (0, 1, 3) THEN 0 ELSE 2 END AS n_samples,
         CASE WHEN event_id % 6 IN (0, 1, 3) THEN 0 ELSE CAST(floor(value) AS INTEGER) END AS first,
@@ -543,7 +543,7 @@ SQL = {
     "p8_minutes_document": f"""WITH {SENT} SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN role ELSE '' END AS secretary,
         CASE WHEN turn % 2 = 1 THEN 'S' || turn WHEN len(ds) = 0 THEN '{doc.MINUTES_FALLBACK}' ELSE '' END AS summary, len(ds) AS n_decisions FROM dec""",
     "p9_insight_lists": f"""SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN text WHEN 1 THEN role || '|' || {strip('text')} WHEN 4 THEN '12' ELSE '' END AS items FROM conversations""",
-    "f21_model_answer": f"""SELECT conv_id, turn, CASE turn % 6 WHEN 3 THEN left({strip("'{oops ' || text")}, 1000) WHEN 4 THEN '' WHEN 5 THEN left({strip('text')}, 1000) ELSE text END AS summary FROM conversations""",
+    "f21_model_answer": f"""SELECT conv_id, turn, CASE turn % 6 WHEN 3 THEN {strip("'{oops ' || text")} WHEN 4 THEN '' WHEN 5 THEN {strip('text')} ELSE text END AS summary FROM conversations""",
     "p10_empty_batch_guard": f"""WITH {SEGMENTS}, n AS (SELECT DISTINCT meeting_id FROM segments WHERE length(text) > 900)
         SELECT meeting_id, segment_id, text FROM segments WHERE meeting_id NOT IN (SELECT meeting_id FROM n)
         UNION ALL SELECT meeting_id, segment_id, '* ' || text FROM segments WHERE length(text) > 900""",

@@ -100,8 +100,9 @@ def t6_decision(spark, d):
 def stt_answers(windows, spark, d, ids):
     """What a recogniser said for each window: utterances, picked by meeting and window number."""
     c = src.table(spark, d, "conversations").select("conv_id", C("turn").alias("say"), "text")
-    w = windows.withColumn("conv_id", C("meeting_id").cast("long")).withColumn("say", C("window_no") % 8)
-    return w.join(c, ["conv_id", "say"]).select(*ids, "start_ms", "end_ms", "text", "window_no")
+    turns = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    w = windows.withColumn("conv_id", C("meeting_id").cast("long")).join(turns, "conv_id", "left").withColumn("say", C("window_no") % C("n"))
+    return w.join(c, ["conv_id", "say"], "left").withColumn("text", F.coalesce("text", F.lit(""))).select(*ids, "start_ms", "end_ms", "text", "window_no")
 
 
 def t7(spark, d):
@@ -164,13 +165,13 @@ def k5(spark, d):
     b = pk.batch_items(t, "lang", "doc_id", "text", 20_000)
     folded = pk.fold_overflow(b.withColumnRenamed("batch", "chunk"), 4).groupBy("lang", "part").agg(
         F.count(F.lit(1)).alias("n_items"), F.lit("fold").alias("how"))
-    first = pk.first_batches(b).groupBy("lang", C("batch").alias("part")).agg(F.count(F.lit(1)).alias("n_items"), F.lit("first").alias("how"))
+    first = pk.first_batches(b, 2).groupBy("lang", C("batch").alias("part")).agg(F.count(F.lit(1)).alias("n_items"), F.lit("first").alias("how"))
     return folded.unionByName(first)
 
 
 def k3(spark, d):
     t = quality.with_score(src.noisy_texts(spark, d), "text", C("language"))
-    return pk.worst_items(t, "form", "text", "doc_id").select("form", "doc_id", F.round("score", 6).alias("score"), "rank", "text")
+    return pk.worst_items(t, "form", "text", "doc_id", 24).select("form", "doc_id", F.round("score", 6).alias("score"), "rank", "text")
 
 
 def people(spark, d):
@@ -250,7 +251,7 @@ merged AS (SELECT meeting_id, subject, meeting_date, location, CASE WHEN length(
 di AS (SELECT meeting_id, part, role, unnest(list_filter(list_transform(string_split(text, '.'), lambda s: {strip('s')}), lambda s: s <> '')) AS description,
    unnest(range(0, len(list_filter(list_transform(string_split(text, '.'), lambda s: {strip('s')}), lambda s: s <> '')))) AS pos FROM partials),
 decisions AS (SELECT meeting_id, part, pos, description, CASE WHEN role IN ('user', 'assistant') THEN role ELSE '' END AS executor, 'soon' AS due_date, 'pending' AS status
-   FROM di QUALIFY row_number() OVER (PARTITION BY meeting_id, lower(description) ORDER BY part, pos) = 1)"""
+   FROM di QUALIFY row_number() OVER (PARTITION BY meeting_id, lower(upper(replace(description, 'ß', 'ss'))) ORDER BY part, pos) = 1)"""
 
 SQL = {
     "w6_absorb_short_turns": f"""WITH RECURSIVE {INTERVALS}, {MARKED},

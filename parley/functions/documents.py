@@ -20,7 +20,6 @@ INSIGHTS_FALLBACK = (
     "If the text is too sparse, record or upload the meeting again."
 )
 SUMMARY_LIMIT = 1200
-UNPARSED_LIMIT = 1000
 # ---- end of fixed values ----------------------------------------------------------
 
 
@@ -56,7 +55,7 @@ def model_answer(raw: Column) -> Column:
     fence = F.regexp_extract(t, r"```(?:json)?\s*([\s\S]*?)```", 1)
     body = F.when(t.rlike(r"```(?:json)?\s*[\s\S]*?```"), strip(fence)).otherwise(t)
     embedded = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    plain = F.parse_json(F.to_json(F.struct(F.left(body, F.lit(UNPARSED_LIMIT)).alias("summary"))))
+    plain = F.parse_json(F.to_json(F.struct(body.alias("summary"))))
     return F.when(t == "", F.parse_json(F.lit("{}"))).otherwise(
         F.coalesce(F.try_parse_json(body), F.try_parse_json(F.when(embedded != "", embedded)), plain)
     )

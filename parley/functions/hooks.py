@@ -22,29 +22,39 @@ def with_model(
 ) -> DataFrame:
     """Add a model's text answer per row, and `error` and `tries`.
 
-    A batch that fails is tried again with growing waits; if it fails for good its rows
-    stay, with the error and no answer.  Put cheap filters before this step.
+    A batch that fails is tried again with growing waits; if it fails for good it is halved,
+    and each half gets one more try, down to single rows: only rows that fail alone stay
+    without an answer, with their error.  Put cheap filters before this step.
     """
     schema = T.StructType(
         [*df.schema.fields, T.StructField(answer, T.StringType()), T.StructField("error", T.StringType()), T.StructField("tries", T.IntegerType())]
     )
 
+    def asked(batch: pd.DataFrame, tries: int, limit: int) -> Iterator[pd.DataFrame]:
+        result, error = None, None
+        for turn in range(limit):
+            if turn:
+                time.sleep(backoff[min(turn, len(backoff)) - 1])
+            tries += 1
+            try:
+                result, error = list(model(batch)), None
+                break
+            except Exception as e:  # whatever a user's model raises ends up in the error column
+                error = f"{type(e).__name__}: {e}"
+        if error is not None and len(batch) > 1:
+            half = len(batch) // 2
+            yield from asked(batch.iloc[:half], tries, 1)
+            yield from asked(batch.iloc[half:], tries, 1)
+            return
+        out = batch.copy()
+        out[answer] = pd.Series([None] * len(batch) if result is None else result, index=batch.index, dtype=object)
+        out["error"], out["tries"] = error, tries
+        yield out
+
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            result, error, tries = None, None, 0
-            while tries <= retries:
-                if tries:
-                    time.sleep(backoff[min(tries, len(backoff)) - 1])
-                tries += 1
-                try:
-                    result, error = model(batch), None
-                    break
-                except Exception as e:  # whatever a user's model raises ends up in the error column
-                    error = f"{type(e).__name__}: {e}"
-            out = batch.copy()
-            out[answer] = None if result is None else pd.Series(list(result), index=batch.index, dtype=object)
-            out["error"], out["tries"] = error, tries
-            yield out
+            if len(batch):
+                yield from asked(batch, 0, retries + 1)
 
     return df.mapInPandas(call, schema)
 

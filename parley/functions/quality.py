@@ -25,6 +25,12 @@ POLISH_MARKERS = [
     "whisper_boilerplate",
 ]
 KEEP_CLEAN_ABOVE = 0.6
+# What is lost for a longest run of at least so many tokens, for a loop score of at least so much, and for a share of
+# distinct tokens below so much in a text of at least so many; the first that holds counts.
+RUN_LOSSES = [(8, 0.85), (5, 0.55), (3, 0.2)]
+LOOP_LOSSES = [(0.5, 0.7), (0.25, 0.35)]
+UNIQUE_LOSSES = [(6, 0.25, 0.55), (4, 0.35, 0.3)]
+TINY_TOKENS, TINY_DISTINCT, TINY_LOSS = 12, 3, 0.4
 # ---- end of fixed values --------------------------------------------------------
 
 
@@ -32,6 +38,14 @@ def _two(x: Column) -> Column:
     return F.format_number(x, 2)
 
 
+def _first(cases: list[tuple[Column, float]]) -> Column:
+    """The value of the first case that holds, else 0."""
+    out = F
+    for holds, value in cases:
+        out = out.when(holds, value)
+    return out.otherwise(0.0)
+
+
 def with_script_penalty(df: DataFrame, text: str, language: Column) -> DataFrame:
     """Add script_penalty and script_reason for text that should be Persian but is not."""
     df = df.withColumn("_bare", F.when(F.lower(tx.strip(language)).isin(tx.PERSIAN_LANGUAGES),
@@ -81,13 +95,11 @@ def with_score(
         .when(n == 0, "no_tokens")
     )
     df = df.withColumn("_unusable", unusable)
-    run_loss = F.when(run >= 8, 0.85).when(run >= 5, 0.55).when(run >= 3, 0.2).otherwise(0.0)
-    uniq_loss = (
-        F.when((n >= 6) & (uniq < 0.25), 0.55).when((n >= 4) & (uniq < 0.35), 0.3).otherwise(0.0)
-    )
-    loop_loss = F.when(loop >= 0.5, 0.7).when(loop >= 0.25, 0.35).otherwise(0.0)
-    tiny = (n >= 12) & (F.col("_distinct") <= 3)
-    left = 1.0 - run_loss - uniq_loss - loop_loss - F.when(tiny, 0.4).otherwise(0.0) - F.col("script_penalty")
+    run_loss = _first([(run >= least, loss) for least, loss in RUN_LOSSES])
+    uniq_loss = _first([((n >= least) & (uniq < share), loss) for least, share, loss in UNIQUE_LOSSES])
+    loop_loss = _first([(loop >= least, loss) for least, loss in LOOP_LOSSES])
+    tiny = (n >= TINY_TOKENS) & (F.col("_distinct") <= TINY_DISTINCT)
+    left = 1.0 - run_loss - uniq_loss - loop_loss - _first([(tiny, TINY_LOSS)]) - F.col("script_penalty")
     against = F.filter(
         F.array(
             F.when(run_loss > 0, F.concat(F.lit("word_run:"), run.cast("string"))),

@@ -254,17 +254,16 @@ def boilerplate_key(text: Column) -> Column:
 def with_boilerplate(df: DataFrame, text: str, toks: str, name: str) -> DataFrame:
     """Add a flag: the text is only event tags or stock phrases.  `toks` are its tokens.
 
-    A listed phrase has at most four words, and only texts with brackets can lose
-    tokens to tags, so long plain texts are settled by their token count.
+    Only texts with brackets can lose tokens to tags; the others keep their tokens.
     """
-    t, n = F.col(text), F.size(toks)
+    t = F.col(text)
     bare = F.regexp_replace(F.regexp_replace(t, LABEL_TAG, " "), EVENT_TAG, " ")
     df = df.withColumn("_bare", F.when(t.rlike(r"[(\[【]"), tokens(bare)).otherwise(F.col(toks)))
     known = F.forall(F.slice("_bare", 1, 4), lambda k: boilerplate_key(k).isin(ALL_BOILERPLATE))
     flag = (
         F.when(t == "", False)
         .when(F.size("_bare") == 0, True)
-        .when((n <= 4) & boilerplate_key(t).isin(ALL_BOILERPLATE), True)
+        .when(boilerplate_key(t).isin(ALL_BOILERPLATE), True)
         .otherwise((F.size("_bare") <= 3) & known)
     )
     return df.withColumn(name, flag).drop("_bare")

@@ -148,14 +148,16 @@ def with_halo(df: DataFrame, pos: str, width: int, radius: int) -> DataFrame:
 def smooth_labels(
     frames: DataFrame, keys: list[str], label: str, radius: int = 2, width: int = 100_000
 ) -> DataFrame:
-    """Most common label among the neighbours within `radius` rows; ties go to the smallest."""
+    """Most common label among the neighbours within `radius` rows; ties go to the smallest.
+
+    Series of under three rows stay as they are.
+    """
     halo = with_halo(frames, "frame_idx", width, radius)
     w = W.partitionBy(*keys, "_slab").orderBy("frame_idx").rowsBetween(-radius, radius)
-    return (
-        halo.withColumn("smoothed", F.mode(F.col(label), True).over(w))
-        .where(F.col("_slab") == slab_of(F.col("frame_idx"), width))
-        .drop("_slab")
-    )
+    smooth = halo.withColumn("smoothed", F.mode(F.col(label), True).over(w)).where(F.col("_slab") == slab_of(F.col("frame_idx"), width))
+    lengths = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("_length"))
+    return smooth.join(lengths, keys).withColumn(
+        "smoothed", F.when(F.col("_length") < 3, F.col(label)).otherwise(F.col("smoothed"))).drop("_slab", "_length")
 
 
 def sparse_energy(frames: DataFrame, keys: list[str], step: int = 8, floor: float = 1e-7) -> DataFrame:

@@ -115,7 +115,7 @@ def merge_heads(partials: DataFrame, slab: int = 10_000) -> DataFrame:
 def merge_decisions(partials: DataFrame, attendees: DataFrame) -> DataFrame:
     """Decisions of all parts, the first of equal descriptions kept, in order of appearance.
 
-    Case is folded by lower(), which differs from full case folding for a few letters.
+    Case is folded by lower(upper()), so that letters with several capital forms are equal too.
     """
     p = partials.join(attendees, "meeting_id", "left").withColumn(
         "attendees", F.coalesce("attendees", F.array().cast("array<string>"))
@@ -123,7 +123,7 @@ def merge_decisions(partials: DataFrame, attendees: DataFrame) -> DataFrame:
     items = p.select(
         "meeting_id", "part", F.posexplode(doc.normal_decisions(F.col("decisions"), F.col("attendees"))).alias("pos", "d")
     )
-    return items.groupBy("meeting_id", F.lower("d.description").alias("_key")).agg(
+    return items.groupBy("meeting_id", F.lower(F.upper("d.description")).alias("_key")).agg(
         F.min(F.struct("part", "pos")).alias("seen"), F.min_by("d", F.struct("part", "pos")).alias("d")
     ).select("meeting_id", "seen.part", "seen.pos", "d.description", "d.executor", "d.due_date", "d.status")
 

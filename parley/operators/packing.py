@@ -14,7 +14,7 @@ from parley.plans.carry import carry_fold
 from parley.plans.slabs import Run, running, slab_of
 
 # Default budgets.
-BATCH_CHARS, ITEM_OVERHEAD, MAX_BATCHES, MAX_ITEMS = 10_000, 48, 2, 24
+BATCH_CHARS, ITEM_OVERHEAD = 10_000, 48
 SLAB_ROWS = 20_000
 
 
@@ -78,12 +78,13 @@ def batch_items(
     return _pack(items, key, pos, F.length(text), limit, ITEM_OVERHEAD, False, slab_rows).withColumnRenamed("chunk", "batch")
 
 
-def first_batches(batched: DataFrame, limit: int = MAX_BATCHES) -> DataFrame:
+def first_batches(batched: DataFrame, limit: int) -> DataFrame:
+    """A report on the first batches of each key."""
     return batched.where(F.col("batch") <= limit)
 
 
-def worst_items(texts: DataFrame, key: str, text: str, order: str, limit: int = MAX_ITEMS) -> DataFrame:
-    """The `limit` worst distinct texts per key that need polish, ranked; `order` breaks ties.
+def worst_items(texts: DataFrame, key: str, text: str, order: str, limit: int | None = None) -> DataFrame:
+    """The distinct texts per key that need polish, worst first and ranked; `order` breaks ties. `limit`: only so many.
 
     Copies are merged map-side, and Spark keeps only the top rows of a key before the shuffle.
     """
@@ -94,4 +95,5 @@ def worst_items(texts: DataFrame, key: str, text: str, order: str, limit: int =
     one = tidy.groupBy(key, text).agg(F.min("_at").alias(order), F.min_by("score", "_at").alias("score"))
     one = one.where(F.col(order).isNotNull() & (F.col(text) != ""))
     rank = F.row_number().over(W.partitionBy(key).orderBy("score", order))
-    return one.withColumn("rank", rank).where(F.col("rank") <= limit)
+    ranked = one.withColumn("rank", rank)
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)

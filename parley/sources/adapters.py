@@ -182,7 +182,7 @@ def noisy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TAGS = ["(Coughs)", "[ blank_audio ]", "Music", "♪ music ♪", "(Clearing  throat)", "...", "?", "", "(door slams)",
-        "[Background_Music] Thanks for watching", "Subscribe", "12 34"]
+        "[Background_Music] Thanks for watching", "Subscribe", "12 34", "music _ _ _ _", "music ، ، ، ،"]
 
 
 def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
