@@ -70,7 +70,7 @@ def compared(df: DataFrame, order: list[str], ids: list[str], schema: str,
              unpacked: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]] = lambda c: c) -> DataFrame:
     """For rows of a cell that `fits` accepts (columns, later, earlier): the later's `ids` and the earlier's.
 
-    With `first`, only so many of the earliest partners of a row in a cell, and `more` tells whether others were left.
+    With `first`, only so many of the earliest partners of a row in a cell, the cell, and whether there were `more`.
     df has cell, part and across, perhaps only after `unpacked`; rows are ordered by `order` within a cell.
     """
     names = df.columns
@@ -80,7 +80,7 @@ def compared(df: DataFrame, order: list[str], ids: list[str], schema: str,
             columns = unpacked({n: batch.column(n).to_numpy(zero_copy_only=False) for n in names})
             found: list[tuple[np.ndarray, np.ndarray]] = []
             number = np.zeros(batch.num_rows, np.int64)
-            best = np.full((batch.num_rows, first or 1), -1)
+            best = np.full((batch.num_rows, first or 1), -1, np.int32)
             split = columns["across"].any()
             for later, earlier in meetings(columns["cell"]):
                 ok = fits(columns, later, earlier)
@@ -93,19 +93,15 @@ def compared(df: DataFrame, order: list[str], ids: list[str], schema: str,
                 if first is None:
                     found.append((later, earlier))
                     continue
+                best[later, number[later] % first] = earlier  # partners come nearest first: the last ones stay
                 number[later] += 1
-                for k in reversed(range(1, first)):
-                    best[later, k] = best[later, k - 1]
-                best[later, 0] = earlier
             if first is not None:
-                for k in range(first):
-                    later = np.flatnonzero(best[:, k] >= 0)
-                    found.append((later, best[later, k]))
+                found.append(((at := np.nonzero(best >= 0))[0], best[at].astype(np.int64)))
             later, earlier = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(2))
             if len(later):
                 both = [pa.array(columns[n][at]) for at in (later, earlier) for n in ids]
                 if first is not None:
-                    both.append(pa.array(number[later] > first))
-                yield pa.RecordBatch.from_arrays(both, [*(f"later_{n}" for n in ids), *(f"earlier_{n}" for n in ids), *(["more"] if first is not None else [])])
+                    both += [pa.array(columns["cell"][later]), pa.array(number[later] > first)]
+                yield pa.RecordBatch.from_arrays(both, [*(f"later_{n}" for n in ids), *(f"earlier_{n}" for n in ids), *(["cell", "more"] if first is not None else [])])
 
     return df.repartition("cell").sortWithinPartitions("cell", *order).mapInArrow(work, schema)
