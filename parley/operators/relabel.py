@@ -37,9 +37,9 @@ def _take_best(pairs: DataFrame, new: str, old: str, score: str, tie: str) -> Da
     return pairs.groupBy("meeting_id").applyInPandas(greedy, schema)
 
 
-def relabel_by_time(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Give new speaker ids the old id whose single best old turn they overlap most."""
-    new = current.select("meeting_id", F.col("speaker_id").alias("new_id"), F.col("start_ms").alias("n0"), F.col("end_ms").alias("n1"))
+def _named_by_time(current: DataFrame, name: str, previous: DataFrame) -> DataFrame:
+    """(meeting_id, new_id, old_id): new names with the old id whose single best old turn they overlap most."""
+    new = current.select("meeting_id", F.col(name).alias("new_id"), F.col("start_ms").alias("n0"), F.col("end_ms").alias("n1"))
     old = previous.select("meeting_id", F.col("speaker_id").alias("old_id"), "interval_id", F.col("start_ms").alias("o0"), F.col("end_ms").alias("o1"))
     per_turn = (
         overlap_join(new, old, ["meeting_id"], ("n0", "n1"), ("o0", "o1"))
@@ -49,7 +49,12 @@ def relabel_by_time(current: DataFrame, previous: DataFrame) -> DataFrame:
     best = per_turn.groupBy("meeting_id", "new_id", "old_id").agg(
         F.max("ms").alias("ms"), F.min(F.struct((-F.col("ms")).alias("neg"), "o0")).alias("first")
     ).withColumn("first_ms", F.col("first.o0")).drop("first")
-    names = _take_best(best, "new_id", "old_id", "ms", "first_ms")
+    return _take_best(best, "new_id", "old_id", "ms", "first_ms")
+
+
+def relabel_by_time(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """Give new speaker ids the old id whose single best old turn they overlap most."""
+    names = _named_by_time(current, "speaker_id", previous)
     return (
         current.join(names.withColumnRenamed("new_id", "speaker_id"), ["meeting_id", "speaker_id"], "left")
         .withColumn("speaker_id", F.coalesce("old_id", "speaker_id"))
@@ -81,13 +86,20 @@ def voice_similarity(fresh: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.join(k, "meeting_id").withColumn("similarity", cosine(F.col("centroid"), F.col("_known"))).drop("_known")
 
 
-def relabel_by_voice(fresh: DataFrame, known: DataFrame) -> DataFrame:
-    """Known names for new clusters (meeting_id, label, centroid), else the next free SPEAKER_nn."""
+def relabel_by_voice(fresh: DataFrame, known: DataFrame, spans: DataFrame | None = None, previous: DataFrame | None = None) -> DataFrame:
+    """Known names for new clusters (meeting_id, label, centroid): by voice; else, with the clusters' spans (meeting_id,
+    label, start_ms, end_ms) and the turns of the pass before, by the time they share with a name that is still unused;
+    else the next free SPEAKER_nn."""
     pairs = voice_similarity(fresh, known).where(F.col("similarity") > SAME_VOICE).select(
         "meeting_id", "label", "known_id", "similarity"
     )
     named = _take_best(pairs, "label", "known_id", "similarity", "known_id")
-    used = known.select("meeting_id", F.col("speaker_id").alias("id"))
+    if spans is not None and previous is not None:
+        left = spans.join(named.select("meeting_id", "label"), ["meeting_id", "label"], "left_anti")
+        unused = previous.join(named.select("meeting_id", F.col("known_id").alias("speaker_id")), ["meeting_id", "speaker_id"], "left_anti")
+        by_time = _named_by_time(left, "label", unused)
+        named = named.unionByName(by_time.select("meeting_id", F.col("new_id").alias("label"), F.col("old_id").alias("known_id")))
+    used = known.select("meeting_id", F.col("speaker_id").alias("id")).union(named.select("meeting_id", "known_id"))
     taken = used.groupBy("meeting_id").agg(F.collect_set("id").alias("taken"))
     open_labels = fresh.select("meeting_id", "label").join(named, ["meeting_id", "label"], "left_anti")
     nth = open_labels.groupBy("meeting_id").agg(F.array_sort(F.collect_list("label")).alias("open"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.functions import hops, quality, text as tx
+from parley.functions import hooks, hops, quality, text as tx
 from parley.operators import frames as fr, intervals as iv, metrics, minutes as mn, packing as pk, reconcile as rc, relabel as rl, tables as tb
 from parley.plans.carry import carry_fold
 from parley.streaming import live
@@ -375,3 +375,37 @@ def test_clock_and_budget(spark):
     r = spark.range(1).select(mn.clock(F.lit(3_725_000)).alias("c"), tx.estimate_tokens(F.lit("x" * 19)).alias("t")).first()
     assert (r["c"], r["t"]) == ("62:05", 11)
     assert mn.chunk_chars() == 10_018
+
+
+def test_clusters_are_named_by_voice_then_time_then_number(spark):
+    fresh = spark.createDataFrame([("m", 0, [1.0, 0.0]), ("m", 1, [0.0, 1.0]), ("m", 2, [-1.0, 0.1]), ("m", 3, [-1.0, -1.0])], "meeting_id string, label int, centroid array<double>")
+    known = spark.createDataFrame([("m", "SPEAKER_01", [0.9, 0.1])], "meeting_id string, speaker_id string, centroid array<double>")
+    spans = spark.createDataFrame([("m", 0, 0, 100), ("m", 1, 100, 200), ("m", 2, 150, 400), ("m", 3, 900, 950)], "meeting_id string, label int, start_ms long, end_ms long")
+    before = spark.createDataFrame([("m", "SPEAKER_01", 100, 200, 1), ("m", "SPEAKER_00", 160, 300, 2), ("m", "SPEAKER_07", 110, 140, 3)],
+                                   "meeting_id string, speaker_id string, start_ms long, end_ms long, interval_id long")
+    named = rl.relabel_by_voice(fresh, known, spans, before)
+    got = {r.label: r.speaker_id for r in named.collect()}
+    # 0 by voice; 1 shares 40 ms with SPEAKER_00 and 30 with SPEAKER_07; SPEAKER_00 is then taken; 3 gets the next free number
+    assert got == {0: "SPEAKER_01", 1: "SPEAKER_00", 2: "SPEAKER_02", 3: "SPEAKER_03"}
+    blended = {r.speaker_id: r.centroid for r in rl.blend_centroids(known, named).collect()}
+    assert blended["SPEAKER_01"] == pytest.approx([0.94, 0.06]) and blended["SPEAKER_02"] == [-1.0, 0.1]
+    plain = {r.label: r.speaker_id for r in rl.relabel_by_voice(fresh, known).collect()}
+    assert plain == {0: "SPEAKER_01", 1: "SPEAKER_00", 2: "SPEAKER_02", 3: "SPEAKER_03"}
+
+
+def test_one_failing_row_costs_one_answer(spark):
+    def model(pdf):
+        if (pdf["n"] == 7).any():
+            raise ValueError("seven")
+        return pdf["n"].astype(str)
+
+    df = spark.range(40).withColumnRenamed("id", "n").coalesce(1)
+    rows = {r.n: (r.answer, r.error) for r in hooks.with_model(df, model, "answer", retries=1, backoff=(0.0,)).collect()}
+    assert rows == {n: (None, "ValueError: seven") if n == 7 else (str(n), None) for n in range(40)}
+
+
+def test_short_series_are_not_smoothed(spark):
+    rows = [("a", 0, "x"), ("a", 1, "y"), ("b", 0, "x"), ("b", 1, "y"), ("b", 2, "x")]
+    df = spark.createDataFrame(rows, "meeting_id string, frame_idx long, label string")
+    got = {(r.meeting_id, r.frame_idx): r.smoothed for r in fr.smooth_labels(df, ["meeting_id"], "label").collect()}
+    assert got == {("a", 0): "x", ("a", 1): "y", ("b", 0): "x", ("b", 1): "x", ("b", 2): "x"}
