@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import table
+from .tables import named, renamed, table
 from .words import Words, pieces, words_of
 
 WINDOW = 13
@@ -301,9 +301,9 @@ def op9_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that are not contaminated (a twentieth of their words or more), without the benchmark's windows."""
-    found = find_passages(docs, benchmark_passes(benchmark), docs.columns, clean=True)
-    clean = found.filter((F.col("_hit") == 0) | (20 * F.col("_hit") < F.col("_words")))
-    return clean.select(*[F.col("_clean").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    own = renamed(docs, "text")
+    found = find_passages(own, benchmark_passes(benchmark), own.columns[:-1], clean=True)
+    return named(found.filter((F.col("_hit") == 0) | (20 * F.col("_hit") < F.col("_words"))), docs, "_clean")
 
 
 QUERIES = {"op9_fm_index_decontamination": op9_fm_index_decontamination}

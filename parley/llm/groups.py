@@ -70,8 +70,10 @@ def compared(df: DataFrame, order: list[str], ids: list[str], schema: str,
              unpacked: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]] = lambda c: c) -> DataFrame:
     """For rows of a cell that `fits` accepts (columns, later, earlier): the later's `ids` and the earlier's.
 
-    With `first`, only so many of the earliest partners of a row in a cell, the cell, and whether there were `more`.
-    df has cell, part and across, perhaps only after `unpacked`; rows are ordered by `order` within a cell.
+    `fits` gives 0 for rows that don't fit, 1 for such that may match and 2 for such that very likely do. With `first`,
+    a row that has likely partners is given with the earliest of them and the earliest of all, another row with so many
+    of the earliest; the cell follows, and whether there were `more`. df has cell, part and across, perhaps only after
+    `unpacked`; rows are ordered by `order` within a cell.
     """
     names = df.columns
 
@@ -80,28 +82,37 @@ def compared(df: DataFrame, order: list[str], ids: list[str], schema: str,
             columns = unpacked({n: batch.column(n).to_numpy(zero_copy_only=False) for n in names})
             found: list[tuple[np.ndarray, np.ndarray]] = []
             number = np.zeros(batch.num_rows, np.int64)
+            likely, latest = (np.full(batch.num_rows, -1) for _ in range(2))
             best = np.full((batch.num_rows, first or 1), -1, np.int32)
             split = columns["across"].any()
             for later, earlier in meetings(columns["cell"]):
-                ok = fits(columns, later, earlier)
-                later, earlier = later[ok], earlier[ok]
+                fit = fits(columns, later, earlier)
+                ok = fit > 0
                 if split:
-                    ok = ~columns["across"][later] | (columns["part"][later] != columns["part"][earlier])
-                    later, earlier = later[ok], earlier[ok]
+                    ok &= ~columns["across"][later] | (columns["part"][later] != columns["part"][earlier])
+                later, earlier, fit = later[ok], earlier[ok], fit[ok]
                 if not len(later):
                     continue
                 if first is None:
                     found.append((later, earlier))
                     continue
-                best[later, number[later] % first] = earlier  # partners come nearest first: the last ones stay
+                # partners come nearest first, so the last ones are the earliest
+                best[later, number[later] % first] = earlier
+                latest[later] = earlier
+                likely[later[fit > 1]] = earlier[fit > 1]
                 number[later] += 1
             if first is not None:
-                found.append(((at := np.nonzero(best >= 0))[0], best[at].astype(np.int64)))
+                sure = np.flatnonzero(likely >= 0)
+                other = sure[latest[sure] != likely[sure]]
+                best[sure] = -1
+                at = np.nonzero(best >= 0)
+                found += [(sure, likely[sure]), (other, latest[other]), (at[0], best[at].astype(np.int64))]
             later, earlier = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(2))
             if len(later):
                 both = [pa.array(columns[n][at]) for at in (later, earlier) for n in ids]
                 if first is not None:
-                    both += [pa.array(columns["cell"][later]), pa.array(number[later] > first)]
+                    given = np.bincount(later, minlength=len(number))
+                    both += [pa.array(columns["cell"][later]), pa.array(number[later] > given[later])]
                 yield pa.RecordBatch.from_arrays(both, [*(f"later_{n}" for n in ids), *(f"earlier_{n}" for n in ids), *(["cell", "more"] if first is not None else [])])
 
     return df.repartition("cell").sortWithinPartitions("cell", *order).mapInArrow(work, schema)

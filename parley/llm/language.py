@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import remainder, sum_blocks, table
+from .tables import named, remainder, renamed, sum_blocks, table
 from .words import WORD_BYTE, Words, mix, pieces, words_of
 
 BINS = 1 << 16
@@ -175,8 +175,9 @@ def op6_mixture_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose language can be told; those with `und` go."""
-    found = identify(docs, *learned(learn_from(docs)), docs.columns)
-    return found.filter("_lang <> 'und'").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = renamed(docs, "text")
+    found = identify(own, *learned(learn_from(docs)), own.columns[:-1])
+    return named(found.filter("_lang <> 'und'"), docs)
 
 
 QUERIES = {"op6_mixture_language": op6_mixture_language}

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.session import ensure_checkpoint_dir
@@ -34,6 +34,16 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def renamed(docs: DataFrame, *others: str | Column) -> DataFrame:
+    """All columns under names of no meaning (`_c0`, ...), so that none clashes, and some of them again as they are."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], *others)
+
+
+def named(df: DataFrame, docs: DataFrame, text: str | None = None) -> DataFrame:
+    """The columns of docs back under their names; `text` is the column to take for text."""
+    return df.select(*[F.col(text if text and c == "text" else f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def remainder(doc_id: str, by: int):
     """crc32 of the document's id as text, by `by`; a missing id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % by

@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -47,7 +47,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers_for(n: int):
-    up, down = _powers(max(21, int(n).bit_length()))
+    up, down = _powers(max(20, int(n).bit_length()))
     return up[:n], down
 
 

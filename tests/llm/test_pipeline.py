@@ -62,3 +62,14 @@ def test_tables_without_rows(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).collect() == []
     assert lines.without_lines(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect() == []
     assert decontaminate.decontaminate(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect() == []
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    names = ["_text", "_lang", "_removed", "_key", "_clean", "_c0", "node", "key", "_hit", "lines"]
+    row = (1, "one line here\nand another one there", "en", "s", 0, *names)
+    schema = SCHEMA + "".join(f", {n} string" for n in names)
+    docs = spark.createDataFrame([row, (2, *row[1:])], schema)
+    spark.createDataFrame([(1, "benchmark words of no document")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and tuple(min(out.collect())) == row, name
