@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import named, remainder, renamed, sum_blocks, table
+from .tables import named, packed, remainder, renamed, sum_blocks, table, unpacked
 from .words import WORD_BYTE, Words, mix, pieces, words_of
 
 BINS = 1 << 16
@@ -62,14 +62,14 @@ def counted(labelled: DataFrame) -> DataFrame:
         for name, counts in total.items():
             for k in range(BINS // BLOCK):
                 part = counts[k * BLOCK : (k + 1) * BLOCK].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([f"{k} {name}"]), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{k} {name}"]), pa.array([packed(part)], pa.binary())], ["block", "counts"])
 
     return labelled.select("lang", "text").mapInArrow(work, "block string, counts binary")
 
 
 def learned(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log-probabilities of the trigram bins (bins x languages). One small table a language."""
-    blocks = {r.block: np.frombuffer(r.counts, np.int64) for r in sum_blocks(counted(labelled)).collect()}
+    blocks = {r.block: unpacked(r.counts) for r in sum_blocks(counted(labelled)).collect()}
     names = sorted({b.split(" ", 1)[1] for b in blocks})
     counts = np.array([np.concatenate([blocks[f"{k} {x}"] for k in range(BINS // BLOCK)]) for x in names], float).reshape(-1, BINS)
     seen = max(1, int((counts.sum(0) > 0).sum())) if len(names) else 1

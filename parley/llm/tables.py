@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,17 +50,26 @@ def remainder(doc_id: str, by: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % by
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """An array of 64-bit numbers, mostly zeros, as compressed bytes."""
+    return zlib.compress(np.ascontiguousarray(counts).tobytes(), 1)
+
+
+def unpacked(data: bytes | pa.Buffer) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.int64)
+
+
 def sum_blocks(df: DataFrame, add_up=np.add) -> DataFrame:
-    """Sum (or another ufunc) of the int64 arrays in `counts` (bytes) for each `block`, added up as they stream in."""
+    """Sum (or another ufunc) of the packed arrays in `counts` for each `block`, added up as they stream in."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = np.frombuffer(counts.as_buffer(), np.int64)
-                total[block] = add_up(total[block], got) if block in total else got.copy()
+                got = unpacked(counts.as_buffer())
+                total[block] = add_up(total[block], got) if block in total else got
         for block, counts in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([counts.tobytes()], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([packed(counts)], pa.binary())], ["block", "counts"])
 
     return df.select("block", "counts").repartition("block").mapInArrow(add, "block string, counts binary")
 
@@ -82,11 +92,11 @@ class Filter:
             for k in range(0, len(words), block):
                 part = words[k : k + block]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([str(k)]), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([str(k)]), pa.array([packed(part)], pa.binary())], ["block", "counts"])
 
         self.words = np.zeros(1 << (bits - 6), np.uint64)
         for r in sum_blocks(rows.mapInArrow(work, "block string, counts binary"), np.bitwise_or).collect():
-            got = np.frombuffer(r.counts, np.uint64)
+            got = unpacked(r.counts).view(np.uint64)
             self.words[int(r.block) : int(r.block) + len(got)] = got
 
     def passes(self, hashes: np.ndarray) -> np.ndarray:
