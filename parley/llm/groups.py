@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Rows of a key that one cell compares.
 CELL_ROWS = 4096
 BATCH_ROWS = 1 << 17
+#: Pairs that are held before they are handed on.
+HELD_PAIRS = 1 << 18
 
 
 def in_cells(df: DataFrame, key: Column, count: Column, spread: Column) -> DataFrame:
@@ -77,6 +79,15 @@ def compared(df: DataFrame, order: list[str], ids: list[str], schema: str,
     """
     names = df.columns
 
+    def given(columns: dict[str, np.ndarray], found: list[tuple[np.ndarray, np.ndarray]], number: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        later, earlier = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(2))
+        if len(later):
+            both = [pa.array(columns[n][at]) for at in (later, earlier) for n in ids]
+            if number is not None:
+                tried = np.bincount(later, minlength=len(number))
+                both += [pa.array(columns["cell"][later]), pa.array(number[later] > tried[later])]
+            yield pa.RecordBatch.from_arrays(both, [*(f"later_{n}" for n in ids), *(f"earlier_{n}" for n in ids), *(["cell", "more"] if number is not None else [])])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _runs(batches):
             columns = unpacked({n: batch.column(n).to_numpy(zero_copy_only=False) for n in names})
@@ -84,7 +95,7 @@ def compared(df: DataFrame, order: list[str], ids: list[str], schema: str,
             number = np.zeros(batch.num_rows, np.int64)
             likely, latest = (np.full(batch.num_rows, -1) for _ in range(2))
             best = np.full((batch.num_rows, first or 1), -1, np.int32)
-            split = columns["across"].any()
+            split, held = columns["across"].any(), 0
             for later, earlier in meetings(columns["cell"]):
                 fit = fits(columns, later, earlier)
                 ok = fit > 0
@@ -95,6 +106,10 @@ def compared(df: DataFrame, order: list[str], ids: list[str], schema: str,
                     continue
                 if first is None:
                     found.append((later, earlier))
+                    held += len(later)
+                    if held >= HELD_PAIRS:
+                        yield from given(columns, found, None)
+                        found, held = [], 0
                     continue
                 # partners come nearest first, so the last ones are the earliest
                 best[later, number[later] % first] = earlier
@@ -107,12 +122,6 @@ def compared(df: DataFrame, order: list[str], ids: list[str], schema: str,
                 best[sure] = -1
                 at = np.nonzero(best >= 0)
                 found += [(sure, likely[sure]), (other, latest[other]), (at[0], best[at].astype(np.int64))]
-            later, earlier = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(2))
-            if len(later):
-                both = [pa.array(columns[n][at]) for at in (later, earlier) for n in ids]
-                if first is not None:
-                    given = np.bincount(later, minlength=len(number))
-                    both += [pa.array(columns["cell"][later]), pa.array(number[later] > given[later])]
-                yield pa.RecordBatch.from_arrays(both, [*(f"later_{n}" for n in ids), *(f"earlier_{n}" for n in ids), *(["cell", "more"] if first is not None else [])])
+            yield from given(columns, found, None if first is None else number)
 
     return df.repartition("cell").sortWithinPartitions("cell", *order).mapInArrow(work, schema)
