@@ -1,10 +1,11 @@
 """Near-duplicate documents by order MinHash.
 
-A document's k-mers are its runs of five words (a shorter text is one k-mer). Each occurrence of a k-mer is labelled
-with its number in the document. For each of 14 hash functions, the three labelled k-mers of the smallest hashes are
-taken and put back into text order; documents share a sketch entry when they have the same three in the same order,
-which happens more often the smaller their edit distance is. At a similarity of 0.8, one of 14 entries is shared with
-a probability of 0.9999.
+A document's k-mers are its runs of five words (a shorter text is one k-mer). For each of 14 hash functions, the three
+distinct k-mers of the smallest hashes are taken and put back into the order of their first occurrences; documents share
+a sketch entry when they have the same three in the same order, which happens more often the smaller their edit distance
+is. Texts of at most 100 distinct k-mers, where three minima agree less often, have six entries more. At a similarity of
+0.8, one entry is shared with a probability of 0.99995 or more, as entries follow the measure below. Texts that repeat
+k-mers also have the 14 entries of their labelled k-mers, each occurrence labelled with its number in the document.
 
 Two documents are linked if a banded alignment of their distinct k-mers, in order of first occurrence, matches at least
 0.8 of them, as aligned / (all distinct k-mers of both - aligned): Jaccard's measure for sequences. The band is the
@@ -38,8 +39,11 @@ KMER = 5
 SIMILARITY = 0.8
 TABLES = 14
 MINIMA = 3
+#: Texts of at most so many distinct k-mers have so many more entries.
+FEW = 100
+MORE = 6
 BITMAP_WORDS = 4
-_SEEDS = mix(np.arange(1, TABLES + 1).astype(np.uint64)) | np.uint64(1)
+_SEEDS = mix(np.arange(1, TABLES + MORE + 1).astype(np.uint64)) | np.uint64(1)
 
 
 def kmers(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -78,13 +82,13 @@ def once(hashes: np.ndarray, offsets: np.ndarray, number: np.ndarray) -> tuple[n
     return hashes[first], np.concatenate([[0], np.cumsum(first)])[offsets]
 
 
-def sketches(hashes: np.ndarray, offsets: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Sketch entries (rows x tables) of rows that all have a k-mer."""
+def sketches(hashes: np.ndarray, offsets: np.ndarray, number: np.ndarray, seeds: np.ndarray = _SEEDS[:TABLES]) -> np.ndarray:
+    """Sketch entries (rows x seeds) of rows that all have a k-mer."""
     own = np.where(number > 0, mix(hashes + mix(number.astype(np.uint64))), hashes)
     sizes, n = np.diff(offsets), len(offsets) - 1
-    out = np.empty((n, TABLES), np.uint64)
+    out = np.empty((n, len(seeds)), np.uint64)
     largest = np.uint64(2**64 - 1)
-    for t, seed in enumerate(_SEEDS):
+    for t, seed in enumerate(seeds):
         value = own ^ seed
         value *= seed
         value ^= value >> np.uint64(29)
@@ -105,6 +109,32 @@ def sketches(hashes: np.ndarray, offsets: np.ndarray, number: np.ndarray) -> np.
     return out
 
 
+def _rows(offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k-mers of some rows, and the offsets of these rows among them."""
+    sizes = np.diff(offsets)[which]
+    own = np.concatenate([[0], np.cumsum(sizes)])
+    return np.arange(own[-1]) + np.repeat(offsets[which] - own[:-1], sizes), own
+
+
+def all_entries(hashes: np.ndarray, offsets: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketch entries (rows x (tables, more, tables)) of all rows, and which of them a row has: those of its distinct
+    k-mers, more if these are few, and those of its labelled k-mers where they differ."""
+    distinct, own = once(hashes, offsets, number)
+    sizes = np.diff(own)
+    out = np.zeros((len(sizes), 2 * TABLES + MORE), np.uint64)
+    has = np.zeros(out.shape, bool)
+    sets = [(sizes > 0, False, 0, TABLES), ((sizes > 0) & (sizes <= FEW), False, TABLES, TABLES + MORE), (sizes < np.diff(offsets), True, TABLES + MORE, out.shape[1])]
+    for which, labelled, a, b in sets:
+        which = np.flatnonzero(which)
+        if len(which):
+            at, rows = _rows(offsets if labelled else own, which)
+            values, numbers = (hashes[at], number[at]) if labelled else (distinct[at], np.zeros(len(at), np.int64))
+            out[which, a:b] = sketches(values, rows, numbers, _SEEDS[: b - a] if labelled else _SEEDS[a:b])
+            has[which, a:b] = True
+    has[:, TABLES + MORE :] &= out[:, TABLES + MORE :] != out[:, :TABLES]
+    return out, has
+
+
 def bitmaps(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each row, the parity of its k-mers in each of 256 bins."""
     n, bits = len(offsets) - 1, BITMAP_WORDS * 64
@@ -133,12 +163,13 @@ def sketched(docs: DataFrame) -> DataFrame:
                 number = occurrence(hashes, offsets)
                 distinct, own = once(hashes, offsets, number)
                 some = np.flatnonzero(np.diff(offsets))
-                entries, bits = np.zeros((piece.num_rows, TABLES), np.int64), np.zeros((piece.num_rows, BITMAP_WORDS), np.int64)
+                bits = np.zeros((piece.num_rows, BITMAP_WORDS), np.int64)
+                entries, has = all_entries(hashes, offsets, number)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has.sum(1))]).astype(np.int32)), pa.array(entries[has].view(np.int64)))
                 if len(some):
-                    entries[some] = sketches(hashes, np.append(offsets[:-1][some], offsets[-1]), number).view(np.int64)
                     bits[some] = bitmaps(distinct, np.append(own[:-1][some], own[-1])).view(np.int64)
                 node = pa.array(fingerprints(w).view(np.int64), mask=np.diff(offsets) == 0)
-                yield pa.RecordBatch.from_arrays([*piece.columns[:2], node, pa.array(np.diff(own)), _lists(entries), _lists(bits)],
+                yield pa.RecordBatch.from_arrays([*piece.columns[:2], node, pa.array(np.diff(own)), lists, _lists(bits)],
                                                  ["doc_id", "key", "node", "n", "entries", "bits"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(
@@ -248,7 +279,7 @@ def _classes_of(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFram
     nodes = keep(rows.filter("node is not null").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("of"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"),
         F.first("n").alias("n"), F.first("entries").alias("entries"), F.first("bits").alias("bits")), "nodes")
-    bins = nodes.select("node", "n", F.explode(F.transform("entries", lambda e, t: F.xxhash64(t, e))).alias("entry"),
+    bins = nodes.select("node", "n", F.explode("entries").alias("entry"),
                         *[F.col("bits")[k].alias(f"b{k}") for k in range(BITMAP_WORDS)])
     numbers = bins.groupBy("entry").agg(F.count("*").alias("number")).filter("number > 1")
     shared = keep(bins.join(numbers, "entry"), "shared")
