@@ -4,9 +4,11 @@ Base spans are found by four patterns (email, ip, card, phone). The nodes of the
 space, without punctuation around them) that hold a digit, an @ or a +, and the words that equal an email's local part.
 A node's own potential comes from its shape and the word before it; neighbouring nodes share a transition potential.
 Skip edges join the occurrences of equal or similar tokens, however far apart: the same token, the same last seven
-digits, an email and its local part. They go from each occurrence to the next, so a token that stands a thousand times
-adds a thousand edges. Loopy sum-product messages then carry labels along both kinds of edges, and a token that no
-pattern matches takes the label that its repetitions have. Nodes with a label of probability `SURE` or more that no base
+digits, an email and its local part. They go from each occurrence to a hub of what they share, so any two are two hops
+apart and a token that stands a thousand times adds a thousand edges. A hub has only the labels of base spans among its
+occurrences, if there are any, so that many repetitions can't outvote the one that a pattern matches. Loopy sum-product
+messages then carry labels along both kinds of edges until they stop changing, and a token that no pattern matches takes
+the label that its repetitions have. Messages of a document that still change after `ROUNDS` are taken as they are. Nodes with a label of probability `SURE` or more that no base
 span covers are added to the base spans, which all stay.
 
 Weights of shapes, contexts and transitions are fitted by pseudo-likelihood on a bounded sample (`SAMPLE` documents with
@@ -21,8 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,8 @@ from .tables import table
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 1000
 SURE = 0.5
-ROUNDS = 8
+ROUNDS = 200
+SETTLED = 1e-6
 AGREE = 8.0
 CONTEXT = 64
 
@@ -103,7 +108,8 @@ class Nodes:
     shape: np.ndarray  #: nodes x features
     context: np.ndarray  #: bin of the word before
     chain: np.ndarray  #: edges x 2
-    skip: np.ndarray
+    skip: np.ndarray  #: edges x 2, to nodes or to hubs, which are numbered behind the nodes
+    hubs: np.ndarray | None = None  #: hubs x labels: the labels that base spans give its occurrences
 
 
 _DIGITS_UP_TO = (0, 3, 6, 8, 11, 15, 19)
@@ -135,13 +141,14 @@ def _keys(token: str, digits: int, locals_: set[str]) -> list[str]:
 
 
 def nodes_of(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> Nodes:
-    doc, start, end, label, shape, context, chain, skip = [], [], [], [], [], [], [], []
+    doc, start, end, label, shape, context, chain, joined = [], [], [], [], [], [], [], []
     for d, (text, own) in enumerate(zip(texts, spans, strict=True)):
         if not _CANDIDATE.search(text):
             continue
         locals_ = {x for s, k, e in own if k == 0 and len(x := text[s:e].partition("@")[0].lower()) >= 4}
-        last: dict[str, int] = {}
-        before, at, place, seen = "", 0, -9, 0
+        members: dict[str, list[int]] = {}
+        starts, reach = [a for a, _, _ in own], list(accumulate((b for _, _, b in own), max))
+        before, at, place = "", 0, -9
         for m in _TOKEN.finditer(text):
             whole = m[0]
             place += 1
@@ -151,18 +158,17 @@ def nodes_of(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> Nodes
                 if token:
                     s = m.end() - len(left)
                     e = s + len(token)
-                    while seen < len(own) and own[seen][2] <= s and (seen + 1 == len(own) or own[seen][2] <= own[seen + 1][2]):
-                        seen += 1
-                    cover = next((k + 1 for a, k, b in own[seen : seen + 8] if a < e and s < b), 0)
+                    # the first span that ends behind the token's start
+                    first = bisect_right(reach, s)
+                    cover = own[first][1] + 1 if first < len(own) and starts[first] < e else 0
                     i = len(doc)
                     if len(start) and doc[-1] == d and place - at <= 2:
                         chain.append((i - 1, i))
                     at = place
                     digits = sum("0" <= c <= "9" for c in token)
                     for key in _keys(token, digits, locals_):
-                        if key in last and last[key] != i:
-                            skip.append((last[key], i))
-                        last[key] = i
+                        if (same := members.setdefault(key, []))[-1:] != [i]:
+                            same.append(i)
                     doc.append(d)
                     start.append(s)
                     end.append(e)
@@ -170,8 +176,13 @@ def nodes_of(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> Nodes
                     shape.append(_shape(token))
                     context.append(_bin(before.strip(_AROUND)))
             before = whole
+        joined += [same for same in members.values() if len(same) > 1]
+    hubs = np.zeros((len(joined), len(KINDS) + 1), bool)
+    for k, same in enumerate(joined):
+        hubs[k, [label[i] for i in same if label[i]]] = True
+    skip = [(i, len(doc) + k) for k, same in enumerate(joined) for i in same]
     edges = lambda x: np.array(x, np.int64).reshape(-1, 2)
-    return Nodes(*(np.array(x, np.int64) for x in (doc, start, end, label)), np.array(shape, np.float32).reshape(-1, SHAPES), np.array(context, np.int64), edges(chain), edges(skip))
+    return Nodes(*(np.array(x, np.int64) for x in (doc, start, end, label)), np.array(shape, np.float32).reshape(-1, SHAPES), np.array(context, np.int64), edges(chain), edges(skip), hubs)
 
 
 @dataclass
@@ -218,27 +229,33 @@ def fitted(n: Nodes, steps: int = 300, rate: float = 0.2, decay: float = 1e-3) -
 
 def marginals(n: Nodes, w: Weights, rounds: int = ROUNDS, given: float = 6.0) -> np.ndarray:
     """Label probabilities by loopy sum-product; the base spans' labels are given as strong evidence."""
-    labels = len(KINDS) + 1
+    labels, nodes = len(KINDS) + 1, len(n.label)
     own = _own(n, w) + given * np.eye(labels)[n.label] * (n.label > 0)[:, None]
+    if n.hubs is not None and len(n.hubs):
+        own = np.concatenate([own, np.where(n.hubs.any(1, keepdims=True) & ~n.hubs, -100.0, 0.0)])
     edges = np.concatenate([n.chain, n.skip])
-    if not len(edges):
-        p = np.exp(own - own.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
     pair = np.concatenate([np.repeat(w.chain[None], len(n.chain), 0), np.repeat(w.skip[None], len(n.skip), 0)])
     source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     pair = np.exp(np.concatenate([pair, pair.transpose(0, 2, 1)]))  # source label x target label
     m, half = np.zeros((len(source), labels)), len(edges)
     back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
+    doc = np.tile(n.doc[edges[:, 0]], 2)  # an edge begins at a node, not at a hub
+    live = np.arange(len(source))
     for _ in range(rounds):
+        if not len(live):
+            break
         belief = own.copy()
-        np.add.at(belief, target, m)
-        out = belief[source] - m[back]
+        np.add.at(belief, target[live], m[live])
+        out = belief[source[live]] - m[back[live]]
         out = np.exp(out - out.max(1, keepdims=True))
-        new = np.log(np.einsum("es,est->et", out, pair))
-        m = 0.5 * m + 0.5 * (new - new.max(1, keepdims=True))
+        new = np.log(np.einsum("es,est->et", out, pair[live]))
+        new = 0.5 * m[live] + 0.5 * (new - new.max(1, keepdims=True))
+        moving = np.unique(doc[live[np.abs(new - m[live]).max(1) > SETTLED]])
+        m[live] = new
+        live = live[np.isin(doc[live], moving)]
     belief = own.copy()
     np.add.at(belief, target, m)
-    p = np.exp(belief - belief.max(1, keepdims=True))
+    p = np.exp(belief - belief.max(1, keepdims=True))[:nodes]
     return p / p.sum(1, keepdims=True)
 
 

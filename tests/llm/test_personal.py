@@ -70,6 +70,31 @@ def test_repeated_tokens_take_the_label(spark):
     assert got[901].spans == "" and sum(got[i].n_added for i in range(150)) == 0
 
 
+def sample_weights():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = [f"{word()} write to {word()}.{i}@mail.example.com or call +1 555 {rng.randint(1000000, 9999999)} about item {rng.randint(10, 99)} and {rng.randint(100, 999)}" for i in range(150)]
+    return pl.fitted(pl.nodes_of(texts, [pl.base_spans(t) for t in texts]))
+
+
+def test_labels_reach_all_repetitions():
+    w = sample_weights()
+    for many in (1, 2, 30, 300):
+        texts = ["ask jane.doe77@mail.example.com first. " + "Later jane.doe77 answers, with many words between them. " * many,
+                 "call +1 555 8675309 now. " + "Then again 8675309 is in the list of this text. " * many, "numbers 12345 alone " * many]
+        added = pl.added_spans(texts, [pl.base_spans(t) for t in texts], w)
+        assert [len(x) for x in added] == [many, many, 0]
+        assert {k for _, k, _ in added[0]} == {0} and {k for _, k, _ in added[1]} == {3}
+
+
+def test_covering_span_behind_many_others():
+    text = "a@b.cd " + "4111111111111111@x.com " + "q@x.com " * 20 + "+1 555 8675309 end"
+    own = pl.base_spans(text)
+    n = pl.nodes_of([text], [own])
+    want = [next((k + 1 for a, k, b in own if a < e and s < b), 0) for s, e in zip(n.start.tolist(), n.end.tolist(), strict=True)]
+    assert n.label.tolist() == want and want[-1] == 4
+
+
 def test_base_spans_of_the_table(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
