@@ -186,6 +186,10 @@ def g6(spark, d):
     return mn.merge_heads(src.partials(spark, d))
 
 
+def g6_summaries(spark, d):
+    return mn.merge_summaries(src.partials(spark, d))
+
+
 def g6_decisions(spark, d):
     return mn.merge_decisions(src.partials(spark, d), people(spark, d))
 
@@ -202,7 +206,7 @@ QUERIES = {
     "t2_dedupe_segments": t2, "t3_merge_adjacent": t3, "t4_align_windows": t4, "t4_align_text_only": t4_text,
     "t5_finalize_review": t5, "t6_review_modes": t6, "t6_mode_decision": t6_decision, "t8_streams_to_segments": t8,
     "g5_transcript_lines": g5, "u2_line_split": u2, "u3_batch_pack": u3, "u4_prompt_parts": u4, "k3_worst_items": k3,
-    "k5_batch_caps": k5, "g6_merge_heads": g6, "g6_merge_decisions": g6_decisions, "t9_minutes": t9,
+    "k5_batch_caps": k5, "g6_merge_heads": g6, "g6_merge_summaries": g6_summaries, "g6_merge_decisions": g6_decisions, "t9_minutes": t9,
 }
 
 # ---- SQL -----------------------------------------------------------------------------------

@@ -87,7 +87,10 @@ def prompt_parts(
 
 
 def merge_heads(partials: DataFrame, slab: int = 10_000) -> DataFrame:
-    """First non-blank subject, date and place by part, and the joined summaries, cut at the limit."""
+    """First non-blank subject, date and place by part, and the joined summaries, cut at the limit.
+
+    The cut summary is for reports; `merge_summaries` has all of them.
+    """
 
     def first(value: Column) -> Column:
         v = tx.strip(value)
@@ -112,6 +115,11 @@ def merge_heads(partials: DataFrame, slab: int = 10_000) -> DataFrame:
     )
 
 
+def merge_summaries(partials: DataFrame) -> DataFrame:
+    """The whole summary of every part that has one, one row each: (meeting_id, part, summary), read by part."""
+    return partials.select("meeting_id", "part", tx.strip(F.col("summary")).alias("summary")).where("summary <> ''")
+
+
 def merge_decisions(partials: DataFrame, attendees: DataFrame) -> DataFrame:
     """Decisions of all parts, the first of equal descriptions kept, in order of appearance.
 
@@ -131,7 +139,7 @@ def merge_decisions(partials: DataFrame, attendees: DataFrame) -> DataFrame:
 def minutes(
     partials: DataFrame, attendees: DataFrame, status: DataFrame
 ) -> DataFrame:
-    """One head row per meeting; decisions stay a table (see merge_decisions)."""
+    """One head row per meeting; decisions and whole summaries stay tables (see merge_decisions, merge_summaries)."""
     heads = merge_heads(partials)
     n = merge_decisions(partials, attendees).groupBy("meeting_id").agg(F.count(F.lit(1)).alias("n_decisions"))
     m = status.join(heads, "meeting_id", "left").join(n, "meeting_id", "left").join(attendees, "meeting_id", "left")

@@ -409,3 +409,9 @@ def test_short_series_are_not_smoothed(spark):
     df = spark.createDataFrame(rows, "meeting_id string, frame_idx long, label string")
     got = {(r.meeting_id, r.frame_idx): r.smoothed for r in fr.smooth_labels(df, ["meeting_id"], "label").collect()}
     assert got == {("a", 0): "x", ("a", 1): "y", ("b", 0): "x", ("b", 1): "x", ("b", 2): "x"}
+
+
+def test_summaries_of_all_parts_stay(spark):
+    rows = [("m", i, f" part {i} " + "x" * 500 + " ") for i in range(8)] + [("m", 8, "  "), ("m", 9, None), ("n", 0, "short")]
+    got = mn.merge_summaries(spark.createDataFrame(rows, "meeting_id string, part long, summary string"))
+    assert [tuple(r) for r in got.orderBy("meeting_id", "part").collect()] == [(m, i, s.strip()) for m, i, s in rows if s and s.strip()]
