@@ -180,8 +180,9 @@ def edited(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     made = keep(made, "fingerprints")
     ends = made.filter(F.col("last").isNotNull())
     # numbers of partitions only: one row for each
-    numbers = ends.select("part").withColumn("after", F.lead("part").over(Window.orderBy("part")))
-    numbers = numbers.crossJoin(F.broadcast(numbers.agg(F.min("part").alias("least")))).select("part", F.coalesce("after", "least").alias("after"))
+    every = Window.orderBy("part")
+    least = F.first("part").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    numbers = ends.select("part").select("part", F.coalesce(F.lead("part").over(every), least).alias("after"))
     starts = ends.select(F.col("part").alias("after"), F.col("first").alias("following"))
     met = ends.select("part", "doc_id", "last").join(numbers, "part").join(starts, "after").select("doc_id", "last", "following")
     return made.filter(F.col("last").isNull()).select("doc_id", *_RESULT).unionByName(met.mapInArrow(_across, f"doc_id long, {_SCHEMA}"))
