@@ -5,7 +5,7 @@ A word is a run of ASCII letters, digits and non-ASCII characters, A-Z taken as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -91,6 +91,15 @@ def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+def prefix_sums(values: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of (start, end) that gives 64-bit hashes of these slices of a sequence of 64-bit values."""
+    up, down = _powers_for(len(values))
+    total = np.empty(len(values) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(values * up, out=total[1:])
+    return lambda starts, ends: mix((total[ends] - total[starts]) * down[starts])
+
+
 @dataclass
 class Words:
     raw: np.ndarray  #: bytes of all rows
