@@ -1,21 +1,22 @@
 """Near-duplicate documents by order MinHash.
 
-A document's k-mers are its runs of five words (a shorter text is one k-mer). For each of 14 hash functions, the three
-distinct k-mers of the smallest hashes are taken and put back into the order of their first occurrences; documents share
-a sketch entry when they have the same three in the same order, which happens more often the smaller their edit distance
-is. Texts of at most 100 distinct k-mers, where three minima agree less often, have six entries more. At a similarity of
-0.8, one entry is shared with a probability of 0.99995 or more, as entries follow the measure below. Texts that repeat
-k-mers also have the 14 entries of their labelled k-mers, each occurrence labelled with its number in the document.
+A document's k-mers are its runs of five words (a shorter text is one k-mer), each labelled with the number of equal ones
+before it, so that a passage that stands twice counts twice. For each of 14 hash functions, the three labelled k-mers of
+the smallest hashes are taken and put back into the order of the text; documents share a sketch entry when they have the
+same three in the same order, which happens more often the smaller their edit distance is. Texts of at most 100 k-mers,
+where three minima agree less often, have six entries more. At a similarity of 0.8, one entry is shared with a
+probability of 0.99995 or more.
 
-Two documents are linked if a banded alignment of their distinct k-mers, in order of first occurrence, matches at least
-0.8 of them, as aligned / (all distinct k-mers of both - aligned): Jaccard's measure for sequences. The band is the
-largest shift that 0.8 allows, so the alignment loses nothing.
+Two documents are linked if a banded alignment of their k-mers, all of them and in text order, matches at least 0.8 of
+them, as aligned / (k-mers of both - aligned): Jaccard's measure for sequences. The band is the largest shift that 0.8
+allows, so the alignment loses nothing. Texts that differ in how often they repeat a passage differ by what is repeated.
 
 Copies with the same words are one node from the start (named by a 64-bit hash of the word sequence). The node that
 shares most entries leads the others of an entry, and each is aligned with its leaders; then those that share an entry
 and are not yet in one class are compared, after exact bounds: length, and the number of differing bits in a bitmap of
-the k-mers, which can't exceed the number of differing k-mers. Groups are never expanded into all pairs: what a class
-has already joined is skipped, the rest passes the bounds first.
+the labelled k-mers, which can't exceed the number of differing ones. A bitmap has a bit or two for each k-mer, so that
+the bound is as strict for long texts as for short ones; of two sizes, the larger is folded onto the smaller. Groups are
+never expanded into all pairs: what a class has already joined is skipped, the rest passes the bounds first.
 
 Defined cases: null and empty texts, and texts without words, are each of a class of their own; equal words are copies
 however few; a repeated row gets its class each time; a null doc_id names no class: such a row gets the class of its
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .groups import compared, differing, in_cells
+from .groups import compared, in_cells
 from .tables import classes, keep, table
 from .words import Words, heads, mix, pieces, words_of
 
@@ -39,10 +40,13 @@ KMER = 5
 SIMILARITY = 0.8
 TABLES = 14
 MINIMA = 3
-#: Texts of at most so many distinct k-mers have so many more entries.
+#: Texts of at most so many k-mers have so many more entries.
 FEW = 100
 MORE = 6
-BITMAP_WORDS = 4
+#: Bits of the smallest bitmap.
+LEAST_BITS = 256
+#: Words of bitmaps that are compared at once.
+HELD_WORDS = 1 << 20
 _SEEDS = mix(np.arange(1, TABLES + MORE + 1).astype(np.uint64)) | np.uint64(1)
 
 
@@ -76,15 +80,14 @@ def occurrence(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return number
 
 
-def once(hashes: np.ndarray, offsets: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k-mers at their first occurrences, and the rows' offsets."""
-    first = number == 0
-    return hashes[first], np.concatenate([[0], np.cumsum(first)])[offsets]
+def labelled(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """K-mers with the number of equal ones before them."""
+    return np.where(number > 0, mix(hashes + mix(number.astype(np.uint64))), hashes)
 
 
 def sketches(hashes: np.ndarray, offsets: np.ndarray, number: np.ndarray, seeds: np.ndarray = _SEEDS[:TABLES]) -> np.ndarray:
     """Sketch entries (rows x seeds) of rows that all have a k-mer."""
-    own = np.where(number > 0, mix(hashes + mix(number.astype(np.uint64))), hashes)
+    own = labelled(hashes, number)
     sizes, n = np.diff(offsets), len(offsets) - 1
     out = np.empty((n, len(seeds)), np.uint64)
     largest = np.uint64(2**64 - 1)
@@ -117,30 +120,56 @@ def _rows(offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def all_entries(hashes: np.ndarray, offsets: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sketch entries (rows x (tables, more, tables)) of all rows, and which of them a row has: those of its distinct
-    k-mers, more if these are few, and those of its labelled k-mers where they differ."""
-    distinct, own = once(hashes, offsets, number)
-    sizes = np.diff(own)
-    out = np.zeros((len(sizes), 2 * TABLES + MORE), np.uint64)
+    """Sketch entries (rows x (tables, more)) of all rows, and which of them a row has."""
+    sizes = np.diff(offsets)
+    out = np.zeros((len(sizes), TABLES + MORE), np.uint64)
     has = np.zeros(out.shape, bool)
-    sets = [(sizes > 0, False, 0, TABLES), ((sizes > 0) & (sizes <= FEW), False, TABLES, TABLES + MORE), (sizes < np.diff(offsets), True, TABLES + MORE, out.shape[1])]
-    for which, labelled, a, b in sets:
+    for which, a, b in ((sizes > 0, 0, TABLES), ((sizes > 0) & (sizes <= FEW), TABLES, TABLES + MORE)):
         which = np.flatnonzero(which)
         if len(which):
-            at, rows = _rows(offsets if labelled else own, which)
-            values, numbers = (hashes[at], number[at]) if labelled else (distinct[at], np.zeros(len(at), np.int64))
-            out[which, a:b] = sketches(values, rows, numbers, _SEEDS[: b - a] if labelled else _SEEDS[a:b])
+            at, rows = _rows(offsets, which)
+            out[which, a:b] = sketches(hashes[at], rows, number[at], _SEEDS[a:b])
             has[which, a:b] = True
-    has[:, TABLES + MORE :] &= out[:, TABLES + MORE :] != out[:, :TABLES]
     return out, has
 
 
-def bitmaps(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each row, the parity of its k-mers in each of 256 bins."""
-    n, bits = len(offsets) - 1, BITMAP_WORDS * 64
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    odd = np.bincount(row * bits + (hashes >> np.uint64(56)).astype(np.int64) % bits, minlength=n * bits).reshape(n, bits) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64).reshape(n, BITMAP_WORDS)
+def bitmaps(own: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """For each row, the parity of its labelled k-mers in bins: a power of two of them, at least as many as k-mers."""
+    sizes = np.diff(offsets)
+    bits = np.array([max(LEAST_BITS, 1 << int(n - 1).bit_length()) if n else 0 for n in sizes.tolist()], np.int64)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    odd = np.bincount(base[row] + (own & (bits[row] - 1).astype(np.uint64)).astype(np.int64), minlength=base[-1]) & 1
+    data = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [data[a // 8 : b // 8] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+class Bitmaps:
+    """Bitmaps of rows, of different sizes."""
+
+    def __init__(self, bits: np.ndarray):
+        self.words = np.frombuffer(b"".join(bits), np.uint64)
+        self.sizes = np.array([len(x) // 8 for x in bits], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _folded(self, which: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros((len(which), size), np.uint64)
+        for own in np.unique(self.sizes[which]):
+            at = np.flatnonzero(self.sizes[which] == own)
+            words = self.words[self.starts[which[at], None] + np.arange(own)]
+            out[at] = np.bitwise_xor.reduce(words.reshape(len(at), own // size, size), axis=1)
+        return out
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Differing bits of rows x and y, over the smaller size of each two."""
+        smaller, out = np.minimum(self.sizes[x], self.sizes[y]), np.zeros(len(x), np.int64)
+        for size in np.unique(smaller):
+            every = np.flatnonzero(smaller == size)
+            step = max(1, HELD_WORDS // int(size))
+            for k in range(0, len(every), step):
+                at = every[k : k + step]
+                out[at] = np.bitwise_count(self._folded(x[at], size) ^ self._folded(y[at], size)).sum(1, dtype=np.int64)
+        return out
 
 
 def fingerprints(w: Words) -> np.ndarray:
@@ -152,7 +181,7 @@ def fingerprints(w: Words) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), node (hash of the words; null without words), n (distinct k-mers), entries, bits."""
+    """doc_id, key (of the text), node (hash of the words; null without words), n (k-mers), entries, bits."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,24 +190,14 @@ def sketched(docs: DataFrame) -> DataFrame:
                 w = words_of(piece.column(2))
                 hashes, offsets = kmers(w)
                 number = occurrence(hashes, offsets)
-                distinct, own = once(hashes, offsets, number)
-                some = np.flatnonzero(np.diff(offsets))
-                bits = np.zeros((piece.num_rows, BITMAP_WORDS), np.int64)
                 entries, has = all_entries(hashes, offsets, number)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has.sum(1))]).astype(np.int32)), pa.array(entries[has].view(np.int64)))
-                if len(some):
-                    bits[some] = bitmaps(distinct, np.append(own[:-1][some], own[-1])).view(np.int64)
                 node = pa.array(fingerprints(w).view(np.int64), mask=np.diff(offsets) == 0)
-                yield pa.RecordBatch.from_arrays([*piece.columns[:2], node, pa.array(np.diff(own)), lists, _lists(bits)],
+                yield pa.RecordBatch.from_arrays([*piece.columns[:2], node, pa.array(np.diff(offsets)), lists, pa.array(bitmaps(labelled(hashes, number), offsets), pa.binary())],
                                                  ["doc_id", "key", "node", "n", "entries", "bits"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(
-        work, f"doc_id {kind}, key long, node long, n long, entries array<bigint>, bits array<bigint>")
-
-
-def _lists(values: np.ndarray) -> pa.Array:
-    n, width = values.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.ravel()))
+        work, f"doc_id {kind}, key long, node long, n long, entries array<bigint>, bits binary")
 
 
 def needed(n: int, m: int, similarity: float = SIMILARITY) -> int:
@@ -223,13 +242,12 @@ def aligned(a: np.ndarray, b: np.ndarray, least: int) -> int:
 
 
 def _sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, seq): the distinct k-mers, in order, of each wanted (node, of), of = (doc_id, key) of a row that has them."""
+    """(node, seq): the k-mers, in order, of each wanted (node, of), of = (doc_id, key) of a row that has them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 hashes, offsets = kmers(words_of(piece.column(1)))
-                hashes, offsets = once(hashes, offsets, occurrence(hashes, offsets))
                 seqs = [hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(seqs, pa.binary())], ["node", "seq"])
 
@@ -255,21 +273,19 @@ def _verified(pairs: DataFrame, sequences: DataFrame, similarity: float) -> Data
 
 
 def _across_classes(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of rows (entry, number, node, class, n, b0..) that share an entry, are of two classes and within
+    """Pairs (a, b) of rows (entry, number, node, class, n, bits) that share an entry, are of two classes and within
     the bounds."""
 
     def fits(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
         total = c["n"][x] + c["n"][y]
         least = np.ceil(similarity / (1 + similarity) * total - 1e-9).astype(np.int64)
-        ok = (c["class"][x] != c["class"][y]) & (least <= np.minimum(c["n"][x], c["n"][y]))
-        x, y = x[ok], y[ok]
-        differ = sum(differing(c[f"b{k}"][x], c[f"b{k}"][y]) for k in range(BITMAP_WORDS))
-        out = ok.copy()
-        out[ok] = differ <= total[ok] - 2 * least[ok]
+        out = (c["class"][x] != c["class"][y]) & (least <= np.minimum(c["n"][x], c["n"][y]))
+        at = np.flatnonzero(out)
+        out[at] = c["maps"].differ(x[at], y[at]) <= total[at] - 2 * least[at]
         return out
 
     cells = in_cells(members, F.col("entry"), F.col("number"), F.col("node")).drop("number", "entry")
-    return compared(cells, ["node"], ["node"], "b long, a long", fits)
+    return compared(cells, ["node"], ["node"], "b long, a long", fits, unpacked=lambda c: {**c, "maps": Bitmaps(c["bits"])})
 
 
 def _classes_of(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -279,8 +295,7 @@ def _classes_of(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFram
     nodes = keep(rows.filter("node is not null").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("of"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"),
         F.first("n").alias("n"), F.first("entries").alias("entries"), F.first("bits").alias("bits")), "nodes")
-    bins = nodes.select("node", "n", F.explode("entries").alias("entry"),
-                        *[F.col("bits")[k].alias(f"b{k}") for k in range(BITMAP_WORDS)])
+    bins = nodes.select("node", "n", F.explode("entries").alias("entry"))
     numbers = bins.groupBy("entry").agg(F.count("*").alias("number")).filter("number > 1")
     shared = keep(bins.join(numbers, "entry"), "shared")
     # the node that shares most entries with others leads those it meets
@@ -293,7 +308,8 @@ def _classes_of(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFram
     # then those that still meet members of other classes
     known = shared.join(classes(links), "node", "left").withColumn("class", F.coalesce("class", "node"))
     mixed = known.groupBy("entry").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("entry")
-    more = _across_classes(known.join(mixed, "entry", "left_semi"), similarity).distinct()
+    apart = known.join(mixed, "entry", "left_semi").join(nodes.select("node", "bits"), "node")
+    more = _across_classes(apart, similarity).distinct()
     links = keep(links.unionByName(_verified(more, sequences, similarity)), "links")
     final = nodes.select("node", "doc_id", "of", "copies").join(classes(links), "node", "left").withColumn("class", F.coalesce("class", "node"))
     names = final.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min("of").alias("stays"))

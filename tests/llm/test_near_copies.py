@@ -1,6 +1,7 @@
 """Order MinHash against all pairs of a small table, and odd documents."""
 
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 def shingles(text):
     words = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.lower()).split()
-    return list(dict.fromkeys(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))) if words else []
+    return [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
 
 
 def lcs(a, b):
@@ -81,17 +82,54 @@ def test_classes_hold_every_link(spark, monkeypatch):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
-def test_repetitions_are_no_difference(spark):
+def test_repetitions_count(spark):
     rng = random.Random(4)
     word = lambda: f"v{rng.randrange(10**9)}"
-    docs = []
-    for i in range(0, 20, 2):
-        own, line = " ".join(word() for _ in range(104)), " ".join(word() for _ in range(20))
-        docs += [(i, own + " " + line), (i + 1, own + (" " + line) * 200)]
-        a, b = shingles(docs[-2][1]), shingles(docs[-1][1])
-        assert len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    docs, want = [], {}
+    for i in range(0, 30, 3):
+        own, line = " ".join(word() for _ in range(200)), " ".join(word() for _ in range(10))
+        docs += [(i, f"{own} {line}"), (i + 1, f"{own} {line} {line}"), (i + 2, own + f" {line}" * 40)]
+        a, b, c = (shingles(t) for _, t in docs[-3:])
+        assert similarity(a, b) >= 0.8 > similarity(b, c)
+        want |= {i: i, i + 1: i, i + 2: i + 2}
+    once = " ".join(word() for _ in range(100))
+    docs += [(100, once), (101, " ".join([once] * 50))]
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], SCHEMA)
-    assert {r.doc_id: r.class_id for r in nc.near_classes(df).collect()} == {i: i - i % 2 for i, _ in docs}
+    assert {r.doc_id: r.class_id for r in nc.near_classes(df).collect()} == want | {100: 100, 101: 101}
+
+
+def test_bitmaps_bound_the_differing_kmers():
+    rng = np.random.default_rng(7)
+    rows = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (1, 200, 256, 257, 900, 1000, 1030, 5000)]
+    rows += [np.concatenate([r[: len(r) * 9 // 10], rng.integers(0, 2**63, len(r) // 20 + 1).astype(np.uint64)]) for r in rows]
+    maps = nc.Bitmaps(np.array(nc.bitmaps(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])), object))
+    x, y = (g.ravel() for g in np.meshgrid(np.arange(len(rows)), np.arange(len(rows))))
+    got = maps.differ(x, y)
+    for i, j, d in zip(x, y, got, strict=True):
+        n, m, common = len(rows[i]), len(rows[j]), len(np.intersect1d(rows[i], rows[j]))
+        assert d <= n + m - 2 * common
+        if common == 0 and min(n, m) >= 0.8 * max(n, m) >= 200:  # unlike texts of any length are told apart
+            assert d > n + m - 2 * nc.needed(n, m)
+
+
+def test_recall_on_the_table(spark):
+    """All links between texts of the table, found by common k-mers and a plain alignment, lie within classes."""
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r.class_id for r in nc.op1_order_minhash(spark, sf).collect()}
+    texts = {r.doc_id: shingles(r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    holders = defaultdict(set)
+    for d, s in texts.items():
+        for k in s:
+            holders[k].add(d)
+    links = found = 0
+    for d, s in texts.items():
+        common = Counter(e for k in set(s) for e in holders[k] if e < d)
+        for e, n in common.items():
+            a, b = sorted((s, texts[e]), key=len)
+            if len(a) >= 0.8 * len(b) and n >= 0.5 * len(set(a)) and similarity(a, b) >= 0.8:
+                links += 1
+                found += got[d] == got[e]
+    assert links > 50 and found == links
 
 
 def test_short_texts_share_an_entry():
