@@ -11,8 +11,8 @@ ends a word, with one edit, the two are neighbours.
 Three things keep the frontier small, and none loses a neighbour. A pair is found from one side: the longer word drops
 a letter, or the word smaller in the differing letter is replaced. Walks begin half-way: edits in the second half of a
 word are found in the trie of words, those in the first half in that of the reversed words, so that the first half is
-matched whole and no walk fans out near the root. An edge knows the lengths of the words beyond it. Every pair found is
-compared as text at last, so equal hashes of different prefixes do no harm.
+matched whole and no walk fans out near the root. An edge has a Bloom filter of what words spell beyond it, and a state
+with an edit must spell one of these. Every pair found is compared as text at last, so equal hashes do no harm.
 
 A node has at most as many edges as there are letters. The words at a node that many share are dealt out in salts, and
 its edges are repeated for each; the number of salts comes from the words counted below it.
@@ -43,6 +43,10 @@ FORM_RATIO = 10
 #: Words counted in a task before they are handed on, and words at a node that one salt takes.
 HELD_WORDS = 1 << 18
 SALT_WORDS = 1 << 12
+#: The depth that neighbours are written under.
+FOUND = -1
+#: Longs of an edge's filter.
+TAIL_LONGS = 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -139,8 +143,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trie(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (depth, node, words, child, label, below, lengths, end) and the states that walks begin with.
 
-    `words` are counted at the node, `below` at the child; `lengths` has a bit for the length (modulo 64) of each word
-    that goes through; `end` is (word, n) if one ends at the child."""
+    `words` are counted at the node, `below` at the child; `tails` has a bit for the hash of what each word that goes
+    through spells beyond the child; `end` is (word, n) if one ends at the child."""
     words = keep(vocabulary.select("word", "n", F.xxhash64("word").alias("id1"), F.xxhash64(F.reverse("word"), F.lit(1)).alias("id2")), "words")
     rows = keep(words.select("word", "id1", "id2").mapInArrow(_prefixes, "id1 long, id2 long, back boolean, depth long, node long, follow int, entry boolean"), "prefixes")
     # an entry that only shorter words pass through is one of theirs as well: nodes depend on the prefix alone
@@ -155,10 +159,11 @@ def trie(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
     label = F.substr("spelt", (F.col("s.up.depth") + 1).cast("int"), (F.col("s.down.depth") - F.col("s.up.depth")).cast("int"))
     end = F.when(F.col("s.down.depth") == F.col("size"), F.struct("word", "n"))
     edges = steps.select(F.col("s.up.depth").cast("int").alias("depth"), "s.up.node", "s.up.words", F.col("s.down.node").alias("child"), label.alias("label"), F.col("s.down.words").alias("below"),
-                         F.expr("shiftleft(1L, size % 64)").alias("bit"), end.alias("end"))
-    edges = edges.groupBy("depth", "node", "child").agg(F.min("words").alias("words"), F.min("label").alias("label"), F.min("below").alias("below"), F.bit_or("bit").alias("lengths"), F.max("end").alias("end"))
+                         tail_bit(F.substr("spelt", (F.col("s.down.depth") + 1).cast("int"))).alias("bit"), end.alias("end"))
+    bits = [F.bit_or(F.when(F.shiftright("bit", 6) == k, F.expr("shiftleft(1L, bit % 64)")).otherwise(F.lit(0))).alias(f"tails{k}") for k in range(TAIL_LONGS)]
+    edges = edges.groupBy("depth", "node", "child").agg(F.min("words").alias("words"), F.min("label").alias("label"), F.min("below").alias("below"), *bits, F.max("end").alias("end"))
     first = F.element_at("path", 1)
-    begin = walks.select("word", "n", F.col("size").alias("target"), F.substr("spelt", (first["depth"] + 1).cast("int")).alias("rest"), first["node"].alias("node"), first["words"].alias("words"), F.lit(0).alias("edits"),
+    begin = walks.select("word", "n", F.substr("spelt", (first["depth"] + 1).cast("int")).alias("rest"), first["node"].alias("node"), first["words"].alias("words"), F.lit(0).alias("edits"),
                          first["depth"].cast("int").alias("depth"))
     return edges, begin
 
@@ -166,36 +171,46 @@ def trie(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
 # -- the frontier ----------------------------------------------------------------------------------------------------
 
 
+def tail_bit(rest: Column) -> Column:
+    return F.pmod(F.xxhash64(rest), F.lit(64 * TAIL_LONGS)).cast("int")
+
+
+def spells(rest: Column) -> Column:
+    """Whether words may spell this beyond an edge."""
+    bit = tail_bit(rest)
+    own = F.element_at(F.array(*[F.col(f"tails{k}") for k in range(TAIL_LONGS)]), F.shiftright(bit, 6) + 1)
+    return F.getbit(own, F.pmod(bit, F.lit(64))) == 1
+
+
 def salts(words: str) -> Column:
     return F.ceil(F.col(words) / SALT_WORDS).cast("int")
 
 
 def moved(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """States after one edge: word, n, target, rest, node, words, edits, depth, and `found` where a word is used up."""
+    """States after one edge: word, n, rest, node, words, edits, depth, and `found` where a word is used up (of no depth)."""
     left = states.withColumn("salt", F.pmod(F.xxhash64("word"), salts("words"))).drop("words", "depth")
     right = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), salts("words") - 1))).drop("words")
     size = F.char_length("label")
     spelt, fresh = F.startswith("rest", "label"), F.col("edits") == 0
     after = lambda more: F.substr("rest", size + 1 + more)
     same, longer = F.substr("rest", F.lit(1), size), F.substr("rest", F.lit(1), size + 1)
-    beyond = lambda length: F.getbit("lengths", F.pmod(length, F.lit(64))) == 1
     off_by_one = lambda part: F.levenshtein("label", part, 1) == 1
     used = lambda rest: F.when(rest == "", F.col("end"))
 
-    def move(when: Column, edits: int, rest: Column, target: Column, found: Column) -> Column:
-        return F.when(when, F.struct(F.lit(edits).alias("edits"), rest.alias("rest"), target.alias("target"), found.alias("found")))
+    def move(when: Column, edits: int, rest: Column, found: Column) -> Column:
+        return F.when(when, F.struct(F.lit(edits).alias("edits"), rest.alias("rest"), found.alias("found")))
 
-    target, no_word = F.col("target"), F.lit(None).cast("struct<word:string,n:bigint>")
+    no_word = F.lit(None).cast("struct<word:string,n:bigint>")
     moves = F.array(
-        move(spelt & fresh, 0, after(0), target, no_word),
-        move(spelt & fresh & (F.char_length("rest") == size + 1), 1, F.lit(""), target - 1, F.col("end")),
-        move(spelt & ~fresh & beyond(target), 1, after(0), target, used(after(0))),
-        move(fresh & ~spelt & (F.char_length("rest") >= size) & beyond(target) & (F.col("label") > same) & off_by_one(same), 1, after(0), target, used(after(0))),
-        move(fresh & ~spelt & (F.char_length("rest") > size) & beyond(target - 1) & off_by_one(longer), 1, after(1), target - 1, used(after(1))),
+        move(spelt & fresh, 0, after(0), no_word),
+        move(spelt & fresh & (F.char_length("rest") == size + 1), 1, F.lit(""), F.col("end")),
+        move(spelt & ~fresh & spells(after(0)), 1, after(0), used(after(0))),
+        move(fresh & ~spelt & (F.char_length("rest") >= size) & (F.col("label") > same) & spells(after(0)) & off_by_one(same), 1, after(0), used(after(0))),
+        move(fresh & ~spelt & (F.char_length("rest") > size) & spells(after(1)) & off_by_one(longer), 1, after(1), used(after(1))),
     )
     met = left.join(right, ["node", "salt"])
     each = met.select("word", "n", F.col("child").alias("node"), F.col("below").alias("words"), (F.col("depth") + size).alias("depth"), F.explode(F.filter(moves, lambda m: m.isNotNull())).alias("m"))
-    each = each.select("word", "n", "m.target", "m.rest", "node", "words", "m.edits", "m.found", "depth")
+    each = each.select("word", "n", "m.rest", "node", "words", "m.edits", "m.found", F.when(F.col("m.found").isNotNull(), FOUND).otherwise(F.col("depth")).alias("depth"))
     return each.filter((F.col("rest") != "") | F.col("found").isNotNull())
 
 
@@ -206,19 +221,18 @@ def neighbours(vocabulary: DataFrame) -> DataFrame:
     folder, edge_folder = shared_folder(spark, "frontier"), shared_folder(spark, "edges")
     edges.write.partitionBy("depth").parquet(edge_folder)
     found = F.lit(None).cast("struct<word:string,n:bigint>").alias("found")
-    begin = begin.select("word", "n", "target", "rest", "node", "words", "edits", found, "depth")
+    begin = begin.select("word", "n", "rest", "node", "words", "edits", found, "depth")
     begin.write.partitionBy("depth").parquet(folder)
-    waiting = F.col("found").isNull()
-    depth = -1
+    depth = FOUND
     while True:
-        # folders are named by depth: a round reads its own only
+        # folders are named by depth: a round reads its own only, and the names of those that wait
         states = spark.read.schema(begin.schema).parquet(folder)
-        depth = states.filter(waiting & (F.col("depth") > depth)).agg(F.min("depth")).first()[0]
+        depth = states.filter(F.col("depth") > depth).agg(F.min("depth")).first()[0]
         if depth is None:
             break
         own = spark.read.schema(edges.schema).parquet(edge_folder).filter(F.col("depth") == depth)
-        moved(states.filter(waiting & (F.col("depth") == depth)).drop("found"), own).write.partitionBy("depth").mode("append").parquet(folder)
-    pairs = states.filter(F.col("found").isNotNull()).select("word", "n", F.col("found.word").alias("other"), F.col("found.n").alias("other_n")).distinct()
+        moved(states.filter(F.col("depth") == depth).drop("found"), own).write.partitionBy("depth").mode("append").parquet(folder)
+    pairs = states.filter(F.col("depth") == FOUND).select("word", "n", F.col("found.word").alias("other"), F.col("found.n").alias("other_n")).distinct()
     return pairs.filter(F.levenshtein("word", "other", 1) == 1)
 
 
