@@ -6,7 +6,8 @@ from parley.catalog.common import INTERVALS, NOISY, OVERLAP_SEGMENTS, WINDOWS, s
 from parley.catalog.intervals import REGIONS
 from parley.catalog.text import DF, score
 from parley.functions import documents as doc, quality, text as tx
-from parley.operators import frames as fr, intervals as iv, minutes as mn, packing as pk, reconcile as rc, review as rv
+from parley.operators import frames as fr, intervals as iv, minutes as mn, packing as pk, reconcile as rc, recordings as rec, review as rv
+from parley.plans.kept import keep
 from parley.sources import adapters as src
 
 C = F.col
@@ -105,24 +106,22 @@ def stt_answers(windows, spark, d, ids):
     return w.join(c, ["conv_id", "say"], "left").withColumn("text", F.coalesce("text", F.lit(""))).select(*ids, "start_ms", "end_ms", "text", "window_no")
 
 
-def t7(spark, d):
-    """Recordings of all meetings to reviewed segments in one job.
-
-    Not registered yet: it has not been seen to finish in reasonable time on the small tables.
-    """
-    # The frames feed the windows and the turns, and the turns feed every branch of the alignment.
-    frames = src.speech_frames(spark, d).persist()
+def recording_inputs(spark, d):
+    """Windows of the recordings with what was recognised in them, and who is heard when."""
+    frames = keep(src.speech_frames(spark, d), "frames")
     hop = dict(frame_ms=100, window_ms=2000, hop_ms=1500, min_rms=0.3)
     w = fr.hopping_windows(frames, ["meeting_id"], **hop).unionByName(fr.tail_window(frames, ["meeting_id"], **hop))
-    said = stt_answers(w, spark, d, ["meeting_id"])
-    gated = rv.gate_segments(said)
-    gated = gated.withColumn("words", F.array().cast(rc.WORDS)).withColumn("window_id", C("window_no"))
+    said = stt_answers(w, spark, d, ["meeting_id"]).withColumn("words", F.array().cast(rc.WORDS)).withColumnRenamed("window_no", "window_id")
     turns = iv.label_runs(frames, ["meeting_id"], "frame_idx", "stream_id", 1, 50_000).select(
         "meeting_id", F.concat(F.lit("SPEAKER_"), "stream_id").alias("speaker_id"), (C("run_start") * 100).alias("start_ms"),
-        (C("run_end") * 100).alias("end_ms"), F.lit(False).alias("is_overlap"), C("run_start").alias("interval_id")).persist()
-    seg = rc.align_windows(gated.select("meeting_id", "start_ms", "end_ms", "text", "words", "window_id"), turns, ["meeting_id"])
-    seg = rc.dedupe_segments(seg, ["meeting_id"]).withColumn("ord", F.struct("start_ms", "speaker_id", "text"))
-    return rv.finalize_review(seg, reviewer).select("meeting_id", "speaker_id", "start_ms", "end_ms", "text", "is_overlap")
+        (C("run_end") * 100).alias("end_ms"), F.lit(False).alias("is_overlap"), C("run_start").alias("interval_id"))
+    return said, keep(turns, "turns")
+
+
+def t7(spark, d):
+    """Recordings of all meetings to reviewed segments in one job."""
+    said, turns = recording_inputs(spark, d)
+    return rec.reviewed(said, turns, reviewer).select("meeting_id", "speaker_id", "start_ms", "end_ms", "text", "is_overlap")
 
 
 def t8(spark, d):
@@ -204,7 +203,7 @@ def t9(spark, d):
 QUERIES = {
     "w6_absorb_short_turns": w6, "w10_speaker_runs": w10, "t1_collapse_windows": t1, "u1_word_union": u1,
     "t2_dedupe_segments": t2, "t3_merge_adjacent": t3, "t4_align_windows": t4, "t4_align_text_only": t4_text,
-    "t5_finalize_review": t5, "t6_review_modes": t6, "t6_mode_decision": t6_decision, "t8_streams_to_segments": t8,
+    "t5_finalize_review": t5, "t6_review_modes": t6, "t6_mode_decision": t6_decision, "t7_recordings": t7, "t8_streams_to_segments": t8,
     "g5_transcript_lines": g5, "u2_line_split": u2, "u3_batch_pack": u3, "u4_prompt_parts": u4, "k3_worst_items": k3,
     "k5_batch_caps": k5, "g6_merge_heads": g6, "g6_merge_summaries": g6_summaries, "g6_merge_decisions": g6_decisions, "t9_minutes": t9,
 }

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql import types as T
 
 from parley.functions.quality import needs_polish
 from parley.functions.text import strip
-from parley.plans.carry import carry_fold
+from parley.plans.jumps import reached
+from parley.plans.kept import keep
 from parley.plans.slabs import Run, running, slab_of
 
 # Default budgets.
@@ -19,37 +16,44 @@ SLAB_ROWS = 20_000
 
 
 def _pack(
-    items: DataFrame, key: str, pos: str, size: Column, limit: int, overhead: int, pieces: bool, slab_rows: int
+    items: DataFrame, key: str, pos: str, size: Column, limit: int, overhead: int, pieces: bool, slab_rows: int,
+    on_round=lambda number: None,
 ) -> DataFrame:
     """Add `chunk`, the number (from 1) of the greedy chunk in which each item starts.
 
-    Only positions and sizes go through the fold.  An item over the limit stands alone;
-    with `pieces` it takes as many chunks as it fills.  With `pieces` the overhead is the
-    separator, charged from the second item on; otherwise every item pays it.
-    """
+    Only positions and sizes are looked at.  An item over the limit stands alone; with `pieces` it
+    takes as many chunks as it fills.  With `pieces` the overhead is the separator, charged from
+    the second item on; otherwise every item pays it.
 
-    def fold(carry, rows: pd.DataFrame, end):
-        used, out = carry, []
-        for p, n in zip(rows[pos], rows["_size"]):
-            n = int(n)
-            cost = n if pieces else n + overhead
-            more = cost + overhead if pieces else cost
-            if n > limit:
-                starts, used = (math.ceil(n / limit) if pieces else 1), None
-            elif used is None or used + more > limit:
-                starts, used = 1, cost
-            else:
-                starts, used = 0, used + more
-            out.append((int(p), starts))
-        return out, used
-
-    narrow = items.select(key, F.col(pos).cast("long").alias(pos), size.cast("long").alias("_size"))
-    out = T.StructType([T.StructField(pos, T.LongType()), T.StructField("_starts", T.LongType())])
-    starts = carry_fold(narrow, [key], [pos], slab_rows, fold, out, slab_rows)
-    starts = starts.withColumn("_slab", slab_of(F.col(pos), slab_rows))
-    numbered = running(starts, [key], "_slab", [pos], [Run("_last", "sum", F.col("_starts"))])
-    first = F.when(F.col("_starts") > 0, F.col("_last") - F.col("_starts") + 1).otherwise(F.col("_last"))
-    return items.join(numbered.select(key, pos, first.alias("chunk")), [key, pos])
+    With running sums of what the items cost, the chunk that begins at an item ends before the
+    first item whose sum is beyond a threshold.  One sort of sums and thresholds together finds
+    that item for every item, whether it begins a chunk or not; which of them do is what the first
+    item, and each one behind an item over the limit, reaches along these pointers.
+    """
+    n = size.cast("long")
+    big = n > limit
+    cost = n if pieces else n + overhead
+    more = cost + overhead if pieces else cost
+    own = items.select(F.col(key).alias("key"), F.col(pos).cast("long").alias("at"), n.alias("n"), big.alias("big"), cost.alias("cost"), more.alias("more"))
+    # An item over the limit raises the sum beyond all thresholds before it.
+    own = own.withColumn("more", F.when(F.col("big"), F.col("cost") + limit + overhead).otherwise(F.col("more"))).withColumn("_slab", slab_of(F.col("at"), slab_rows))
+    summed = keep(running(own, ["key"], "_slab", ["at"], [Run("upto", "sum", F.col("more")), Run("behind", "last", F.col("big"))]).drop("_slab"), "sums")
+    until = F.col("upto") + F.greatest(F.lit(0), F.lit(limit) - F.col("cost"))
+    none = F.lit(None).cast("struct<at:bigint,big:boolean>")
+    edges = summed.select("key", F.col("upto").alias("value"), F.lit(0).alias("kind"), "at", F.struct("at", "big").alias("item")).unionByName(
+        summed.where(~F.col("big")).select("key", until.alias("value"), F.lit(1).alias("kind"), "at", none.alias("item"))
+    ).withColumn("_slab", slab_of(F.col("value"), slab_rows * 16))
+    led = running(edges, ["key"], "_slab", ["value", "kind", "at"], [Run("to", "next", F.col("item"))])
+    pointers = led.where((F.col("kind") == 1) & ~F.col("to.big")).select("key", "at", F.col("to.at").alias("to"))
+    heads = reached(pointers, summed.where(~F.col("big") & F.coalesce("behind", F.lit(True))).select("key", "at"), on_round)
+    parts = F.ceil(F.col("n") / F.lit(limit)) if pieces else F.lit(1).cast("long")
+    begun = summed.where("big").select("key", "at", parts.alias("starts")).unionByName(heads.select("key", "at", F.lit(1).cast("long").alias("starts")))
+    # Chunks begun before an item and with it, in the order of their items.
+    counted = summed.select("key", "at", F.lit(0).cast("long").alias("starts")).unionByName(begun).groupBy("key", "at").agg(F.sum("starts").alias("starts"))
+    numbered = running(counted.withColumn("_slab", slab_of(F.col("at"), slab_rows)), ["key"], "_slab", ["at"], [Run("_last", "sum", F.col("starts"))])
+    first = F.when(F.col("starts") > 0, F.col("_last") - F.col("starts") + 1).otherwise(F.col("_last"))
+    numbered = numbered.select(F.col("key").alias("_key"), F.col("at").alias("_at"), first.alias("chunk"))
+    return items.join(numbered, F.col(key).eqNullSafe(F.col("_key")) & (F.col(pos).cast("long") == F.col("_at"))).drop("_key", "_at")
 
 
 def split_lines(lines: DataFrame, key: str, pos: str, line: str, limit: int, slab_rows: int = SLAB_ROWS) -> DataFrame:
