@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from parley.catalog.common import INTERVALS, SEGMENTS
+from parley.catalog.common import INTERVALS, SEGMENTS, norm_tokens, strip
 from parley.functions import hooks, text as tx
 from parley.operators import intervals as iv, relabel as rl
 from parley.sources import adapters as src
-from parley.streaming import live
+from parley.plans.slabs import Run, running, slab_of
+from parley.streaming import live, stateful
 
 C = F.col
 CONV = ["meeting_id", "conv_id"]
@@ -36,15 +37,35 @@ def windows_stream(spark, d):
                     F.array().cast("array<struct<word:string,start_ms:bigint,end_ms:bigint>>").alias("words"), C("turn").alias("window_id"))
 
 
+def live_rows(spark, d):
+    """The newest form of each row; windows of a conversation come in time order."""
+    return live.latest_batch(live.run_available(stateful.refined_rows(windows_stream(spark, d), CONV), "update"), [*CONV, "row_id"])
+
+
 def x2(spark, d):
-    b = live.run_available(live.refine_buffer(windows_stream(spark, d), CONV), "update")
-    return live.latest_batch(b, CONV).drop("words")
+    rows = live_rows(spark, d).withColumn("_slab", slab_of(C("start_ms")))
+    numbered = running(rows, CONV, "_slab", ["start_ms", "row_id"], [Run("row_no", "sum", F.lit(1), inclusive=False)])
+    return numbered.select(*CONV, C("row_no").cast("long").alias("row_no"), "start_ms", "end_ms", "text")
 
 
 def x3(spark, d):
+    """Segments of what each batch has changed, until a later batch changes it again."""
     i = src.intervals(spark, d)
-    out = live.run_available(live.refine_buffer(windows_stream(spark, d), CONV), "update", live.republish(i, CONV))
-    return live.latest_batch(out, CONV).withColumn("overlap_speakers", F.array_join("overlap_speakers", ","))
+    rows = live_rows(spark, d).withColumnRenamed("row_id", "row_no").drop("closed")
+    out = live.republish(i, CONV)(rows, 0)
+    return out.withColumn("overlap_speakers", F.array_join("overlap_speakers", ","))
+
+
+def control_events(e):
+    """A log of commands: an error is the last client leaving, a purchase the stop; all else is activity."""
+    at = C("ts").cast("timestamp")
+    command = F.when(C("event_type") == "error", "left").when(C("event_type") == "purchase", "stop").otherwise("active")
+    return e.select(C("user_id").cast("string").alias("meeting_id"), at.alias("at"), F.unix_millis(at).alias("at_ms"), "event_id", command.alias("command"))
+
+
+def x7_stream(spark, d):
+    """Sessions end by a stop, or six hours after the last client left and nobody came back."""
+    return live.run_available(stateful.ended_sessions(control_events(read_stream(spark, d, "events")), 6 * 3_600_000, event_time=True)).drop("batch")
 
 
 def x4(spark, d):
@@ -135,12 +156,42 @@ def g13(spark, d):
 
 
 QUERIES = {
-    "x1_live_windows": x1, "x2_refine_buffer": x2, "x3_live_republish": x3, "x4_activity_sessions": x4, "x4_sample_activity": x4_samples,
+    "x1_live_windows": x1, "x2_refine_buffer": x2, "x3_live_republish": x3, "x4_activity_sessions": x4, "x7_session_ends": x7_stream, "x4_sample_activity": x4_samples,
     "x5_periodic_relabel": x5, "s15_update_feed": s15, "h1_model_hook": h1, "h3_diarizer_hook": h3,
     "j6_relabel_by_time": j6, "j7_voice_similarity": j7, "j7_relabel_by_voice": j7_names, "g13_count_speakers": g13,
 }
 
+JOINED = lambda t: f"array_to_string({norm_tokens(t)}, ' ')"
+COMMON = lambda a, b: f"len(list_distinct(list_intersect({norm_tokens(a)}, {norm_tokens(b)})))"
+DISTINCT = lambda t: f"len(list_distinct({norm_tokens(t)}))"
+#: A window of text b may replace a row's text a: the rule of the same utterance, or a containment of 0.4.
+RELATED = lambda a, b: f"""((contains({JOINED(a)}, {JOINED(b)}) OR contains({JOINED(b)}, {JOINED(a)})) AND {JOINED(a)} <> '' AND {JOINED(b)} <> ''
+    OR {COMMON(a, b)} >= 0.4e0 * len(list_distinct(list_concat({norm_tokens(a)}, {norm_tokens(b)}))) AND {DISTINCT(a)} > 0 AND {DISTINCT(b)} > 0
+    OR {COMMON(a, b)} >= 0.4e0 * least({DISTINCT(a)}, {DISTINCT(b)}) AND {DISTINCT(a)} > 0 AND {DISTINCT(b)} > 0)"""
+WORDS_IN = lambda t: f"len(list_filter(regexp_split_to_array({t}, '\\s+'), lambda z: z <> ''))"
+
 SQL = {
+    "x2_refine_buffer": f"""WITH RECURSIVE w AS (SELECT CAST(conv_id AS VARCHAR) AS meeting_id, conv_id, CAST(turn * 8000 AS BIGINT) AS s, CAST(turn * 8000 + 10000 + (turn % 3) * 9000 AS BIGINT) AS e,
+          {strip('text')} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE {strip('text')} <> ''),
+        b AS (SELECT meeting_id, conv_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(s BIGINT, e BIGINT, t VARCHAR)[]) AS kept FROM (SELECT DISTINCT meeting_id, conv_id FROM w)
+          UNION ALL
+          SELECT meeting_id, conv_id, rn, list_sort(CASE WHEN share IS NULL OR share < 0.5e0 THEN list_append(kept, struct_pack(s := s, e := e, t := t))
+             ELSE list_transform(kept, lambda x, i: CASE WHEN i <> best THEN x ELSE struct_pack(s := least(x.s, s), e := greatest(x.e, e),
+                t := CASE WHEN related AND {WORDS_IN('t')} >= {WORDS_IN('old')} THEN t ELSE x.t END) END) END) AS kept
+          FROM (SELECT *, {RELATED('old', 't')} AS related FROM (SELECT *, coalesce(kept[best].t, '') AS old FROM (SELECT *, list_position(shares, list_max(shares)) AS best, list_max(shares) AS share FROM (
+             SELECT b.meeting_id, b.conv_id, w.rn, b.kept, w.s, w.e, w.t,
+                list_transform(b.kept, lambda x: greatest(0, least(x.e, w.e) - greatest(x.s, w.s)) / greatest(1, least(x.e - x.s, w.e - w.s))) AS shares
+             FROM b JOIN w ON w.conv_id = b.conv_id AND w.rn = b.rn + 1))))),
+        last AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY rn DESC) = 1)
+        SELECT meeting_id, conv_id, CAST(i - 1 AS BIGINT) AS row_no, kept[i].s AS start_ms, kept[i].e AS end_ms, kept[i].t AS text FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS i FROM last)""",
+    "x7_session_ends": """WITH c AS (SELECT CAST(user_id AS VARCHAR) AS meeting_id, epoch_us(ts) // 1000 AS t, event_id, CASE event_type WHEN 'error' THEN 'left' WHEN 'purchase' THEN 'stop' ELSE 'active' END AS command FROM events),
+        n AS (SELECT *, lead(t) OVER w AS next_t, max(t) OVER () AS last_t FROM c WINDOW w AS (PARTITION BY meeting_id ORDER BY t, event_id)),
+        k AS (SELECT *, command = 'stop' OR command = 'left' AND coalesce(next_t, last_t + 1) > t + 21600000 AND (next_t IS NOT NULL OR last_t >= t + 21600000) AS cuts FROM n),
+        g AS (SELECT *, coalesce(sum(CAST(cuts AS INT)) OVER (PARTITION BY meeting_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM k),
+        a AS (SELECT *, min(CASE WHEN command = 'active' THEN (t, event_id) END) OVER (PARTITION BY meeting_id, part) AS first FROM g)
+        SELECT meeting_id, min(t) AS started_ms, max(t) + CASE WHEN arg_max(command, (t, event_id)) = 'stop' THEN 0 ELSE 21600000 END AS ended_ms,
+          CASE WHEN arg_max(command, (t, event_id)) = 'stop' THEN 'stop' ELSE 'left' END AS reason, count(*) AS n_events
+        FROM a WHERE first IS NOT NULL AND (t, event_id) >= first GROUP BY meeting_id, part HAVING bool_or(cuts)""",
     "x1_live_windows": """WITH s AS (SELECT strftime(ts, '%Y-%m-%d') AS meeting_id, (epoch_us(ts) // 1000) % 86400000 AS t, (value - 245) / 245 AS x FROM events),
         w AS (SELECT meeting_id, t, x, unnest(range(greatest(0, CAST(floor((t - 600000) / 510000) AS BIGINT) + 1), t // 510000 + 1)) AS window_no FROM s)
         SELECT meeting_id, window_no, window_no * 510000 AS start_ms, window_no * 510000 + 600000 AS end_ms, round(sqrt(avg(x * x)), 6) AS rms, count(*) AS n_samples
