@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +26,34 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+BATCH_ROWS = 1024
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While this holds, tasks get texts in smaller Arrow batches: whole documents are long, and several copies of a
+    batch are in memory at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def keep(df: DataFrame, name: str = "kept", release: Iterable[Broadcast] = ()) -> DataFrame:
     """Write a result to the shared folder and read it back: it is computed once, and lost executors don't matter.
+    What was sent out for it is then released.
 
     The files go with the folder of the session; `spark.checkpoint.dir` should be on storage that expires.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
+    for sent in release:
+        sent.destroy()
     return spark.read.schema(df.schema).parquet(path)
 
 
