@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from parley.catalog.common import INTERVALS, SEGMENTS, norm_tokens, strip
 from parley.functions import hooks, text as tx
-from parley.operators import intervals as iv, relabel as rl
+from parley.catalog.transcripts import pack
+from parley.operators import intervals as iv, packing, relabel as rl
 from parley.sources import adapters as src
 from parley.plans.slabs import Run, running, slab_of
 from parley.streaming import live, stateful
@@ -106,16 +107,46 @@ def h1(spark, d):
     return hooks.with_model(s, model, "answer", retries=0).select("segment_id", "answer", F.coalesce("error", F.lit("")).alias("error"))
 
 
-def h3(spark, d):
-    """A stand-in diarizer: loud and quiet halves of every slab."""
+def h2(spark, d):
+    """A stand-in reviewer over packed batches: some answers are whole, some partial, some broken, and some calls fail."""
+    import json
+
     import pandas as pd
 
-    def halves(pdf):
-        a, b = int(pdf["frame_idx"].min()), int(pdf["frame_idx"].max()) + 1
-        m = (a + b) // 2
-        return pd.DataFrame({"speaker_id": ["A", "B"], "start_ms": [a * 100, m * 100], "end_ms": [m * 100, b * 100]})
+    t = src.documents(spark, d).select("lang", "doc_id", "text")
+    batched = packing.batch_items(t, "lang", "doc_id", "text")
+
+    def reviewer(pdf):
+        def answer(number, prompt):
+            asked = json.loads(prompt)
+            if number % 5 == 4:
+                raise TimeoutError("no answer")
+            if number % 5 == 3:
+                return '{"items": [{"id": 1, "act'
+            wanted = [x for x in asked if number % 5 != 1 or x["id"] % 2 == 0]
+            items = [{"id": x["id"], "action": ["KEEP", "fix", "drop", "other"][x["id"] % 4], "text": str(len(x["text"]))} for x in wanted]
+            text = json.dumps({"items": [*items, *items[:1], {"id": -5, "action": "drop", "text": ""}]})
+            return f"Here it is:\n```json\n{text}\n```" if number % 5 == 2 else text
+
+        return pd.Series([answer(int(n), p) for n, p in zip(pdf["batch"], pdf["prompt"])])
+
+    found = hooks.ask_batches(batched, "lang", "batch", "doc_id", "text", reviewer, retries=1, backoff=(0.0,))
+    return found.select("lang", "batch", "doc_id", "action", "edited")
+
 
-    return hooks.diarize(src.speech_frames(spark, d).select("meeting_id", "frame_idx", "x"), halves, 1000)
+def parity_diarizer(pdf):
+    """A stand-in diarizer: frames of odd and even values are two speakers, named in the order in which this call hears them."""
+    import pandas as pd
+
+    odd = (pdf["value"] // 1 % 2 == 1).to_numpy()
+    change = [0, *[k for k in range(1, len(odd)) if odd[k] != odd[k - 1]], len(odd)]
+    at = pdf["frame_idx"].to_numpy()
+    rows = [(f"voice {int(odd[a] != odd[0])}", int(at[a]) * 100, int(at[b - 1]) * 100 + 100) for a, b in zip(change, change[1:])]
+    return pd.DataFrame(rows, columns=["speaker_id", "start_ms", "end_ms"])
+
+
+def h3(spark, d):
+    return hooks.diarize(src.speech_frames(spark, d).select("meeting_id", "frame_idx", "value"), parity_diarizer, slab_frames=32, halo_frames=20)
 
 
 def j6(spark, d):
@@ -157,7 +188,7 @@ def g13(spark, d):
 
 QUERIES = {
     "x1_live_windows": x1, "x2_refine_buffer": x2, "x3_live_republish": x3, "x4_activity_sessions": x4, "x7_session_ends": x7_stream, "x4_sample_activity": x4_samples,
-    "x5_periodic_relabel": x5, "s15_update_feed": s15, "h1_model_hook": h1, "h3_diarizer_hook": h3,
+    "x5_periodic_relabel": x5, "s15_update_feed": s15, "h1_model_hook": h1, "h2_reviewer_hook": h2, "h3_diarizer_hook": h3,
     "j6_relabel_by_time": j6, "j7_voice_similarity": j7, "j7_relabel_by_voice": j7_names, "g13_count_speakers": g13,
 }
 
@@ -206,10 +237,13 @@ SQL = {
     "s15_update_feed": "SELECT CAST(conv_id AS VARCHAR) AS meeting_id, CASE WHEN role = 'system' THEN 'warning' ELSE 'transcript' END AS event_type, turn FROM conversations",
     "h1_model_hook": f"""WITH {SEGMENTS} SELECT segment_id, CASE WHEN length(text) % 50 <> 0 THEN CAST(length(text) AS VARCHAR) END AS answer,
         CASE WHEN length(text) % 50 = 0 THEN 'ValueError: no answer' ELSE '' END AS error FROM segments""",
-    "h3_diarizer_hook": """WITH f AS (SELECT CAST(user_id AS VARCHAR) AS meeting_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
-        s AS (SELECT meeting_id, i // 1000 AS slab, min(i) AS a, max(i) + 1 AS b FROM f GROUP BY ALL)
-        SELECT meeting_id, slab, 'A' AS speaker_id, a * 100 AS start_ms, ((a + b) // 2) * 100 AS end_ms FROM s
-        UNION ALL SELECT meeting_id, slab, 'B', ((a + b) // 2) * 100, b * 100 FROM s""",
+    "h2_reviewer_hook": f"""WITH RECURSIVE {pack('documents', 'lang', 'doc_id', 'length(text)', 10000, 48, False)},
+        a AS (SELECT c.lang, chunk AS batch, doc_id, length(text) AS size, chunk % 5 IN (0, 2) OR chunk % 5 = 1 AND doc_id % 2 = 0 AS said FROM chunks c JOIN documents USING (doc_id))
+        SELECT lang, batch, doc_id, CASE WHEN said AND doc_id % 4 = 1 THEN 'fix' WHEN said AND doc_id % 4 = 2 THEN 'drop' ELSE 'keep' END AS action, CASE WHEN said THEN CAST(size AS VARCHAR) ELSE '' END AS edited FROM a""",
+    "h3_diarizer_hook": """WITH f AS (SELECT CAST(user_id AS VARCHAR) AS meeting_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, floor(value) % 2 = 1 AS odd FROM events),
+        h AS (SELECT *, lag(odd) OVER w AS was, first_value(odd) OVER w AS start FROM f WINDOW w AS (PARTITION BY meeting_id ORDER BY i)),
+        r AS (SELECT *, sum(CASE WHEN was IS NULL OR was <> odd THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY i) AS run FROM h)
+        SELECT meeting_id, CASE WHEN any_value(odd = start) THEN 'SPEAKER_00' ELSE 'SPEAKER_01' END AS speaker_id, min(i) * 100 AS start_ms, max(i) * 100 + 100 AS end_ms FROM r GROUP BY meeting_id, run""",
     "j7_voice_similarity": """WITH e AS (SELECT label % 3 AS meeting_id, label, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
         f AS (SELECT meeting_id, label, i, avg(CAST(x AS DOUBLE)) AS c FROM e GROUP BY ALL), k AS (SELECT meeting_id, label, i, avg(CAST(x AS DOUBLE)) AS c FROM e WHERE vec_id % 2 = 0 GROUP BY ALL)
         SELECT f.meeting_id, f.label, 'SPEAKER_0' || k.label AS known_id, round(sum(f.c * k.c) / (sqrt(sum(f.c * f.c)) * sqrt(sum(k.c * k.c))), 6) AS similarity

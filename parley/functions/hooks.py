@@ -6,10 +6,12 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from parley.plans.slabs import slab_of
+from parley.plans.jumps import followed
+from parley.plans.kept import keep
+from parley.plans.slabs import islands, slab_of
 
 # Waits before the second, third and later tries.
 BACKOFF_S = (0.5, 1.0, 2.0)
@@ -59,19 +61,85 @@ def with_model(
     return df.mapInPandas(call, schema)
 
 
+ANSWER = "struct<items:array<struct<id:bigint,action:string,text:string>>>"
+
+
+def parsed_answer(answer: Column) -> Column:
+    """The items of a model's JSON answer, also where other text stands around the object; null if there is none."""
+    whole = F.from_json(answer, ANSWER)["items"]
+    inside = F.from_json(F.regexp_extract(answer, r"(?s)\{.*\}", 0), ANSWER)["items"]
+    return F.coalesce(whole, inside)
+
+
+def ask_batches(
+    items: DataFrame, key: str, batch: str, item: str, text: str, model: Model, retries: int = 3, backoff: tuple[float, ...] = BACKOFF_S
+) -> DataFrame:
+    """`items` with `action` and `edited` as a model answered for their batch.
+
+    The model gets a row per (key, batch) with `prompt`, a JSON list of {"id", "text"}, and answers
+    {"items": [{"id", "action", "text"}]}.  Only the first answer for an id counts, ids that were not asked are ignored,
+    and items without an answer (left out, or in a broken or failed one) are kept as they are.  A batch is what
+    `batch_items` lets into one call, so its prompt is bounded by that budget.
+    """
+    asked = F.struct(F.col(item).cast("long").alias("id"), F.col(text).alias("text"))
+    prompts = items.groupBy(key, batch).agg(F.to_json(F.array_sort(F.collect_list(asked))).alias("prompt"))
+    answered = with_model(prompts, model, "answer", retries, backoff)
+    each = answered.select(F.col(key).alias("_key"), F.col(batch).alias("_batch"), F.posexplode(parsed_answer(F.col("answer"))).alias("_pos", "_a"))
+    first = each.groupBy("_key", "_batch", F.col("_a.id").alias("_id")).agg(F.min_by("_a", "_pos").alias("_a"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col(batch) == F.col("_batch")) & (F.col(item).cast("long") == F.col("_id"))
+    action = F.lower(F.trim(F.col("_a.action")))
+    known = F.when(action.isin("keep", "fix", "drop"), action).otherwise("keep")
+    joined = items.join(first, same, "left")
+    return joined.withColumn("action", known).withColumn("edited", F.coalesce("_a.text", F.lit(""))).drop("_key", "_batch", "_id", "_a")
+
+
+# ---- diarizers --------------------------------------------------------------------------------
+
+
 def diarize(
-    frames: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], slab_frames: int = 200_000
+    frames: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], slab_frames: int = 200_000, halo_frames: int = 3_000, frame_ms: int = 100
 ) -> DataFrame:
-    """Turns (speaker_id, start_ms, end_ms) from a user's diarizer, run per slab of a recording.
+    """Turns (meeting_id, speaker_id, start_ms, end_ms) from a user's diarizer, run per slab of a recording.
 
-    Slabs bound what one call sees and keep calls apart; `relabel_by_time` or
-    `relabel_by_voice` make the names agree between slabs.
+    A call sees its slab and `halo_frames` on both sides, and names speakers as it likes.  Two neighbouring calls both
+    hear the time around their border: names that share most of it, each the other's best, are one speaker, and
+    what is joined over all borders has one id in the meeting, numbered by first appearance.  Someone who is
+    silent around a border gets a new id behind it; `relabel_by_voice` can join these.  Turns are cut at the borders
+    and joined again where they touch, so the size of the slabs does not show.
     """
-    schema = "meeting_id string, slab long, speaker_id string, start_ms long, end_ms long"
+    i = F.col("frame_idx")
+    near = F.sequence(F.greatest(F.lit(0), F.floor((i - halo_frames) / slab_frames)), F.floor((i + halo_frames) / slab_frames))
+    dealt = frames.withColumn("slab", F.explode(near))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        turns = model(pdf.sort_values("frame_idx")).copy()
-        turns["meeting_id"], turns["slab"] = key[0], int(key[1])
-        return turns[["meeting_id", "slab", "speaker_id", "start_ms", "end_ms"]]
-
-    return frames.groupBy("meeting_id", slab_of(F.col("frame_idx"), slab_frames).alias("slab")).applyInPandas(run, schema)
+        slab = int(key[1])
+        names = ["meeting_id", "slab", "name", "start_ms", "end_ms"]
+        if not (pdf["frame_idx"] // slab_frames == slab).any():
+            return pd.DataFrame(columns=names)  # the recording ends before this slab
+        turns = model(pdf.drop(columns="slab").sort_values("frame_idx", ignore_index=True)).rename(columns={"speaker_id": "name"})
+        return turns.assign(meeting_id=key[0], slab=slab)[names]
+
+    heard = keep(dealt.groupBy("meeting_id", "slab").applyInPandas(run, "meeting_id string, slab long, name string, start_ms long, end_ms long"), "heard")
+    slab_ms, halo_ms = slab_frames * frame_ms, halo_frames * frame_ms
+
+    def around(border: Column, side: str) -> DataFrame:
+        at = border * slab_ms
+        start, end = F.greatest("start_ms", at - halo_ms), F.least("end_ms", at + halo_ms)
+        return heard.select("meeting_id", border.alias("border"), F.col("name").alias(side), start.alias(f"{side}_start"), end.alias(f"{side}_end")).where(F.col(f"{side}_start") < F.col(f"{side}_end"))
+
+    both = around(F.col("slab") + 1, "a").join(around(F.col("slab"), "b"), ["meeting_id", "border"])
+    shared = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
+    ms = both.where(shared > 0).groupBy("meeting_id", "border", "a", "b").agg(F.sum(shared).alias("ms"))
+    # ties go to the names that sort first
+    best = lambda of, other: ms.groupBy("meeting_id", "border", of).agg(F.min(F.struct((-F.col("ms")).alias("ms"), other))[other].alias(other))
+    links = best("a", "b").join(best("b", "a"), ["meeting_id", "border", "a", "b"])
+    node = lambda slab, name: F.to_json(F.struct(F.col("meeting_id"), slab.alias("slab"), F.col(name).alias("name")))
+    roots = followed(links.select(node(F.col("border"), "b").alias("at"), node(F.col("border") - 1, "a").alias("to")))
+    low, high = F.col("slab") * slab_ms, (F.col("slab") + 1) * slab_ms
+    cut = heard.select("meeting_id", node(F.col("slab"), "name").alias("at"), F.greatest("start_ms", low).alias("start_ms"), F.least("end_ms", high).alias("end_ms")).where("start_ms < end_ms")
+    named = keep(cut.join(roots, "at", "left").select("meeting_id", F.coalesce("root", "at").alias("who"), "start_ms", "end_ms"), "named")
+    first = named.groupBy("meeting_id", "who").agg(F.min(F.struct("start_ms", "end_ms")).alias("first"))
+    number = F.row_number().over(Window.partitionBy("meeting_id").orderBy("first", "who")) - 1
+    ids = first.select("meeting_id", "who", F.concat(F.lit("SPEAKER_"), F.lpad(number.cast("string"), 2, "0")).alias("speaker_id"))
+    turns = named.join(ids, ["meeting_id", "who"]).withColumn("_slab", slab_of(F.col("start_ms")))
+    return islands(turns, ["meeting_id", "speaker_id"], "_slab", ["start_ms", "end_ms"], "start_ms", "end_ms", 0).drop("n_rows")

@@ -42,3 +42,14 @@ def reached(pointers: DataFrame, starts: DataFrame, on_round=lambda number: None
         for _ in range(3):
             far = far.join(jump.select("k", F.col("at").alias("to"), F.col("to").alias("_next")), ["k", "to"]).select("k", "at", F.col("_next").alias("to"))
         jump = keep(far, "jumps")
+
+
+def followed(pointers: DataFrame) -> DataFrame:
+    """(at, root): the last row that each pointer (at, to) leads to.  Pointers form no ring; every round they skip
+    twice as far."""
+    links = keep(pointers.select("at", F.col("to").alias("root"), F.lit(True).alias("_went")), "followed")
+    while not links.where("_went").isEmpty():
+        beyond = links.select(F.col("at").alias("root"), F.col("root").alias("_beyond"))
+        met = links.join(beyond, "root", "left")
+        links = keep(met.select("at", F.coalesce("_beyond", "root").alias("root"), F.col("_beyond").isNotNull().alias("_went")), "followed")
+    return links.select("at", "root")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.functions import hooks
 from parley.operators import packing as pk, reconcile as rc, recordings as rec
 from parley.plans.carry import carry_fold
 from parley.plans.jumps import reached
@@ -124,6 +125,43 @@ def test_buckets_are_read_without_a_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("slab, halo", [(10, 4), (17, 4), (1000, 50)])
+def test_one_speaker_over_many_slabs(spark, slab, halo):
+    """A speaks in every call but under other names, B in some; the slabs don't show in the turns."""
+    import pandas as pd
+
+    who = "".join("AB"[(i // 3) % 2] if i % 40 < 25 else "A" for i in range(100))
+    df = spark.createDataFrame([("m", i, w) for i, w in enumerate(who)] + [("n", 0, "Z")], "meeting_id string, frame_idx long, who string")
+
+    def model(pdf):
+        heard = pdf["who"].to_numpy()
+        at = pdf["frame_idx"].to_numpy()
+        cut = [0, *[k for k in range(1, len(heard)) if heard[k] != heard[k - 1]], len(heard)]
+        local = {w: f"{int(at[0])} {k}" for k, w in enumerate(dict.fromkeys(heard))}  # names that only this call knows
+        return pd.DataFrame([(local[heard[a]], int(at[a]) * 100, int(at[b - 1]) * 100 + 100) for a, b in zip(cut, cut[1:])], columns=["speaker_id", "start_ms", "end_ms"])
+
+    rows = hooks.diarize(df, model, slab, halo).where("meeting_id = 'm'").collect()
+    spoken = {}
+    for r in rows:
+        for t in range(r.start_ms // 100, r.end_ms // 100):
+            assert t not in spoken
+            spoken[t] = r.speaker_id
+    assert {spoken[i] for i, w in enumerate(who) if w == "A"} == {"SPEAKER_00"}
+    assert all(spoken[i] != "SPEAKER_00" for i, w in enumerate(who) if w == "B")
+    runs = 1 + sum(a != b for a, b in zip(who, who[1:]))
+    assert len(rows) == runs
+
+
+def test_answers_are_joined_back(spark):
+    import pandas as pd
+
+    df = spark.createDataFrame([(None, 1, 1, "a"), (None, 1, 2, "b"), (None, 2, 3, "c"), ("k", 1, 1, "d"), ("k", 2, 2, "e"), ("k", 3, 7, "f")], "k string, batch long, item long, text string")
+    answers = {1: '{"items": [{"id": 1, "action": " Fix ", "text": "x"}, {"id": 1, "action": "drop"}, {"id": 99, "action": "drop"}]}', 2: "no idea", 3: 'Sure: {"items": [{"id": 7, "action": "drop"}]} ok'}
+    asked = hooks.ask_batches(df, "k", "batch", "item", "text", lambda pdf: pd.Series([answers[b] for b in pdf["batch"]]))
+    got = {(r.k, r.item): (r.text, r.action, r.edited) for r in asked.collect()}
+    assert got == {(None, 1): ("a", "fix", "x"), (None, 2): ("b", "keep", ""), (None, 3): ("c", "keep", ""), ("k", 1): ("d", "fix", "x"), ("k", 2): ("e", "keep", ""), ("k", 7): ("f", "drop", "")}
+
+
 # ---- live state -------------------------------------------------------------------------------------
 
 WINDOW = "meeting_id string, start_ms long, end_ms long, text string, words array<struct<word:string,start_ms:bigint,end_ms:bigint>>, window_id long"
