@@ -28,6 +28,8 @@ from .words import WORD_BYTE, Words, mix, pieces, words_of
 BINS = 1 << 16
 BLOCK = 1 << 14
 ROUNDS = 8
+#: The least likelihood of a word in a language, relative to the language that fits it best.
+LEAST = 1e-30
 SMOOTHING = 0.5
 
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
@@ -96,7 +98,7 @@ def _mixture(likelihood: np.ndarray, row: np.ndarray, rows: np.ndarray, rounds:
         share = likelihood * mix_[row]
         share /= share.sum(1, keepdims=True)
         mix_ = np.add.reduceat(share, rows[:-1], axis=0) / sizes[:, None]
-    return mix_, np.add.reduceat(np.log(np.maximum((likelihood * mix_[row]).sum(1), 1e-30)), rows[:-1], dtype=np.float64)
+    return mix_, np.add.reduceat(np.log((likelihood * mix_[row]).sum(1)), rows[:-1], dtype=np.float64)
 
 
 def inferred(w: Words, logs: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +112,8 @@ def inferred(w: Words, logs: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarr
     bounds = np.stack([w.starts, w.ends], 1).ravel()
     bounds = bounds[:-1] if bounds[-1] == len(w.raw) else bounds
     score = np.add.reduceat(by_byte, bounds, axis=0)[::2]
-    likelihood = np.exp(score - score.max(1, keepdims=True))
+    # relative to the best language of each word; no word counts for nothing in any of them
+    likelihood = np.maximum(np.exp(score - score.max(1, keepdims=True)), np.float32(LEAST))
     rows = np.append(w.rows[some], w.rows[-1])
     sizes = np.diff(rows)
     row = np.repeat(np.arange(len(some)), sizes)
@@ -121,16 +124,14 @@ def inferred(w: Words, logs: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarr
     for k in range(1, langs + 1):
         top = np.take_along_axis(likelihood, order[row, :k], 1)
         if k == 1:
-            fit = np.add.reduceat(np.log(np.maximum(top[:, 0], 1e-30)), rows[:-1], dtype=np.float64)
+            fit = np.add.reduceat(np.log(top[:, 0]), rows[:-1], dtype=np.float64)
         else:
             fit = _mixture(top, row, rows, rounds // 2)[1] - (k - 1) * penalty
         if best is None:
             best = fit
         else:
-            better = (fit > best) & (number == k - 1)
+            better = fit > best
             best, number = np.where(better, fit, best), np.where(better, k, number)
-            if not better.any():
-                break
     proportions[some] = full
     for k in range(langs):
         chosen[some[number > k], order[number > k, k]] = True

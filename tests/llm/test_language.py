@@ -35,6 +35,46 @@ def test_mixture_equals_a_plain_version():
     assert np.allclose(shares[0], p, atol=1e-4)
 
 
+def plain_set(like, rounds):
+    """The set of languages: of the largest shares, as many as fit best, each beyond the first at a price."""
+    langs = len(like[0])
+
+    def em(chosen, rounds):
+        p = {k: 1 / len(chosen) for k in chosen}
+        for _ in range(rounds):
+            parts = [{k: p[k] * x[k] / sum(p[j] * x[j] for j in chosen) for k in chosen} for x in like]
+            p = {k: sum(x[k] for x in parts) / len(parts) for k in chosen}
+        return p, sum(math.log(sum(p[k] * x[k] for k in chosen)) for x in like)
+
+    shares = em(list(range(langs)), rounds)[0]
+    order = sorted(shares, key=lambda k: -shares[k])
+    fits = [em(order[:n], rounds // 2)[1] - (n - 1) * 0.5 * math.log(max(len(like), 2)) for n in range(1, langs + 1)]
+    return set(order[: 1 + max(range(langs), key=lambda n: fits[n])])
+
+
+def test_sets_equal_the_best_of_all_prefixes():
+    rng = np.random.default_rng(11)
+    logs = np.log(rng.dirichlet(np.ones(lg.BINS) * 0.05, 4) + 1e-9).T.astype(np.float32)
+    letters = list("abcdefghij")
+    for _ in range(60):
+        words = ["".join(rng.choice(letters, rng.choice([2, 5, 9, 70]))) for _ in range(rng.integers(1, 30))]
+        w = W.words_of(pa.array([" ".join(words)]))
+        bins = lg.grams(w)
+        score = [[sum(float(logs[bins[i], k]) for i in range(a, b)) for k in range(4)] for a, b in zip(w.starts, w.ends, strict=True)]
+        like = [[max(math.exp(x - max(row)), lg.LEAST) for x in row] for row in score]
+        assert set(np.flatnonzero(lg.inferred(w, logs)[1][0]).tolist()) == plain_set(like, lg.ROUNDS)
+
+
+def test_one_unlikely_word_costs_no_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang")
+    names, logs = lg.learned(docs)
+    by = {lang: docs.filter(docs.lang == lang).filter("length(text) between 500 and 900").first().text for lang in ("en", "de", "fr")}
+    long_word = "".join(c for c in by["fr"] if c.isalpha())[:60]
+    mixed = spark.createDataFrame([(1, f"{by['de']} {by['en']} {long_word}")], "doc_id long, text string")
+    row = lg.identify(mixed, names, logs, ["doc_id"]).collect()[0]
+    assert {"de", "en"} <= set(row._languages) and not any(math.isnan(x) for x in row._shares)
+
+
 def test_two_languages_in_one_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang")
     names, logs = lg.learned(docs)
