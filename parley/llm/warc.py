@@ -8,7 +8,7 @@ one with the largest page_id is the response; the others are revisit records tha
 Reading: a task gets a range of bytes. It scans it for the gzip magic, validates each candidate by decoding the
 beginning of the member (a gzip header, and a WARC version line in what follows) and owns the records that start in
 its range; it reads on past the end for the last one. Ranges are cut without looking at the file, so archives of any
-size, also of one big file, spread over all tasks. Bytes that merely look like a member's start are skipped when they
+size, also of one big file, are dealt out to many tasks. Bytes that merely look like a member's start are skipped when they
 lie inside an owned record, and fail the validation otherwise.
 
 Archives are read and written through the file system that the folder's address names.
@@ -37,6 +37,8 @@ from .tables import keep, shared_folder, table
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
+#: Archive bytes that a reading task takes where there are more ranges than tasks that run at once.
+TASK_BYTES = 64 << 20
 MAGIC = b"\x1f\x8b\x08"
 _HEAD = 4096
 
@@ -193,8 +195,10 @@ def read_archives(archives: DataFrame, folder: str, range_bytes: int = RANGE_BYT
     address = _address(folder)
     begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long")))
     ranges = archives.filter("size > 0").select("path", "size", begin.alias("begin"))
-    # each range is a task's worth of work
-    ranges = ranges.repartition("path", "begin")
+    # the ranges are few small rows, which Spark would read in one task: they are dealt out by number
+    count, size = archives.filter("size > 0").agg(F.sum(F.ceil(F.col("size") / range_bytes)), F.sum("size")).first()
+    tasks = min(count or 1, max(2 * archives.sparkSession.sparkContext.defaultParallelism, (size or 0) // TASK_BYTES))
+    ranges = ranges.repartitionByRange(int(tasks), "path", "begin")
     names = [x.split(" ")[0] for x in _ROW.split(", ")] + ["url", "payload"] * payloads
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

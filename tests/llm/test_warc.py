@@ -6,6 +6,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from parley.llm import warc
 
@@ -61,3 +62,19 @@ def test_look_alikes_and_damage():
 def test_no_pages(spark, tmp_path):
     empty = spark.createDataFrame([], SCHEMA)
     assert warc.read_archives(warc.write_archives(empty, str(tmp_path / "b")), str(tmp_path / "b")).collect() == []
+
+
+def test_ranges_are_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(5)
+    pages = spark.createDataFrame([(i, "u", rng.randbytes(2000).hex()) for i in range(300)], SCHEMA).coalesce(1)
+    made = warc.write_archives(pages, str(tmp_path / "a"))
+    assert made.count() == 1  # one file
+    read = warc.read_archives(made, str(tmp_path / "a"), range_bytes=20_000)
+    parts = read.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 300 and len(parts) >= 8
+
+
+def test_clashing_columns_are_ignored(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 1200, "y", 5), (2, "u", "x" * 1200, None, None)], SCHEMA + ", digest string, size long").withColumn("path", F.lit("p")).withColumn("refers_to", F.lit(9))
+    got = {r.page_id: r.refers_to for r in warc.read_archives(warc.write_archives(pages, str(tmp_path / "c")), str(tmp_path / "c")).collect()}
+    assert got == {1: 2, 2: None}
