@@ -5,27 +5,34 @@ part of an occurrence, so they end a stretch; stretches shorter than the shortes
 (no window fits). Backward search through wavelet-matrix ranks finds the suffix range of all windows together, sampled
 suffix positions tell where they are, and the spans found are merged per document.
 
+The benchmark may be of any size: items are cut into chunks in Spark, dealt out to passes by their hashes, and the
+windows of one pass at a time are fetched and sent to the tasks. What a pass found goes on with the documents.
+
 Defined cases: null texts have no words; items without words or without an id are left out; rows with equal item_id are
 one item; repeated documents are judged each; an empty benchmark hits nothing. Other columns are passed through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import named, renamed, table
+from .tables import keep, named, renamed, table
 from .words import Words, pieces, words_of
 
 WINDOW = 13
 #: Benchmark text held by each task at a time; a larger benchmark is searched in several passes.
 PASS_CHARS = 32 << 20
+#: Windows of an item that one row holds.
+CHUNK_WORDS = 4096
 SHARD_SYMBOLS = 1 << 20
 SAMPLE_EVERY = 8
 
@@ -234,16 +241,20 @@ def _hits(ws: list[Words], phrases: Phrases, shard: int) -> list[list[tuple[list
     return out
 
 
-def find_passages(docs: DataFrame, passes: list[Phrases], columns: list[str], text: str = "text", clean: bool = False) -> DataFrame:
-    """`columns` of each document with `_words`, `_hit` (words), `_items` (ids), `_spans` (of words, merged) and, if
-    asked for, `_clean`: the text without the spans."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(passes)
-    inner = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("_text"))
-    found = "_words long, _hit long, _items array<string>, _spans array<struct<start:bigint,end:bigint>>" + ", _clean string" * clean
-    out = T.StructType(inner.schema.fields[:-1] + T.StructType.fromDDL(found).fields)
+_FOUND = "_items array<string>, _spans array<struct<start:bigint,end:bigint>>"
+
+
+def _searched(docs: DataFrame, phrases: Phrases, first: bool, last: bool, clean: bool) -> tuple[DataFrame, Broadcast]:
+    """One pass: docs has columns, (from the second pass on) `_items` and `_spans`, and `_text` at the end. The last
+    pass gives `_words`, `_hit`, `_items`, `_spans` and `_clean`, those before it docs as the next one takes it."""
+    known = docs.sparkSession.sparkContext.broadcast(phrases)
+    columns = docs.schema.fields[: -1 if first else -3]
+    tail = f"_words long, _hit long, {_FOUND}" + ", _clean string" * clean if last else f"{_FOUND}, _text string"
+    out = T.StructType(columns + T.StructType.fromDDL(tail).fields)
+    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = known.value
         for batch in batches:
             at = 0
             while at < batch.num_rows:  # a shard's worth of pieces
@@ -257,38 +268,69 @@ def find_passages(docs: DataFrame, passes: list[Phrases], columns: list[str], te
                 at += rows
                 spans: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
                 items: list[set[str]] = [set() for _ in range(rows)]
-                for phrases in known.value:
-                    flat = [x for found in _hits(ws, phrases, SHARD_SYMBOLS) for x in found]
-                    for r, (s, i) in enumerate(flat):
-                        spans[r] += s
-                        items[r].update(phrases.names[k] for k in i)
-                if len(known.value) > 1:
-                    spans = [list(zip(*(x.tolist() for x in merged(*np.array(s).T)), strict=True)) if s else s for s in spans]
-                arrays = [*shard.columns[:-1], pa.array(np.concatenate([np.diff(w.rows) for w in ws]), pa.int64()),
-                          pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
-                          pa.array([sorted(i) for i in items], pa.list_(pa.string())),
-                          pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                if clean:
-                    where = [(w, r) for w in ws for r in range(len(w.rows) - 1)]
-                    whole = shard.column(shard.num_columns - 1)
-                    arrays.append(pa.array([_cut(*where[r], s) if s else whole[r].as_py() for r, s in enumerate(spans)], pa.string()))
-                yield pa.RecordBatch.from_arrays(arrays, out.fieldNames())
-
-    return inner.mapInArrow(work, out)
-
-
-def benchmark_passes(benchmark: DataFrame, window: int = WINDOW, chars: int = PASS_CHARS) -> list[Phrases]:
-    """The windows of all items, in parts of at most `chars` characters of text each."""
-    passes, names, texts, size = [], [], [], 0
-    rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text")
-    for name, text in rows.toLocalIterator():
-        if texts and size + len(text) > chars:
-            passes.append(phrases_of(names, texts, window))
-            names, texts, size = [], [], 0
-        names.append(name)
-        texts.append(text)
-        size += len(text)
-    return [*passes, phrases_of(names, texts, window)]
+                if not first:
+                    items = [set(x) for x in shard.column(len(columns)).to_pylist()]
+                    spans = [[(y["start"], y["end"]) for y in x] for x in shard.column(len(columns) + 1).to_pylist()]
+                for r, (s, i) in enumerate(x for found in _hits(ws, phrases, SHARD_SYMBOLS) for x in found):
+                    if s:
+                        spans[r] = list(zip(*(x.tolist() for x in merged(*np.array(spans[r] + s).T)), strict=True)) if spans[r] else s
+                    items[r].update(phrases.names[k] for k in i)
+                found = [pa.array([sorted(i) for i in items], pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span_type)]
+                whole = shard.column(shard.num_columns - 1)
+                if not last:
+                    arrays = [*found, whole]
+                else:
+                    arrays = [pa.array(np.concatenate([np.diff(w.rows) for w in ws]), pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), *found]
+                    if clean:
+                        where = [(w, r) for w in ws for r in range(len(w.rows) - 1)]
+                        arrays.append(pa.array([_cut(*where[r], s) if s else whole[r].as_py() for r, s in enumerate(spans)], pa.string()))
+                yield pa.RecordBatch.from_arrays([*shard.columns[: len(columns)], *arrays], out.fieldNames())
+
+    return docs.mapInArrow(work, out), known
+
+
+def find_passages(docs: DataFrame, passes: list[Callable[[], Phrases]], columns: list[str], text: str = "text", clean: bool = False) -> DataFrame:
+    """`columns` of each document with `_words`, `_hit` (words), `_items` (ids), `_spans` (of words, merged) and, if
+    asked for, `_clean`: the text without the spans. Passes come one after the other: what one found goes on with the
+    documents to the next, and its windows are released."""
+    inner = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("_text"))
+    for k, phrases in enumerate(passes):
+        last = k == len(passes) - 1
+        inner, sent = _searched(inner, phrases(), k == 0, last, clean)
+        if not last:
+            inner = keep(inner, "searched", [sent])
+    return inner
+
+
+def item_chunks(benchmark: DataFrame, window: int = WINDOW, words: int = CHUNK_WORDS) -> DataFrame:
+    """(name, text): the items in chunks of so many windows, so that no row is large; every window is in one of them."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                w = words_of(piece.column(1))
+                names, texts = [], []
+                for name, a, b in zip(piece.column(0).to_pylist(), w.rows[:-1].tolist(), w.rows[1:].tolist(), strict=True):
+                    for k in range(a, max(a + 1, b - window + 1) if b > a else a, words):
+                        names.append(name)
+                        texts.append(w.raw[w.starts[k] : w.ends[min(b, k + words + window - 1) - 1]].tobytes().decode())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["name", "text"])
+
+    rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("name"), "text")
+    return rows.mapInArrow(work, "name string, text string").distinct()
+
+
+def benchmark_passes(benchmark: DataFrame, window: int = WINDOW, chars: int = PASS_CHARS) -> list[Callable[[], Phrases]]:
+    """The windows of all items, in parts of about `chars` characters of text each, fetched one at a time."""
+    chunks = keep(item_chunks(benchmark, window), "chunks")
+    parts = max(1, -(-int(chunks.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // chars))
+    own = chunks.withColumn("part", F.pmod(F.xxhash64("name", "text"), F.lit(parts)))
+
+    def fetch(part: int) -> Phrases:
+        rows = own.filter(F.col("part") == part).select("name", "text").collect()  # a part, of a bounded size
+        return phrases_of([r.name for r in rows], [r.text for r in rows], window)
+
+    return [partial(fetch, k) for k in range(parts)]
 
 
 def op9_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
