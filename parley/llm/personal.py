@@ -279,7 +279,8 @@ def added_spans(texts: list[str], spans: list[list[tuple[int, int, int]]], w: We
 def learned(docs: DataFrame, sample: int = SAMPLE) -> Weights | None:
     texts = docs.select(F.xxhash64("doc_id", "text").alias("_h"), "text").filter(F.col("text").rlike("[0-9@+]"))
     chosen = F.broadcast(texts.select("_h").distinct().orderBy("_h").limit(sample))  # at most `sample` numbers
-    rows = sorted({r.text for r in texts.join(chosen, "_h").select("text").collect()})
+    one = texts.join(chosen, "_h").groupBy("_h").agg(F.min("text").alias("text"))  # rows that repeat come once
+    rows = sorted({r.text for r in one.select("text").collect()})
     return fitted(nodes_of(rows, [base_spans(t) for t in rows]))
 
 

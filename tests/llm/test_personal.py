@@ -113,3 +113,10 @@ def test_odd_documents(spark):
     got = [(r.doc_id, r.spans) for r in pl.found(df, pl.learned(df), ["doc_id", "spans"]).collect()]
     assert got == [(1, ""), (2, ""), (2, ""), (3, ""), (None, "email:0:6"), (4, ""), (5, "ip:2:9")]
     assert pl.found(df.limit(0), pl.learned(df.limit(0)), ["doc_id"]).collect() == []
+
+
+def test_a_repeated_row_is_learned_once(spark):
+    docs = [(i, f"write to user{i}@mail.example or call +1 555 867{i:04d}, user{i} said", "en", "s", 1) for i in range(30)]
+    once, often = (spark.createDataFrame(x, SCHEMA) for x in (docs, [*docs, *[docs[3]] * 10_000]))
+    assert str(pl.learned(once)) == str(pl.learned(often))
+    assert pl.learned(often) is not None
