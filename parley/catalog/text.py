@@ -333,10 +333,14 @@ SQL = {
         u AS (SELECT conv_id, turn, unnest(t) AS a, generate_subscripts(t, 1) AS pos FROM k),
         p AS (SELECT *, lead(a) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS b FROM u)
         SELECT conv_id, turn, count(*) FILTER (WHERE b IS NOT NULL AND {close('a', 'b')}) AS n_close FROM p GROUP BY ALL""",
-    "f16_edge_overlap": f"""WITH {EDGE}, ks AS (SELECT *, unnest(range(1, 17)) AS k FROM ew),
-        pos AS (SELECT conv_id, turn, kind, k, wa[len(wa) - k + i] AS x, wb[i] AS y
-          FROM (SELECT *, unnest(range(1, k + 1)) AS i FROM ks WHERE k <= len(wa) AND k <= len(wb))),
-        ov AS (SELECT conv_id, turn, kind, k, count(*) FILTER (WHERE {close('x', 'y')}) / k AS share FROM pos GROUP BY conv_id, turn, kind, k),
+    # Every two different words are compared once, and only where their lengths let them be close.
+    "f16_edge_overlap": f"""WITH {EDGE}, edge AS (SELECT conv_id, turn, kind, wa, wb, list_slice(wa, greatest(len(wa) - 15, 1), len(wa)) AS ta, list_slice(wb, 1, 16) AS hb FROM ew),
+        ks AS (SELECT *, unnest(range(1, 17)) AS k FROM edge),
+        pos AS (SELECT conv_id, turn, kind, k, ta[len(ta) - k + i] AS x, hb[i] AS y
+          FROM (SELECT *, unnest(range(1, k + 1)) AS i FROM ks WHERE k <= len(ta) AND k <= len(hb))),
+        unlike AS (SELECT DISTINCT x, y FROM pos WHERE x <> y AND x <> '' AND y <> '' AND (abs(length(x) - length(y)) <= 2 OR contains(x, y) OR contains(y, x))),
+        alike AS (SELECT x, y FROM unlike WHERE {close('x', 'y')}),
+        ov AS (SELECT conv_id, turn, kind, k, count(*) FILTER (x = y OR alike.x IS NOT NULL) / k AS share FROM pos LEFT JOIN alike USING (x, y) GROUP BY conv_id, turn, kind, k),
         best AS (SELECT conv_id, turn, kind, max(k) AS overlap FROM ov WHERE share >= 0.6e0 AND (k >= 2 OR share >= 0.99e0) GROUP BY ALL),
         js AS (SELECT conv_id, turn, kind, k, list_distinct(wb[1:k]) AS h, wa, list_distinct(wa[greatest(len(wa) - 13, 1):]) AS tl
           FROM ks WHERE k <= 14 AND k <= len(wb) AND len(wa) > 0),

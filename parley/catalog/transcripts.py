@@ -285,6 +285,7 @@ SQL = {
         SELECT lang, least(chunk, 4) AS part, count(*) AS n_items, 'fold' AS how FROM chunks GROUP BY ALL
         UNION ALL SELECT lang, chunk, count(*), 'first' FROM chunks WHERE chunk <= 2 GROUP BY ALL""",
     "g6_merge_heads": f"WITH {PARTIALS} SELECT * FROM merged",
+    "g6_merge_summaries": f"WITH {PARTIALS} SELECT meeting_id, part, summary FROM partials WHERE summary <> ''",
     "g6_merge_decisions": f"WITH {PARTIALS} SELECT * FROM decisions",
     "t9_minutes": f"""WITH {PARTIALS}, n AS (SELECT meeting_id, count(*) AS n FROM decisions GROUP BY 1),
         st AS (SELECT *, CASE WHEN CAST(meeting_id AS BIGINT) % 5 = 0 THEN 'noise' WHEN CAST(meeting_id AS BIGINT) % 7 = 0 THEN 'empty' ELSE 'speech' END AS status FROM merged LEFT JOIN n USING (meeting_id))
