@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from parley.operators.intervals import overlap_join
-from parley.session import ensure_checkpoint_dir
+from parley.plans.kept import keep as kept
 
 # Fixed values of the clustering rule.
 MIN_FRAMES, MIN_MEMBERS, MIN_SHARE = 160, 40, 0.22
@@ -134,12 +134,11 @@ def split_in_two(frames: DataFrame, dim: int, rounds: int = ROUNDS) -> tuple[Dat
     that runs repeat.  A round is one map-side combined aggregation; the two centres per meeting
     are written to the checkpoint folder, and a round that moves nothing ends the loop.
     """
-    ensure_checkpoint_dir(frames.sparkSession)
     first = frames.groupBy("meeting_id").agg(F.min_by("v", "pos").alias("c0"))
     far = frames.join(first, "meeting_id").groupBy("meeting_id", "c0").agg(
         F.max_by("v", F.struct(_distance2(F.col("v"), F.col("c0")), -F.col("pos"))).alias("c1")
     )
-    centres = far.checkpoint()
+    centres = kept(far, "centres")
 
     def assign(c: DataFrame) -> DataFrame:
         nearer = _distance2(F.col("v"), F.col("c1")) < _distance2(F.col("v"), F.col("c0"))
@@ -151,10 +150,10 @@ def split_in_two(frames: DataFrame, dim: int, rounds: int = ROUNDS) -> tuple[Dat
         ]
         moved = assign(centres).groupBy("meeting_id", "c0", "c1").agg(*mean)
         keep = lambda m, c: F.when(F.col(m)[0].isNull(), F.col(c)).otherwise(F.col(m))
-        moved = moved.select(
+        moved = kept(moved.select(
             "meeting_id", keep("m0", "c0").alias("c0"), keep("m1", "c1").alias("c1"),
             ((F.col("c0") != keep("m0", "c0")) | (F.col("c1") != keep("m1", "c1"))).alias("moved"),
-        ).checkpoint()
+        ), "centres")
         centres = moved.drop("moved")
         if moved.where("moved").isEmpty():
             break
