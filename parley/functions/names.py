@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.functions.text import strip
-from parley.plans.slabs import Run, running
+from parley.plans.slabs import Run, in_ranges, running
 
 # ---- fixed values: name patterns that define the results ----------------------
 YOU_TAG = r"(?i)\s*\(you\)\s*"
@@ -82,13 +82,11 @@ def prefer_longer_names(names: DataFrame, key: str, name: str, order: str) -> Da
     """Drop names that begin a longer one of the same meeting, whatever their case.
 
     In sorted order everything a name begins follows it directly, so looking at the
-    next name is enough and no pairs are formed.
+    next name is enough and no pairs are formed.  Slabs are ranges of names of about equal
+    numbers, found by a sample, whatever letters the names begin with.
     """
     low = F.lower(F.col(name))
     one = names.where(F.col(name) != "").groupBy(key, low.alias("_low")).agg(F.min_by(name, order).alias(name))
-    nxt = running(
-        one.withColumn("_slab", F.left("_low", F.lit(2))), [key], "_slab", ["_low"],
-        [Run("_next", "next", F.col("_low"))],
-    )
+    nxt = running(in_ranges(one, [key, "_low"]), [key], "_slab", ["_low"], [Run("_next", "next", F.col("_low"))])
     kept = nxt.where(F.col("_next").isNull() | ~F.startswith("_next", F.col("_low")))
     return kept.select(key, name)

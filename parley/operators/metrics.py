@@ -2,37 +2,67 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import IntegerType
 
 from parley.functions import text as tx
 from parley.operators.intervals import clipped_edges
 from parley.plans.slabs import SLAB_MS
 
-_FIRST_CODE = 0x10000
+#: Tokens of the reference whose differences are held in the bits of one number.
+BLOCK = 4096
 
 
-def _spell(toks: Column, vocabulary: Column) -> Column:
-    """A string with one character per token, the same one for equal tokens."""
-    code = F.transform(
-        toks, lambda t: F.lpad(F.hex(F.array_position(vocabulary, t) + _FIRST_CODE), 8, "0")
-    )
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
+def edit_distance(a: list[str], b: list[str], block: int = BLOCK) -> int:
+    """Fewest inserted, deleted and replaced tokens, by differences of neighbouring cells held in bits.
+
+    A column of the table of distances differs from cell to cell by at most one, so two numbers hold it; a token of b
+    moves a whole column on with a few operations.  The column is cut into blocks, which hand the difference at their
+    lower edge to the next, so numbers stay small and memory linear.
+    """
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[head:], b[head:]
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    across = [1] * len(b)  # how much the row above grows with each token of b
+    for at in range(0, len(a), block):
+        own = a[at : at + block]
+        places: dict[str, int] = {}
+        for i, token in enumerate(own):
+            places[token] = places.get(token, 0) | (1 << i)
+        full, last = (1 << len(own)) - 1, len(own) - 1
+        up, down = full, 0  # cells that are one more, and one less, than the cell above them
+        for j, token in enumerate(b):
+            same, step = places.get(token, 0), across[j]
+            vertical = same | down
+            if step < 0:
+                same |= 1
+            level = (((same & up) + up) ^ up) | same
+            more, less = down | (full & ~(level | up)), up & level
+            across[j] = (more >> last & 1) - (less >> last & 1)
+            more, less = (more << 1 | (step > 0)) & full, (less << 1 | (step < 0)) & full
+            up, down = less | (full & ~(vertical | more)), more & vertical
+    return len(a) + sum(across)
+
+
+@F.pandas_udf(IntegerType())
+def _edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    return pd.Series([edit_distance(list(a), list(b)) for a, b in zip(ref, hyp)], dtype="int32")
 
 
 def with_word_errors(df: DataFrame, ref: str, hyp: str) -> DataFrame:
-    """Add n_words and n_edits (token edit distance); the rate is edits over reference words."""
-    df = df.withColumn("_r", tx.words(F.lower(F.col(ref)))).withColumn("_h", tx.words(F.lower(F.col(hyp))))
-    df = df.withColumn("_v", F.array_union("_r", "_h"))
-    df = df.withColumn("_sr", _spell(F.col("_r"), F.col("_v"))).withColumn("_sh", _spell(F.col("_h"), F.col("_v")))
-    edits = F.levenshtein("_sr", "_sh")
-    n = F.size("_r")
+    """Add n_words and n_edits (token edit distance); the rate is edits over reference words.
+
+    Distances of recordings of any length are exact: they take a few seconds for 100,000 words.
+    """
+    words = lambda c: tx.words(F.lower(F.coalesce(F.col(c), F.lit(""))))
+    df = df.withColumn("_r", words(ref)).withColumn("_h", words(hyp))
+    edits, n = F.col("n_edits"), F.size("_r")
     rate = F.when(n > 0, edits / n).otherwise((F.size("_h") > 0).cast("double"))
-    return (
-        df.withColumn("n_words", n)
-        .withColumn("n_edits", edits)
-        .withColumn("wer", rate)
-        .drop("_r", "_h", "_v", "_sr", "_sh")
-    )
+    return df.withColumn("n_edits", _edits("_r", "_h")).withColumn("n_words", n).withColumn("wer", rate).drop("_r", "_h")
 
 
 def speaker_error_rate(

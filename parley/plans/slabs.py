@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from parley.plans.kept import keep
+
 SLAB_MS = 600_000
 
 
@@ -19,6 +21,13 @@ def slab_of(col: Column, width: int = SLAB_MS) -> Column:
     return F.floor(col / F.lit(width)).cast("long")
 
 
+def in_ranges(df: DataFrame, by: list[str]) -> DataFrame:
+    """Adds `_slab`, the number of the range of `by` that a row is in; ranges hold about equally many rows and are
+    written as they were dealt, so that the numbers stay."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keep(df.repartitionByRange(parts, *by).withColumn("_slab", F.spark_partition_id().cast("long")), "ranges")
+
+
 @dataclass(frozen=True)
 class Run:
     """One running value: kind is sum, max, min, last or next.

@@ -1,12 +1,16 @@
-"""Frame features and two-means against plain versions."""
+"""Frame features, two-means, edit distances and ranges of names against plain versions."""
 
 import cmath
 import math
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from parley.operators import features, relabel as rl
+from parley.functions.names import prefer_longer_names
+from parley.operators import features, metrics, relabel as rl
+from parley.plans.slabs import in_ranges
 
 
 def plain_features(x, rate, threshold):
@@ -68,3 +72,43 @@ def test_two_means(spark):
         two = n >= rl.MIN_FRAMES and least >= max(rl.MIN_MEMBERS, math.floor(n * rl.MIN_SHARE)) and gap >= rl.MIN_GAP and gap >= max(spread, rl.MIN_SPREAD) * rl.GAP_TO_SPREAD
         assert r.n_speakers == 1 + two
     assert {r.n_speakers for r in got.values()} == {1, 2}
+
+
+def table_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 64, 4096])
+def test_edit_distance_in_blocks(block):
+    rnd = random.Random(block)
+    for _ in range(300):
+        a, b = (rnd.choices("abcd", k=rnd.randrange(0, 25)) for _ in range(2))
+        if rnd.random() < 0.5:
+            b = [x for x in a if rnd.random() > 0.2] + b[:2]
+        assert metrics.edit_distance(a, b, block) == table_distance(a, b)
+
+
+def test_a_long_recording():
+    rnd = random.Random(5)
+    a = [f"w{rnd.randrange(5000)}" for _ in range(100_000)]
+    b = list(a)
+    for _ in range(3000):
+        b[rnd.randrange(len(b))] = "changed"
+    began = time.time()
+    got = metrics.edit_distance(a, b)
+    assert sum(x != y for x, y in zip(a, b)) - 5 <= got <= sum(x != y for x, y in zip(a, b))
+    assert time.time() - began < 60
+
+
+def test_ranges_of_names_are_even(spark):
+    rows = [("m", f"common beginning {i:05d}") for i in range(4000)] + [("n", "other"), ("n", "others"), (None, "x")]
+    df = spark.createDataFrame(rows, "k string, name string")
+    sizes = [r["count"] for r in in_ranges(df, ["k", "name"]).groupBy("_slab").count().collect()]
+    assert len(sizes) > 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    kept = prefer_longer_names(df.withColumn("o", F.lit(1)), "k", "name", "o")
+    assert kept.where("k = 'n'").collect()[0].name == "others" and kept.where("k = 'm'").count() == 4000
