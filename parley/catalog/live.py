@@ -6,7 +6,7 @@ from parley.catalog.common import INTERVALS, SEGMENTS, norm_tokens, strip
 from parley.functions import hooks, text as tx
 from parley.catalog.transcripts import pack
 from parley.operators import intervals as iv, packing, relabel as rl
-from parley.sources import adapters as src
+from parley.sources import adapters as src, capture
 from parley.plans.slabs import Run, running, slab_of
 from parley.streaming import live, stateful
 
@@ -145,6 +145,27 @@ def parity_diarizer(pdf):
     return pd.DataFrame(rows, columns=["speaker_id", "start_ms", "end_ms"])
 
 
+def captured(spark, d, available=None):
+    """The events as frames of two samples, captured by user and event type."""
+    import struct
+
+    class Events(capture.TableCapture):
+        path, stream_column, columns = f"{d}/events.parquet", "event_type", ["event_id", "user_id", "event_type"]
+
+        def frame(self, number, row):
+            n = row["event_id"]
+            return (str(row["user_id"]), f"SPEAKER_{row['event_type']}", row["event_type"].title(), 2 * number, struct.pack("<hh", n % 32768, -(n % 100)))
+
+    Events.available = available
+    spark.dataSource.register(capture.capture_source(Events, "captured_events"))
+    return spark.readStream.format("captured_events").load()
+
+
+def h4(spark, d):
+    rows = live.run_available(captured(spark, d))
+    return rows.select("meeting_id", "speaker_id", "name", "first_sample", F.lower(F.hex("pcm")).alias("pcm"))
+
+
 def h3(spark, d):
     return hooks.diarize(src.speech_frames(spark, d).select("meeting_id", "frame_idx", "value"), parity_diarizer, slab_frames=32, halo_frames=20)
 
@@ -188,7 +209,7 @@ def g13(spark, d):
 
 QUERIES = {
     "x1_live_windows": x1, "x2_refine_buffer": x2, "x3_live_republish": x3, "x4_activity_sessions": x4, "x7_session_ends": x7_stream, "x4_sample_activity": x4_samples,
-    "x5_periodic_relabel": x5, "s15_update_feed": s15, "h1_model_hook": h1, "h2_reviewer_hook": h2, "h3_diarizer_hook": h3,
+    "x5_periodic_relabel": x5, "s15_update_feed": s15, "h1_model_hook": h1, "h2_reviewer_hook": h2, "h4_capture_source": h4, "h3_diarizer_hook": h3,
     "j6_relabel_by_time": j6, "j7_voice_similarity": j7, "j7_relabel_by_voice": j7_names, "g13_count_speakers": g13,
 }
 
@@ -240,6 +261,10 @@ SQL = {
     "h2_reviewer_hook": f"""WITH RECURSIVE {pack('documents', 'lang', 'doc_id', 'length(text)', 10000, 48, False)},
         a AS (SELECT c.lang, chunk AS batch, doc_id, length(text) AS size, chunk % 5 IN (0, 2) OR chunk % 5 = 1 AND doc_id % 2 = 0 AS said FROM chunks c JOIN documents USING (doc_id))
         SELECT lang, batch, doc_id, CASE WHEN said AND doc_id % 4 = 1 THEN 'fix' WHEN said AND doc_id % 4 = 2 THEN 'drop' ELSE 'keep' END AS action, CASE WHEN said THEN CAST(size AS VARCHAR) ELSE '' END AS edited FROM a""",
+    "h4_capture_source": """WITH e AS (SELECT *, row_number() OVER () - 1 AS n FROM events),
+        s AS (SELECT *, CAST(event_id % 32768 AS BIGINT) AS a, CAST((65536 - event_id % 100) % 65536 AS BIGINT) AS b FROM e)
+        SELECT CAST(user_id AS VARCHAR) AS meeting_id, 'SPEAKER_' || event_type AS speaker_id, upper(event_type[1]) || event_type[2:] AS name, n * 2 AS first_sample,
+          lower(printf('%02x%02x%02x%02x', a % 256, a // 256, b % 256, b // 256)) AS pcm FROM s""",
     "h3_diarizer_hook": """WITH f AS (SELECT CAST(user_id AS VARCHAR) AS meeting_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, floor(value) % 2 = 1 AS odd FROM events),
         h AS (SELECT *, lag(odd) OVER w AS was, first_value(odd) OVER w AS start FROM f WINDOW w AS (PARTITION BY meeting_id ORDER BY i)),
         r AS (SELECT *, sum(CASE WHEN was IS NULL OR was <> odd THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY i) AS run FROM h)

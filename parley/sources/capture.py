@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 FRAME_SCHEMA = "meeting_id string, speaker_id string, name string, first_sample long, pcm binary"
@@ -25,6 +28,53 @@ class CaptureAdapter:
         raise NotImplementedError
 
 
+class TableCapture(CaptureAdapter):
+    """Frames recorded in Parquet files, in the order of the files' names and rows, given out again as a live capture.
+
+    Subclasses set `path` and `stream_column` and turn rows into frames.  The offset is a row's number, so a restarted
+    query goes on where it stopped; a range of rows reads only the row groups that it lies in.
+    """
+
+    path: str
+    stream_column: str
+    columns: list[str]
+    #: Rows there are for now; None for all.
+    available: int | None = None
+
+    def frame(self, number: int, row: dict) -> tuple:
+        """A row of FRAME_SCHEMA."""
+        raise NotImplementedError
+
+    def _groups(self) -> tuple[list, list[int]]:
+        """Row groups in order, and the number of the row behind each."""
+        parts = [p for f in sorted(ds.dataset(self.path).get_fragments(), key=lambda f: f.path) for p in f.split_by_row_group()]
+        ends, total = [], 0
+        for part in parts:
+            total += part.count_rows()
+            ends.append(total)
+        return parts, ends
+
+    def streams(self) -> list[str]:
+        column = ds.dataset(self.path).to_table(columns=[self.stream_column]).column(0)
+        return sorted(column.unique().cast(pa.string()).to_pylist())
+
+    def latest(self) -> int:
+        rows = ds.dataset(self.path).count_rows()
+        return rows if self.available is None else min(rows, self.available)
+
+    def frames(self, stream: str, start: int, end: int) -> Iterator[tuple]:
+        parts, ends = self._groups()
+        for k in range(bisect.bisect_right(ends, start), len(parts)):
+            number = ends[k] - parts[k].count_rows()
+            if number >= end:
+                return
+            for batch in parts[k].to_batches(columns=self.columns):
+                for row in batch.to_pylist():
+                    if start <= number < end and str(row[self.stream_column]) == stream:
+                        yield self.frame(number, row)
+                    number += 1
+
+
 class _Slice(InputPartition):
     def __init__(self, stream: str, start: int, end: int):
         self.stream, self.start, self.end = stream, start, end

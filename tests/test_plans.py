@@ -198,3 +198,23 @@ def test_sessions_end_by_the_clock_or_the_log(spark):
     got = live.run_available(stateful.ended_sessions(stream, 10 * minute, event_time=True)).drop("batch")
     want = [("a", 0, 14, "left", 4), ("a", 30, 31, "stop", 2), ("c", 5, 16, "left", 2)]
     assert sorted((r.meeting_id, r.started_ms // minute - 1000, r.ended_ms // minute - 1000, r.reason, r.n_events) for r in got.collect()) == want
+
+
+def test_capture_goes_on_after_a_restart(spark):
+    """Half of the frames, then a new query on the same checkpoint once all are there: every frame once."""
+    from parley.catalog.live import captured
+
+    sf = "/root/testdata/sf0.001"
+    total = spark.read.parquet(f"{sf}/events.parquet").count()
+    folder = live.shared_folder(spark, "capture")
+
+    def run(available):
+        query = captured(spark, sf, available).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
+        query.trigger(availableNow=True).start().awaitTermination()
+        return result(spark.read.parquet(f"{folder}/out"), "first_sample", "speaker_id")
+
+    half = run(total // 2)
+    assert len(half) == total // 2
+    whole = run(None)
+    assert len(whole) == total and set(half) <= set(whole) and [n for n, _ in whole] == list(range(0, 2 * total, 2))
+    assert run(None) == whole
