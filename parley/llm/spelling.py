@@ -175,11 +175,14 @@ def tail_bit(rest: Column) -> Column:
     return F.pmod(F.xxhash64(rest), F.lit(64 * TAIL_LONGS)).cast("int")
 
 
+def has_bit(bit: Column) -> Column:
+    own = F.coalesce(*[F.when(F.shiftright(bit, 6) == k, F.col(f"tails{k}")) for k in range(TAIL_LONGS)])
+    return F.getbit(own, F.pmod(bit, F.lit(64))) == 1
+
+
 def spells(rest: Column) -> Column:
     """Whether words may spell this beyond an edge."""
-    bit = tail_bit(rest)
-    own = F.element_at(F.array(*[F.col(f"tails{k}") for k in range(TAIL_LONGS)]), F.shiftright(bit, 6) + 1)
-    return F.getbit(own, F.pmod(bit, F.lit(64))) == 1
+    return has_bit(tail_bit(rest))
 
 
 def salts(words: str) -> Column:
@@ -187,29 +190,39 @@ def salts(words: str) -> Column:
 
 
 def moved(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """States after one edge: word, n, rest, node, words, edits, depth, and `found` where a word is used up (of no depth)."""
+    """States after one edge: word, n, rest, node, words, edits, depth, and `found` where a word is used up (of no depth).
+
+    Of the edges of a node, one begins with the letter that the word goes on with; any other can only be reached by an
+    edit of that letter, and what must follow then is looked at before the row of state and edge is made.
+    """
+    first, others = (lambda c: F.substr(c, F.lit(1), F.lit(1))), (lambda c: F.substr(c, F.lit(2)))
     left = states.withColumn("salt", F.pmod(F.xxhash64("word"), salts("words"))).drop("words", "depth")
-    right = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), salts("words") - 1))).drop("words")
-    size = F.char_length("label")
-    spelt, fresh = F.startswith("rest", "label"), F.col("edits") == 0
-    after = lambda more: F.substr("rest", size + 1 + more)
+    left = left.withColumn("rest_first", first("rest")).withColumn("rest_others", others("rest")).withColumn("others_bit", tail_bit(others("rest")))
+    right = edges.withColumn("size", F.char_length("label")).withColumn("label_first", first("label")).withColumn("label_others", others("label"))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), salts("words") - 1))).drop("words")
+    replaced = (F.col("label_first") > F.col("rest_first")) & F.startswith("rest_others", "label_others") & ((F.col("size") > 1) | has_bit(F.col("others_bit")))
+    dropped = F.startswith("rest_others", "label")
+    may = (F.col("label_first") == F.col("rest_first")) | ((F.col("edits") == 0) & (replaced | dropped))
+    met = left.alias("l").join(right.alias("r"), (F.col("l.node") == F.col("r.node")) & (F.col("l.salt") == F.col("r.salt")) & may)
+    met = met.select("word", "n", "rest", "edits", "label", "size", "child", "below", "end", (F.col("depth") + F.col("size")).alias("depth"), *[f"tails{k}" for k in range(TAIL_LONGS)],
+                     F.startswith("rest", "label").alias("spelt"), F.substr("rest", F.col("size") + 1).alias("after"), F.substr("rest", F.col("size") + 2).alias("beyond"), F.char_length("rest").alias("left"))
+
+    spelt, fresh, size, left_ = F.col("spelt"), F.col("edits") == 0, F.col("size"), F.col("left")
     same, longer = F.substr("rest", F.lit(1), size), F.substr("rest", F.lit(1), size + 1)
     off_by_one = lambda part: F.levenshtein("label", part, 1) == 1
-    used = lambda rest: F.when(rest == "", F.col("end"))
 
-    def move(when: Column, edits: int, rest: Column, found: Column) -> Column:
-        return F.when(when, F.struct(F.lit(edits).alias("edits"), rest.alias("rest"), found.alias("found")))
+    def move(when: Column, edits: int, rest: Column) -> Column:
+        used = F.when((rest == "") & F.lit(edits == 1), F.col("end"))
+        return F.when(when, F.struct(F.lit(edits).alias("edits"), rest.alias("rest"), used.alias("found")))
 
-    no_word = F.lit(None).cast("struct<word:string,n:bigint>")
     moves = F.array(
-        move(spelt & fresh, 0, after(0), no_word),
-        move(spelt & fresh & (F.char_length("rest") == size + 1), 1, F.lit(""), F.col("end")),
-        move(spelt & ~fresh & spells(after(0)), 1, after(0), used(after(0))),
-        move(fresh & ~spelt & (F.char_length("rest") >= size) & (F.col("label") > same) & spells(after(0)) & off_by_one(same), 1, after(0), used(after(0))),
-        move(fresh & ~spelt & (F.char_length("rest") > size) & spells(after(1)) & off_by_one(longer), 1, after(1), used(after(1))),
+        move(spelt & fresh, 0, F.col("after")),
+        move(spelt & fresh & (left_ == size + 1), 1, F.lit("")),  # its last letter dropped
+        move(spelt & ~fresh & spells(F.col("after")), 1, F.col("after")),
+        move(fresh & ~spelt & (left_ >= size) & (F.col("label") > same) & spells(F.col("after")) & off_by_one(same), 1, F.col("after")),
+        move(fresh & ~spelt & (left_ > size) & spells(F.col("beyond")) & off_by_one(longer), 1, F.col("beyond")),
     )
-    met = left.join(right, ["node", "salt"])
-    each = met.select("word", "n", F.col("child").alias("node"), F.col("below").alias("words"), (F.col("depth") + size).alias("depth"), F.explode(F.filter(moves, lambda m: m.isNotNull())).alias("m"))
+    each = met.select("word", "n", F.col("child").alias("node"), F.col("below").alias("words"), "depth", F.explode(F.filter(moves, lambda m: m.isNotNull())).alias("m"))
     each = each.select("word", "n", "m.rest", "node", "words", "m.edits", "m.found", F.when(F.col("m.found").isNotNull(), FOUND).otherwise(F.col("depth")).alias("depth"))
     return each.filter((F.col("rest") != "") | F.col("found").isNotNull())
 
