@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from parley.catalog.common import NOISY, PAIRS, SP, WORD, norm_tokens, squeeze, strip, tokens, words
-from parley.functions import hops, quality, text as tx
+from parley.functions import hops, quality, stitching, text as tx
 from parley.sources import adapters as src
 
 C = F.col
@@ -141,7 +141,7 @@ def f16(spark, d):
 
 
 def f17(spark, d):
-    return src.text_pairs(spark, d).select(*PAIR, hops.stitch_column("a", "b").alias("stitched"))
+    return stitching.with_stitched(src.text_pairs(spark, d), "a", "b", "stitched").select(*PAIR, "stitched")
 
 
 def f18(spark, d):

@@ -8,9 +8,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from parley.functions import hops, stitching
 from parley.functions.names import prefer_longer_names
 from parley.operators import features, metrics, relabel as rl
 from parley.plans.slabs import in_ranges
+from parley.sources import adapters
 
 
 def plain_features(x, rate, threshold):
@@ -112,3 +114,16 @@ def test_ranges_of_names_are_even(spark):
     assert len(sizes) > 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
     kept = prefer_longer_names(df.withColumn("o", F.lit(1)), "k", "name", "o")
     assert kept.where("k = 'n'").collect()[0].name == "others" and kept.where("k = 'm'").count() == 4000
+
+
+def test_stitched_columns_equal_the_fold_of_two_texts(spark):
+    """On the pairs of all utterances, and on hand-made ones, the columns give what a fold over two rows gives."""
+    sf = "/root/testdata/sf0.001"
+    rnd = random.Random(8)
+    words = "we will meet at noon in the hall plan budget team music [music] 12 ok ok".split()
+    pairs = [(r.a, r.b) for r in adapters.text_pairs(spark, sf).collect()]
+    pairs += [("we will meet at noon", "at noon in the hall"), ("a good clear sentence here", "Music"), ("", "x y"), ("hello there", "hello there friend"), ("a", ""), (None, "b"), ("no no no no no no", "a clear answer to it")]
+    pairs += [(" ".join(rnd.choices(words, k=rnd.randrange(0, 12))), " ".join(rnd.choices(words, k=rnd.randrange(0, 12)))) for _ in range(400)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i long, a string, b string").repartition(8)
+    got = {r.i: r.stitched for r in stitching.with_stitched(df, "a", "b", "stitched").collect()}
+    assert {i: s for i, s in got.items() if s != hops.stitch(pairs[i][0] or "", pairs[i][1] or "")} == {}
