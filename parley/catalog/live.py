@@ -15,8 +15,9 @@ CONV = ["meeting_id", "conv_id"]
 
 
 def read_stream(spark, d, name):
+    """A table as a stream, be it one file or a folder of files; a pattern is the one form of path that may name either."""
     schema = src.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def samples(e):

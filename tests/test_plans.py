@@ -187,6 +187,24 @@ def test_state_of_a_meeting_stays_small(spark, tmp_path, files):
     assert max(r.n for r in out.groupBy("batch").agg(F.count("*").alias("n")).collect()) <= 36 // files + 2
 
 
+@pytest.mark.parametrize("folder", [False, True])
+def test_a_streamed_table_is_a_file_or_a_folder(spark, tmp_path, folder):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from parley.catalog.live import s15
+
+    parts = [pa.table({"conv_id": [k, k], "turn": [0, 1], "role": ["system", "user"], "text": ["a", None]}) for k in range(3)]
+    if folder:
+        (tmp_path / "conversations.parquet").mkdir()
+        for k, part in enumerate(parts):
+            pq.write_table(part, tmp_path / "conversations.parquet" / f"part-{k}.parquet")
+    else:
+        pq.write_table(pa.concat_tables(parts), tmp_path / "conversations.parquet")
+    got = s15(spark, str(tmp_path))
+    assert result(got, "meeting_id", "turn", "event_type") == [(str(k), t, e) for k in range(3) for t, e in ((0, "warning"), (1, "transcript"))]
+
+
 def test_sessions_end_by_the_clock_or_the_log(spark):
     minute = 60_000
     log = [("a", 0, "active"), ("a", 1, "left"), ("a", 3, "active"), ("a", 4, "left"), ("a", 30, "active"), ("a", 31, "stop"), ("a", 32, "left"),
