@@ -160,6 +160,34 @@ def test_native_flag_covers_all_repeats(spark):
         assert r["got"] == hops.collapse_repeats(r["text"]), r["text"]
 
 
+def test_phrases_said_twice_are_found_in_batches():
+    import re
+
+    import pyarrow as pa
+
+    rnd = random.Random(6)
+    lines = [" ".join(rnd.choice(["ab", "a", "b.", "و"]) for _ in range(rnd.randrange(0, 30))) for _ in range(1500)]
+    lines += [" ".join(map(str, [*range(k), *range(k)])) for k in range(1, 11)] + ["a b c", "a b c"]
+    phrase = re.compile(r"(?<!\S)(\S++(?: \S++){1,7}) \1(?!\S)")
+    assert hops.said_twice(pa.array(lines)).to_pylist() == [bool(phrase.search(line)) for line in lines]
+    assert hops.said_twice(pa.array(lines[:1])).to_pylist() == [bool(phrase.search(lines[0]))]
+    assert hops.said_twice(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_repeats_are_found_without_a_pattern_over_whole_texts(spark):
+    """The patterns that look for a phrase from every word on stay out of the plan."""
+    df = spark.createDataFrame([("a b",)], "text string").select(F.concat("text", F.lit(" c")).alias("text"))
+    plan = hops.collapse_repeats_column(df, "text", "got")._jdf.queryExecution().optimizedPlan().toString()
+    assert "{1,7}" not in plan
+
+
+def test_long_texts_of_noise_are_stock_phrases_still(spark):
+    rows = [("_ " * 200 + "music", True), ("m\u200cu" + "\u200d" * 300 + "sic", True), ("music " * 60, False), ("thank you for watching" + " ." * 200, True), ("thank you for watching all", False)]
+    df = spark.createDataFrame(rows, "t string, want boolean").withColumn("k", tx.tokens(F.col("t")))
+    for r in tx.with_boilerplate(df, "t", "k", "got").collect():
+        assert r.got == r.want, r.t
+
+
 def test_helper_quality_equals_columns(spark):
     rnd = random.Random(7)
     vocabulary = ["so", "yes", "we", "(music)", "plan", "و", "...", "10", "blank_audio", "thank", "you"]
