@@ -51,7 +51,7 @@ def w3_named(spark, d):
     )
     ids = ["meeting_id", "region_start", "region_end"]
     return (
-        iv.speakers_at(r, i, "mid", ids)
+        iv.heard_at(r, i, "mid", ids)
         .groupBy(*ids)
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "speaker_id"))),
                                       lambda x: x["speaker_id"]), ",").alias("speakers"))

@@ -54,20 +54,41 @@ def overlap_join(
     )
 
 
+def leading_spans(intervals: DataFrame, slab_ms: int = SLAB_MS) -> DataFrame:
+    """The turns with the time [lead_start, lead_end) in which each is its speaker's first one still heard.
+
+    Of a speaker's turns by (start, end, id) that is the time from the largest end before a turn on, so these spans of a
+    speaker share no time, however many of the turns do; turns that never lead are left out.
+    """
+    live = intervals.where(F.col("start_ms") < F.col("end_ms")).select(
+        "meeting_id", "speaker_id", "start_ms", "end_ms", "interval_id", slab_of(F.col("start_ms"), slab_ms).alias("_slab")
+    )
+    reach = Run("_reach", "max", F.col("end_ms").cast("long"), inclusive=False)
+    led = running(live, ["meeting_id", "speaker_id"], "_slab", ["start_ms", "end_ms", "interval_id"], [reach])
+    start = F.greatest(F.col("start_ms").cast("long"), F.col("_reach"))
+    led = led.withColumn("lead_start", start).withColumn("lead_end", F.col("end_ms").cast("long"))
+    return led.where("lead_start < lead_end").drop("_slab", "_reach")
+
+
+def heard_at(points: DataFrame, intervals: DataFrame, point: str, ids: list[str], bin_ms: int = BIN_MS) -> DataFrame:
+    """One row for each row of `points` and speaker covering it, with the first covering turn as `ord`."""
+    p = points.withColumn("_bin", F.floor(F.col(point) / bin_ms))
+    led = leading_spans(intervals).withColumn("_bin", F.explode(_bins(F.col("lead_start"), F.col("lead_end"), bin_ms)))
+    ord = F.struct("start_ms", "end_ms", "speaker_id", "interval_id")
+    led = led.select("meeting_id", "_bin", "speaker_id", "lead_start", "lead_end", ord.alias("ord"))
+    return p.select("meeting_id", *[c for c in ids if c != "meeting_id"], point, "_bin").join(
+        led, ["meeting_id", "_bin"]
+    ).where((F.col("lead_start") <= F.col(point)) & (F.col(point) < F.col("lead_end"))).select(
+        *dict.fromkeys([*ids, point]), "speaker_id", "ord"
+    )
+
+
 def speakers_at(
     points: DataFrame, intervals: DataFrame, point: str, ids: list[str], bin_ms: int = BIN_MS
 ) -> DataFrame:
     """Distinct speakers covering each point, in interval order, one row per (point, speaker)."""
-    p = points.withColumn("_bin", F.floor(F.col(point) / bin_ms))
-    iv = intervals.select(
-        "meeting_id", "speaker_id", "start_ms", "end_ms", "interval_id"
-    ).withColumn("_bin", F.explode(_bins(F.col("start_ms"), F.col("end_ms"), bin_ms)))
-    hit = p.select("meeting_id", *[c for c in ids if c != "meeting_id"], point, "_bin").join(
-        iv, ["meeting_id", "_bin"]
-    ).where((F.col("start_ms") <= F.col(point)) & (F.col(point) < F.col("end_ms")))
-    return hit.groupBy(*ids, point, "speaker_id").agg(
-        F.min(F.struct("start_ms", "end_ms", "speaker_id", "interval_id")).alias("ord")
-    )
+    hit = heard_at(points, intervals, point, ids, bin_ms)
+    return hit.groupBy(*ids, point, "speaker_id").agg(F.min("ord").alias("ord"))
 
 
 def dominant_speaker(
@@ -196,7 +217,8 @@ def shared_regions(intervals: DataFrame, bin_ms: int = BIN_MS) -> DataFrame:
     """Atomic regions with two or more speakers, with the speakers in interval order."""
     regions = atomic_regions(intervals, ["meeting_id"]).where("n_speakers >= 2")
     ids = ["meeting_id", "region_start", "region_end"]
-    named = speakers_at(
+    # Regions are named once each, so their speakers are met once each.
+    named = heard_at(
         regions.withColumn("mid", F.floor((F.col("region_start") + F.col("region_end")) / 2)), intervals, "mid", ids, bin_ms
     )
     in_order = F.array_sort(F.collect_list(F.struct("ord", "speaker_id")))

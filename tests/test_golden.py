@@ -59,6 +59,23 @@ def test_regions_around_a_bin_edge(spark):
         (0, 10, 1), (10, 600_000, 2), (600_000, 600_100, 1)]
 
 
+def test_a_point_meets_each_speaker_once(spark):
+    """However many turns of a speaker cover a point, one span leads there: the first turn still heard."""
+    rnd = random.Random(9)
+    rows = [("m", rnd.choice(["a", "b", None]), s, s + rnd.randrange(-5, 900_000), i // 2) for i in range(300) for s in [rnd.randrange(0, 50) * 40_000]]
+    rows += [(None, "a", 0, 10, 900), ("m", "a", None, 10, 901), ("m", "a", 5, None, 902)]
+    turns = spark.createDataFrame(rows, "meeting_id string, speaker_id string, start_ms int, end_ms int, interval_id long")
+    points = spark.createDataFrame([("m", t) for t in [*range(0, 2_900_000, 70_000), 40_000, 40_000]], "meeting_id string, t long")
+    first, at = {}, {r.t for r in points.collect()}
+    for m, who, s, e, n in rows:
+        for t in at if m and None not in (s, e) else ():
+            if s <= t < e:
+                first[t, who] = min(first.get((t, who), (s, e, n)), (s, e, n))
+    got = {(r.t, r.speaker_id): (r.ord.start_ms, r.ord.end_ms, r.ord.interval_id) for r in iv.speakers_at(points, turns, "t", ["meeting_id"]).collect()}
+    assert got == first
+    assert iv.heard_at(points.distinct(), turns, "t", ["meeting_id"]).count() == len(first)
+
+
 def test_flicker_is_no_overlap(spark):
     t = turns(spark, ("A", 0, 3040), ("B", 3000, 6040), ("A", 6000, 8000))
     w = windows(spark, (0, 8000, "all", []))
