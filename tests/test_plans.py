@@ -205,6 +205,22 @@ def test_a_streamed_table_is_a_file_or_a_folder(spark, tmp_path, folder):
     assert result(got, "meeting_id", "turn", "event_type") == [(str(k), t, e) for k in range(3) for t, e in ((0, "warning"), (1, "transcript"))]
 
 
+def test_stateful_queries_run_from_any_folder(tmp_path):
+    """The worker that prepares a stateful processor finds the package where the session was started elsewhere."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""import sys; sys.path.insert(0, {root!r})
+import __spark_entry__ as e
+from parley.session import local_session
+print(e.queries()["x2_refine_buffer"](local_session(2), "/root/testdata/sf0.001").count())"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PARLEY_DRIVER_MEMORY": "2g"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_sessions_end_by_the_clock_or_the_log(spark):
     minute = 60_000
     log = [("a", 0, "active"), ("a", 1, "left"), ("a", 3, "active"), ("a", 4, "left"), ("a", 30, "active"), ("a", 31, "stop"), ("a", 32, "left"),
