@@ -30,6 +30,14 @@ Fold = Callable[[object, pd.DataFrame, int | None], tuple[list[tuple], object]]
 SLAB_ROWS = 20_000
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt out by number, or by these columns: adaptive execution would put little data into one task, however
+    long its rows take."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *by)
+
+
 def in_slabs(rows: DataFrame, keys: list[str], order: list[str], coarse: int, slab_rows: int, end: Column | None, pause: int) -> tuple[DataFrame, bool]:
     """The rows, and whether any slab begins inside an island.  Adds `_slab`, about `slab_rows` neighbouring rows, and `_inside`: the slab begins inside an island.
 
@@ -97,7 +105,7 @@ def carry_fold(
     by = [*keys, "_slab"]
     src, any_inside = in_slabs(rows, keys, order, coarse, slab_rows, end, pause)
     if not any_inside:
-        done = keep(src.drop("_inside").groupBy(*by).applyInPandas(alone, schema), "folded")
+        done = keep(dealt(src.drop("_inside"), *by).groupBy(*by).applyInPandas(alone, schema), "folded")
         return done.where(F.col("_left").isNull()).select(*keys, *out.names)
 
     # Slabs of long islands: the first one of the island hands on to those that begin inside it.
@@ -112,7 +120,7 @@ def carry_fold(
     def fold_round(todo: DataFrame, number: int) -> DataFrame:
         todo = todo.select(*[F.col(c).alias(c) for c in [*by, "_carry", "_end"]])
         part = data.join(todo.select(*by), by, "left_semi")
-        done = part.groupBy(*by).cogroup(todo.groupBy(*by)).applyInPandas(within, schema)
+        done = dealt(part, *by).groupBy(*by).cogroup(dealt(todo, *by).groupBy(*by)).applyInPandas(within, schema)
         return keep(done.withColumn("_round", F.lit(number)), "folded")
 
     number = 0
