@@ -2,11 +2,13 @@
 
 A word's embedding is the sum of three hashed ones: of the word and of its first four and five bytes, so that unseen
 forms of a stem are known. Filters of widths 1, 2 and 3 slide over the embeddings; each one's maximum over the whole
-text, if positive, enters a logistic layer. Training is on a bounded sample of labelled documents (`SAMPLE`, evenly of
-either label, the first by a hash of the id): embeddings, filters and the last layer by gradient steps on mini-batches.
+text, if positive, enters a logistic layer. Training is on all labelled documents: embeddings, filters and the last layer
+by gradient steps on mini-batches. Documents are dealt out to shards by a hash of the id; each round the shards go on
+from one state on their own, a chunk of documents at a time, and the mean of their states is the next one.
 
-Thresholds are calibrated by language on a part of the sample that training leaves out. A text's language is guessed
-from its words (naive Bayes over their bins, learned from the same sample); the logit less its language's threshold
+Thresholds are calibrated by language on the fifth of the labelled documents that training leaves out, from counts of
+their logits. A text's language is guessed from its words (naive Bayes over their bins, learned from all labelled
+documents); the logit less its language's threshold
 gives the score, so that 0.5 is the threshold everywhere. Language, source, labels and ids are no inputs of a score.
 
 Defined cases: null texts and texts without words get the share of label 1 among labelled rows; so do all texts if
@@ -20,15 +22,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import remainder, table
+from .tables import keep, remainder, table
 from .words import Words, pieces, run_hashes, words_of
 
-#: Labelled documents of either label to learn from.
-SAMPLE = 2000
+#: Labelled documents, and their words, that a task learns from at a time; documents a shard has at least; most shards.
+CHUNK, CHUNK_WORDS, SHARDS = 4000, 1 << 22, 64
+#: Up to so many documents each is met EPOCHS times, of more ones proportionally less often, twice at least.
+FULL = 16_000
+#: Times that the shards' states are averaged, at most.
+ROUNDS = 4
+#: Steps of a logit, where thresholds are looked for.
+CELLS = 64
 BINS = 1 << 15
 DIM = 8
 WIDTHS = (1, 2, 3)
@@ -101,115 +110,246 @@ def guessed(model: Model, bins: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def trained(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int | None = None) -> Model:
-    """Gradient descent with steps scaled by the past gradients (Adagrad). Only the words under a maximum, and the
-    filters, get a gradient."""
+State = dict[str, np.ndarray]
+#: Bins of one part of the embeddings, when parts are averaged.
+PART = BINS // 8
+
+
+def begun(seed: int = 7) -> State:
+    """What training changes: parameters, and the sums of their squared gradients (`past ...`; a bin has one)."""
     rng = np.random.default_rng(seed)
-    model = Model((rng.normal(size=(BINS, DIM)) * INITIAL).astype(np.float32), [(rng.normal(size=(w * DIM, FILTERS)) / np.sqrt(w * DIM)).astype(np.float32) for w in WIDTHS],
-                  [np.zeros(FILTERS, np.float32) for _ in WIDTHS], (rng.normal(size=len(WIDTHS) * FILTERS) * 0.3).astype(np.float32), 0.0,
-                  np.zeros((BINS, 0), np.float32), np.zeros(1))
-    past: dict[object, np.ndarray] = {}
+    state = {"embeddings": (rng.normal(size=(BINS, DIM)) * INITIAL).astype(np.float32)}
+    state |= {f"filter {k}": (rng.normal(size=(w * DIM, FILTERS)) / np.sqrt(w * DIM)).astype(np.float32) for k, w in enumerate(WIDTHS)}
+    state |= {f"offset {k}": np.zeros(FILTERS, np.float32) for k in range(len(WIDTHS))}
+    state |= {"weights": (rng.normal(size=len(WIDTHS) * FILTERS) * 0.3).astype(np.float32), "bias": np.zeros(1, np.float32)}
+    past = {f"past {name}": np.full(value.shape, 1e-6, np.float32) for name, value in state.items() if name != "embeddings"}
+    return state | past | {"past embeddings": np.full(BINS, 1e-6, np.float32)}
+
+
+def as_model(state: State) -> Model:
+    each = range(len(WIDTHS))
+    return Model(state["embeddings"], [state[f"filter {k}"] for k in each], [state[f"offset {k}"] for k in each], state["weights"], float(state["bias"][0]), np.zeros((BINS, 0), np.float32), np.zeros(1))
 
-    def step(name: object, value: np.ndarray, gradient: np.ndarray, rate: float) -> None:
-        total = past.setdefault(name, np.full(value.shape, 1e-6, np.float32))
+
+def descend(state: State, texts: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator) -> None:
+    """Gradient descent over the texts once, in place, with steps scaled by the past gradients (Adagrad). Only the words
+    under a maximum, and the filters, get a gradient."""
+    model, squares = as_model(state), state["past embeddings"]
+
+    def step(name: str, gradient: np.ndarray, rate: float) -> None:
+        total = state[f"past {name}"]
         total += gradient * gradient
-        value -= (rate * gradient / np.sqrt(total)).astype(np.float32)
+        state[name] -= (rate * gradient / np.sqrt(total)).astype(np.float32)
+
+    order = rng.permutation(len(texts))
+    for at in range(0, len(order), BATCH):
+        own = order[at : at + BATCH]
+        seen = [texts[i][rng.random(len(texts[i])) >= DROPPED] for i in own]
+        bins = np.concatenate(seen)
+        rows = np.concatenate([[0], np.cumsum([len(t) for t in seen])])
+        pooled, places, x = features(model, bins, rows, where=True)
+        active = np.maximum(pooled, 0)
+        miss = (1 / (1 + np.exp(-(active @ model.weights + state["bias"][0]))) - labels[own]).astype(np.float32) / len(own)
+        back = miss[:, None] * model.weights * (pooled > 0)
+        step("weights", active.T @ miss, 0.05)
+        step("bias", miss.sum(keepdims=True), 0.05)
+        pad, place_bins = max(WIDTHS) - 1, np.full((len(x), 3), -1, np.int64)
+        place_bins[np.arange(len(bins)) + pad * np.repeat(np.arange(len(own)), np.diff(rows))] = bins
+        ids, gradients = [], []
+        for k, width in enumerate(WIDTHS):
+            f = slice(k * FILTERS, (k + 1) * FILTERS)
+            b, p = back[:, f], places[:, f]
+            step(f"offset {k}", b.sum(0), 0.05)
+            change = np.zeros_like(model.filters[k])
+            for i in range(width):
+                change[i * DIM : (i + 1) * DIM] = np.einsum("rf,rfd->df", b, x[p + i])
+                ids.append(place_bins[p + i].reshape(-1, 3))
+                gradients.append((b[:, :, None] * model.filters[k][i * DIM : (i + 1) * DIM].T).reshape(-1, DIM))
+            step(f"filter {k}", change, 0.05)
+        ids, gradients = np.concatenate(ids), np.concatenate(gradients)
+        real = (ids[:, 0] >= 0) & np.any(gradients != 0, axis=1)
+        flat, gradients = ids[real].ravel(), np.repeat(gradients[real], 3, axis=0)
+        if len(flat):
+            distinct, which = np.unique(flat, return_inverse=True)
+            total = np.zeros((len(distinct), DIM), np.float32)
+            np.add.at(total, which, gradients)
+            squares[distinct] += (total * total).mean(1)
+            model.embeddings[distinct] -= RATE * total / np.sqrt(squares[distinct])[:, None]
 
-    bias, squares = np.zeros(1, np.float32), np.full(BINS, 1e-6, np.float32)
+
+def trained(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int | None = None) -> Model:
+    """A model of texts at hand."""
+    state, rng = begun(seed), np.random.default_rng(seed)
     for _ in range(epochs or EPOCHS):
-        order = rng.permutation(len(texts))
-        for at in range(0, len(order), BATCH):
-            own = order[at : at + BATCH]
-            seen = [texts[i][rng.random(len(texts[i])) >= DROPPED] for i in own]
-            bins = np.concatenate(seen)
-            rows = np.concatenate([[0], np.cumsum([len(t) for t in seen])])
-            pooled, places, x = features(model, bins, rows, where=True)
-            active = np.maximum(pooled, 0)
-            miss = (1 / (1 + np.exp(-(active @ model.weights + bias[0]))) - labels[own]).astype(np.float32) / len(own)
-            back = miss[:, None] * model.weights * (pooled > 0)
-            step("weights", model.weights, active.T @ miss, 0.05)
-            step("bias", bias, miss.sum(keepdims=True), 0.05)
-            pad, place_bins = max(WIDTHS) - 1, np.full((len(x), 3), -1, np.int64)
-            place_bins[np.arange(len(bins)) + pad * np.repeat(np.arange(len(own)), np.diff(rows))] = bins
-            ids, gradients = [], []
-            for k, width in enumerate(WIDTHS):
-                f = slice(k * FILTERS, (k + 1) * FILTERS)
-                b, p = back[:, f], places[:, f]
-                step(("offset", k), model.offsets[k], b.sum(0), 0.05)
-                change = np.zeros_like(model.filters[k])
-                for i in range(width):
-                    change[i * DIM : (i + 1) * DIM] = np.einsum("rf,rfd->df", b, x[p + i])
-                    ids.append(place_bins[p + i].reshape(-1, 3))
-                    gradients.append((b[:, :, None] * model.filters[k][i * DIM : (i + 1) * DIM].T).reshape(-1, DIM))
-                step(("filter", k), model.filters[k], change, 0.05)
-            ids, gradients = np.concatenate(ids), np.concatenate(gradients)
-            real = (ids[:, 0] >= 0) & np.any(gradients != 0, axis=1)
-            flat, gradients = ids[real].ravel(), np.repeat(gradients[real], 3, axis=0)
-            if len(flat):
-                distinct, which = np.unique(flat, return_inverse=True)
-                total = np.zeros((len(distinct), DIM), np.float32)
-                np.add.at(total, which, gradients)
-                squares[distinct] += (total * total).mean(1)
-                model.embeddings[distinct] -= RATE * total / np.sqrt(squares[distinct])[:, None]
-    model.bias = float(bias[0])
-    return model
+        descend(state, texts, labels, rng)
+    return as_model(state)
+
+
+def bins_of(part: bytes) -> np.ndarray:
+    return np.frombuffer(part, np.int32).reshape(-1, 3)
+
+
+def together(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of the rows, one after the other, and where rows begin."""
+    return np.concatenate([np.zeros((0, 3), np.int32), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+
+def after_round(rows: DataFrame, state: State, shards: int, epochs: int) -> State:
+    """The state after every shard of `rows` (shard, order, id, toxic, bins) has gone on from it on its own: the mean of
+    the shards; that of a bin is taken over the shards that have met it."""
+    spark = rows.sparkSession
+    known = spark.sparkContext.broadcast(state)
+
+    def given(own: State) -> Iterator[tuple[str, bytes]]:
+        for name, value in own.items():
+            if name not in ("embeddings", "past embeddings"):
+                yield name, value.tobytes()
+        both = np.column_stack([own["embeddings"], own["past embeddings"]])
+        for at in range(0, BINS, PART):
+            yield f"part {at}", both[at : at + PART].tobytes()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(own: State) -> pa.RecordBatch:
+            names, values = zip(*given(own), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(values, pa.binary())], ["name", "value"])
+
+        shard, own, rng, texts, labels, words = None, {}, np.random.default_rng(0), [], [], 0
+
+        def learn() -> None:
+            for _ in range(epochs):
+                descend(own, texts, np.array(labels, float), rng)
+
+        for batch in batches:
+            for number, toxic, part in zip(*(batch.column(c).to_pylist() for c in ("shard", "toxic", "bins")), strict=True):
+                if number != shard or len(texts) == CHUNK or words > CHUNK_WORDS:
+                    if texts:
+                        learn()
+                    texts, labels, words = [], [], 0
+                if number != shard:
+                    if shard is not None:
+                        yield batch_of(own)
+                    shard, rng = number, np.random.default_rng(number)
+                    own = {name: value.copy() for name, value in known.value.items()}
+                texts.append(bins_of(part))
+                labels.append(toxic)
+                words += len(texts[-1])
+        if texts:
+            learn()
+        if shard is not None:
+            yield batch_of(own)
+
+    def mean(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        (name,) = key
+        values = np.stack([np.frombuffer(v, np.float32) for v in sorted(found["value"])])
+        if not name.startswith("part "):
+            out = values.mean(0)
+        else:
+            at, values = int(name.split()[1]), values.reshape(len(values), PART, DIM + 1)
+            old = np.column_stack([known.value["embeddings"], known.value["past embeddings"]])[at : at + PART]
+            met = (values[:, :, DIM] != old[:, DIM])[:, :, None]
+            out = np.where(met.any(0), (values * met).sum(0) / np.maximum(met.sum(0), 1), old)
+        return pd.DataFrame({"name": [name], "value": [out.astype(np.float32).tobytes()]})
+
+    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "order", "id")
+    parts = dealt.select("shard", "toxic", "bins").mapInArrow(work, "name string, value binary").groupBy("name").applyInPandas(mean, "name string, value binary")
+    found = {r["name"]: np.frombuffer(r.value, np.float32) for r in parts.collect()}  # one state, of fixed size
+    known.unpersist()
+    out = {name: found[name].reshape(value.shape).copy() for name, value in state.items() if name in found}
+    both = np.concatenate([found[f"part {at}"].reshape(PART, DIM + 1) for at in range(0, BINS, PART)])
+    return out | {"embeddings": both[:, :DIM].copy(), "past embeddings": both[:, DIM].copy()}
 
 
 def threshold(z: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
     """The middle of the widest gap among the cuts of least weighted error."""
-    order = np.argsort(z, kind="stable")
-    z, labels, weights = z[order], labels[order], weights[order]
+    z, which = np.unique(z, return_inverse=True)
+    ones, zeros = (np.bincount(which, np.where(labels == k, weights, 0), len(z)) for k in (1, 0))
     cuts = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
-    errors = np.concatenate([[0], np.cumsum(np.where(labels == 1, weights, -weights))]) + weights[labels == 0].sum()
+    errors = np.concatenate([[0], np.cumsum(ones - zeros)]) + zeros.sum()
     gaps = np.concatenate([[1], z[1:] - z[:-1], [1]])
     best = np.flatnonzero(errors <= errors.min() + 1e-9)
     return float(cuts[best[gaps[best].argmax()]])
 
 
-def fitted(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], share: float) -> Model:
-    """A model trained on four fifths of the sample, its thresholds set on the rest; `share` is that of label 1 among
-    all labelled rows."""
-    if not 0 < labels.mean() < 1 if len(labels) else True:
-        flat = trained([], np.zeros(0))
-        flat.share = float(labels.mean()) if len(labels) else 0.0
+def word_numbers(rows: DataFrame) -> DataFrame:
+    """lang, bin, n: how often words of a bin stand in the texts of a language."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts.setdefault(lang, np.zeros(BINS, np.int64))
+                counts[lang] += np.bincount(bins_of(part)[:, 0], minlength=BINS)
+        for lang, n in counts.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[some])], ["lang", "bin", "n"])
+
+    own = rows.filter(F.col("lang").isNotNull()).select("lang", "bins")
+    return own.mapInArrow(work, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+
+
+def cells(rows: DataFrame, model: Model) -> DataFrame:
+    """guess, cell, toxic, left_out, n: rows by guessed language and logit, in steps of 1 / CELLS and at most 64 off 0."""
+    known = rows.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins, begins = together([bins_of(b) for b in batch.column(2).to_pylist()])
+            z, guess = logits(known.value, bins, begins), guessed(known.value, bins, begins)
+            cell = np.rint(np.clip(z, -64, 64) * CELLS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(guess.astype(np.int32)), pa.array(cell), batch.column(0), batch.column(1)], ["guess", "cell", "toxic", "left_out"])
+
+    found = rows.select("toxic", "left_out", "bins").mapInArrow(work, "guess int, cell int, toxic int, left_out boolean")
+    return found.groupBy("guess", "cell", "toxic", "left_out").agg(F.count("*").alias("n"))
+
+
+def fitted(rows: DataFrame, share: float) -> Model:
+    """A model trained on four fifths of `rows` (id, toxic, lang, bins, order, left_out), its thresholds set on the rest;
+    `share` is that of label 1 among all labelled rows."""
+    numbers = {(r.toxic, r.left_out): r["count"] for r in rows.groupBy("toxic", "left_out").count().collect()}
+    ones, n = sum(v for (toxic, _), v in numbers.items() if toxic == 1), sum(numbers.values())
+    if not 0 < ones < n:
+        flat = as_model(begun())
+        flat.share = ones / n if n else 0.0
         p = min(max(flat.share, 1e-9), 1 - 1e-9)
         flat.weights[:], flat.bias = 0, float(np.log(p / (1 - p)))
         return flat
-    left_out = np.arange(len(texts)) % 5 == 4
-    model = trained([t for t, out in zip(texts, left_out, strict=True) if not out], labels[~left_out])
-    names = sorted({x for x in langs if x is not None})
+    own = sum(v for (_, out), v in numbers.items() if not out)
+    shards = min(max(1, own // CHUNK), SHARDS)
+    epochs = min(max(2, EPOCHS * FULL // max(own, 1)), EPOCHS)
+    rounds = 1 if shards == 1 else min(epochs, ROUNDS)
+    state, inner = begun(), rows.filter(~F.col("left_out")).withColumn("shard", F.pmod(F.shiftright("order", 8), F.lit(shards)).cast("int"))
+    for _ in range(rounds if own else 0):
+        state = after_round(inner, state, shards, -(-epochs // rounds))
+    model = as_model(state)
+    counted = word_numbers(rows).toPandas()
+    names = sorted(set(counted["lang"]))
     counts = np.full((BINS, len(names)), 0.1)
-    for t, lang in zip(texts, langs, strict=True):
-        if lang is not None and len(t):
-            counts[:, names.index(lang)] += np.bincount(t[:, 0], minlength=BINS)
+    counts[counted["bin"].to_numpy(int), [names.index(x) for x in counted["lang"]]] += counted["n"].to_numpy(float)
     model.languages = np.log(counts / counts.sum(0)).astype(np.float32)
-    bins = np.concatenate([np.zeros((0, 3), np.int32), *texts])
-    rows = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    z, lang = logits(model, bins, rows), guessed(model, bins, rows)
-    weights = np.where(labels == 1, share / labels.mean(), (1 - share) / (1 - labels.mean()))
+    found = cells(rows, model).toPandas()
 
-    def cut(own: np.ndarray) -> float | None:
-        return threshold(z[own], labels[own], weights[own]) if 0 < labels[own].mean() < 1 else None
+    def cut(part: pd.DataFrame) -> float | None:
+        both = part["toxic"].nunique() == 2
+        return threshold(part["cell"].to_numpy(float) / CELLS, part["toxic"].to_numpy(), part["n"].to_numpy(float)) if both else None
 
-    whole = cut(left_out if left_out.any() and 0 < labels[left_out].mean() < 1 else np.ones(len(labels), bool))
+    left_out = found[found["left_out"]]
+    whole = cut(left_out) if left_out["toxic"].nunique() == 2 else cut(found)
     cuts = []
     for k in range(max(1, len(names))):
-        own = left_out & (lang == k)
-        least = min((labels[own] == 1).sum(), (labels[own] == 0).sum()) if own.any() else 0
-        cuts.append(cut(own) if least >= 10 else whole)  # too few to tell: the threshold of all
+        part = left_out[left_out["guess"] == k]
+        least = min(part.loc[part["toxic"] == t, "n"].sum() for t in (0, 1))
+        cuts.append(cut(part) if least >= 10 else whole)  # too few to tell: the threshold of all
     model.thresholds, model.share = np.array(cuts), share
     return model
 
 
-def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from labelled rows with crc32(doc_id) mod 5 other than 0."""
+def learned(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from all labelled rows with crc32(doc_id) mod 5 other than 0."""
     marked = labels.filter("toxic in (0, 1) and doc_id is not null").filter(remainder("doc_id", 5) != 0)
     marked = marked.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
     numbers = {r._toxic: r["count"] for r in marked.groupBy("_toxic").count().collect()}
-    parts = [marked.filter(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(sample) for k in (0, 1)]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * sample rows at most
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    inner = docs.select("doc_id", lang.alias("lang"), "text").join(chosen, F.col("doc_id") == F.col("_id"))
+    inner = docs.select("doc_id", lang.alias("lang"), "text").join(marked, F.col("doc_id") == F.col("_id"))
     # one text for an id, however often it stands there: the smallest
     inner = inner.groupBy("_id", "_toxic").agg(F.min(F.struct("text", "lang")).alias("_row")).select("_id", "_toxic", "_row.lang", "_row.text")
 
@@ -221,14 +361,11 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 parts = [bins[a:b].astype(np.int32).tobytes() for a, b in zip(w.rows[:-1], w.rows[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(parts, pa.binary())], ["id", "toxic", "lang", "bins"])
 
-    rows = inner.mapInArrow(work, f"id {labels.schema['doc_id'].dataType.simpleString()}, toxic int, lang string, bins binary").collect()
-    rows.sort(key=lambda r: (hash_order(r.id), r.id, bytes(r.bins)))
+    rows = inner.mapInArrow(work, f"id {labels.schema['doc_id'].dataType.simpleString()}, toxic int, lang string, bins binary")
+    order = F.xxhash64("id")
+    rows = keep(rows.withColumn("order", order).withColumn("left_out", F.pmod(order, F.lit(5)) == 4), "labelled")
     total = sum(numbers.values())
-    return fitted([np.frombuffer(r.bins, np.int32).reshape(-1, 3) for r in rows], np.array([r.toxic for r in rows], float), [r.lang for r in rows], numbers.get(1, 0) / total if total else 0.0)
-
-
-def hash_order(x: int) -> int:
-    return x * 0x9E3779B97F4A7C15 % (1 << 64)
+    return fitted(rows, numbers.get(1, 0) / total if total else 0.0)
 
 
 def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:

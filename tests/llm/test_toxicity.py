@@ -1,5 +1,7 @@
 """The classifier: held-out quality, a plain forward pass, odd documents."""
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -66,3 +68,18 @@ def test_a_repeated_row_is_learned_once(spark):
     often = spark.createDataFrame([*docs, *[docs[3]] * 10_000, (3, "zzz a larger text of the same id", "de", "s", 1)], SCHEMA)
     a, b = tx.learned(once, labels), tx.learned(often, labels)
     assert all((getattr(a, n) == getattr(b, n)).all() for n in ("embeddings", "weights", "thresholds"))
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(tx, "CHUNK", 100)  # several shards
+    docs = [(i, f"plain text number {i % 7} with words" if i % 20 else "odd nasty mark badword", "en", "s", 1) for i in range(6000)]
+    docs = [(i, f"word{i}x {t}", *rest) for i, t, *rest in docs]
+    labels = spark.createDataFrame([(i, 1, int(i % 20 == 0)) for i in range(6000)], "doc_id long, quality int, toxic int")
+    frame = spark.createDataFrame(docs, SCHEMA)
+    seen = []
+    kept = tx.fitted
+    monkeypatch.setattr(tx, "fitted", lambda rows, share: seen.append(rows.count()) or kept(rows, share))
+    model = tx.learned(frame, labels)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(6000))]
+    got = tx.scored(frame, model, ["doc_id"]).collect()
+    assert all((r._score >= 0.5) == (r.doc_id % 20 == 0) for r in got)
