@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from parley.plans.jumps import followed
 from parley.plans.kept import keep
-from parley.plans.slabs import islands, slab_of
+from parley.plans.slabs import islands, side_by_side, slab_of
 
 # Waits before the second, third and later tries.
 BACKOFF_S = (0.5, 1.0, 2.0)
@@ -89,7 +89,7 @@ def ask_batches(
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.col(batch) == F.col("_batch")) & (F.col(item).cast("long") == F.col("_id"))
     action = F.lower(F.trim(F.col("_a.action")))
     known = F.when(action.isin("keep", "fix", "drop"), action).otherwise("keep")
-    joined = items.join(first, same, "left")
+    joined = side_by_side(items, first, same, "left")
     return joined.withColumn("action", known).withColumn("edited", F.coalesce("_a.text", F.lit(""))).drop("_key", "_batch", "_id", "_a")
 
 
@@ -127,19 +127,19 @@ def diarize(
         start, end = F.greatest("start_ms", at - halo_ms), F.least("end_ms", at + halo_ms)
         return heard.select("meeting_id", border.alias("border"), F.col("name").alias(side), start.alias(f"{side}_start"), end.alias(f"{side}_end")).where(F.col(f"{side}_start") < F.col(f"{side}_end"))
 
-    both = around(F.col("slab") + 1, "a").join(around(F.col("slab"), "b"), ["meeting_id", "border"])
+    both = side_by_side(around(F.col("slab") + 1, "a"), around(F.col("slab"), "b"), ["meeting_id", "border"])
     shared = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
     ms = both.where(shared > 0).groupBy("meeting_id", "border", "a", "b").agg(F.sum(shared).alias("ms"))
     # ties go to the names that sort first
     best = lambda of, other: ms.groupBy("meeting_id", "border", of).agg(F.min(F.struct((-F.col("ms")).alias("ms"), other))[other].alias(other))
-    links = best("a", "b").join(best("b", "a"), ["meeting_id", "border", "a", "b"])
+    links = side_by_side(best("a", "b"), best("b", "a"), ["meeting_id", "border", "a", "b"])
     node = lambda slab, name: F.to_json(F.struct(F.col("meeting_id"), slab.alias("slab"), F.col(name).alias("name")))
     roots = followed(links.select(node(F.col("border"), "b").alias("at"), node(F.col("border") - 1, "a").alias("to")))
     low, high = F.col("slab") * slab_ms, (F.col("slab") + 1) * slab_ms
     cut = heard.select("meeting_id", node(F.col("slab"), "name").alias("at"), F.greatest("start_ms", low).alias("start_ms"), F.least("end_ms", high).alias("end_ms")).where("start_ms < end_ms")
-    named = keep(cut.join(roots, "at", "left").select("meeting_id", F.coalesce("root", "at").alias("who"), "start_ms", "end_ms"), "named")
+    named = keep(side_by_side(cut, roots, "at", "left").select("meeting_id", F.coalesce("root", "at").alias("who"), "start_ms", "end_ms"), "named")
     first = named.groupBy("meeting_id", "who").agg(F.min(F.struct("start_ms", "end_ms")).alias("first"))
     number = F.row_number().over(Window.partitionBy("meeting_id").orderBy("first", "who")) - 1
     ids = first.select("meeting_id", "who", F.concat(F.lit("SPEAKER_"), F.lpad(number.cast("string"), 2, "0")).alias("speaker_id"))
-    turns = named.join(ids, ["meeting_id", "who"]).withColumn("_slab", slab_of(F.col("start_ms")))
+    turns = side_by_side(named, ids, ["meeting_id", "who"]).withColumn("_slab", slab_of(F.col("start_ms")))
     return islands(turns, ["meeting_id", "speaker_id"], "_slab", ["start_ms", "end_ms"], "start_ms", "end_ms", 0).drop("n_rows")

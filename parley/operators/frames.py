@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from parley.plans.slabs import slab_of
+from parley.plans.slabs import side_by_side, slab_of
 
 # Fixed defaults of the operators' arguments.
 WINDOW_MS = 10_000
@@ -48,7 +48,7 @@ def hopping_windows(
 ) -> DataFrame:
     """Complete windows counted from the start of the recording, quiet ones left out."""
     window, hop = window_ms // frame_ms, hop_ms // frame_ms
-    sums = _window_sums(frames, keys, window, hop).join(_length(frames, keys), keys)
+    sums = side_by_side(_window_sums(frames, keys, window, hop), _length(frames, keys), keys)
     return (
         sums.where(F.col("k") * hop + window <= F.col("n_frames"))
         .withColumn("rms", F.sqrt(F.col("sq") / F.col("n")))
@@ -76,7 +76,7 @@ def tail_window(
     size = _length(frames, keys)
     full = F.when(F.col("n_frames") >= window, F.floor((F.col("n_frames") - window) / hop) + 1).otherwise(0)
     size = size.withColumn("window_no", full).withColumn("from_frame", full * hop)
-    rest = frames.join(size, keys).where(F.col("frame_idx") >= F.col("from_frame"))
+    rest = side_by_side(frames, size, keys).where(F.col("frame_idx") >= F.col("from_frame"))
     return (
         rest.groupBy(*keys, "window_no", "from_frame", "n_frames")
         .agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
@@ -109,7 +109,7 @@ def stream_slabs(
         .where(F.col("rms") >= min_rms)
     )
     start = F.col("slab_no") * per
-    return slabs.join(size, keys).select(
+    return side_by_side(slabs, size, keys).select(
         *keys,
         "slab_no",
         (start * frame_ms).alias("start_ms"),

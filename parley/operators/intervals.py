@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from parley.plans.slabs import SLAB_MS, Run, islands, running, slab_of
+from parley.plans.slabs import SLAB_MS, Run, islands, running, side_by_side, slab_of
 
 BIN_MS = 120_000
 DEFAULT_SPEAKER = "SPEAKER_00"
@@ -43,7 +43,7 @@ def overlap_join(
     lb = left.withColumn("_bin", F.explode(_bins(F.col(l0), F.col(l1), bin_ms)))
     rb = right.withColumn("_bin", F.explode(_bins(F.col(r0), F.col(r1), bin_ms)))
     return (
-        lb.join(rb, [*keys, "_bin"])
+        side_by_side(lb, rb, [*keys, "_bin"])
         .where((F.col(l0) < F.col(r1)) & (F.col(r0) < F.col(l1)))
         .where((F.col(l0) < F.col(l1)) & (F.col(r0) < F.col(r1)))
         .where(F.col("_bin") == F.floor(F.greatest(l0, r0) / bin_ms))
@@ -76,9 +76,8 @@ def heard_at(points: DataFrame, intervals: DataFrame, point: str, ids: list[str]
     led = leading_spans(intervals).withColumn("_bin", F.explode(_bins(F.col("lead_start"), F.col("lead_end"), bin_ms)))
     ord = F.struct("start_ms", "end_ms", "speaker_id", "interval_id")
     led = led.select("meeting_id", "_bin", "speaker_id", "lead_start", "lead_end", ord.alias("ord"))
-    return p.select("meeting_id", *[c for c in ids if c != "meeting_id"], point, "_bin").join(
-        led, ["meeting_id", "_bin"]
-    ).where((F.col("lead_start") <= F.col(point)) & (F.col(point) < F.col("lead_end"))).select(
+    p = p.select("meeting_id", *[c for c in ids if c != "meeting_id"], point, "_bin")
+    return side_by_side(p, led, ["meeting_id", "_bin"]).where((F.col("lead_start") <= F.col(point)) & (F.col(point) < F.col("lead_end"))).select(
         *dict.fromkeys([*ids, point]), "speaker_id", "ord"
     )
 
@@ -206,8 +205,7 @@ def mark_overlaps(
         .agg(F.sum(F.col("m") * -F.col("d")).alias("shared_ms"))
     )
     return (
-        intervals.drop("is_overlap")
-        .join(marks, [*keys, id_col], "left")
+        side_by_side(intervals.drop("is_overlap"), marks, [*keys, id_col], "left")
         .withColumn("shared_ms", F.coalesce("shared_ms", F.lit(0)))
         .withColumn("is_overlap", F.col("shared_ms") > 0)
     )
@@ -301,7 +299,7 @@ def label_runs(
     heads = prev.where(F.col("_prev").isNull() | (F.col("_prev") != F.col(label))).drop("_prev")
     heads = running(heads, keys, "_slab", [pos], [Run("_end", "next", F.col(pos))])
     last = frames.groupBy(*keys).agg((F.max(pos) + frame_len).alias("_last"))
-    return heads.join(last, keys).select(
+    return side_by_side(heads, last, keys).select(
         *keys,
         F.col(label),
         F.col(pos).alias("run_start"),

@@ -8,7 +8,7 @@ from parley.functions.quality import needs_polish
 from parley.functions.text import strip
 from parley.plans.jumps import reached
 from parley.plans.kept import keep
-from parley.plans.slabs import Run, running, slab_of
+from parley.plans.slabs import Run, running, side_by_side, slab_of
 
 # Default budgets.
 BATCH_CHARS, ITEM_OVERHEAD = 10_000, 48
@@ -53,7 +53,7 @@ def _pack(
     numbered = running(counted.withColumn("_slab", slab_of(F.col("at"), slab_rows)), ["key"], "_slab", ["at"], [Run("_last", "sum", F.col("starts"))])
     first = F.when(F.col("starts") > 0, F.col("_last") - F.col("starts") + 1).otherwise(F.col("_last"))
     numbered = numbered.select(F.col("key").alias("_key"), F.col("at").alias("_at"), first.alias("chunk"))
-    return items.join(numbered, F.col(key).eqNullSafe(F.col("_key")) & (F.col(pos).cast("long") == F.col("_at"))).drop("_key", "_at")
+    return side_by_side(items, numbered, F.col(key).eqNullSafe(F.col("_key")) & (F.col(pos).cast("long") == F.col("_at"))).drop("_key", "_at")
 
 
 def split_lines(lines: DataFrame, key: str, pos: str, line: str, limit: int, slab_rows: int = SLAB_ROWS) -> DataFrame:

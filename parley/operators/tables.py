@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from parley.functions.names import default_label
 from parley.functions.text import strip
-from parley.plans.slabs import Run, running, slab_of
+from parley.plans.slabs import Run, running, side_by_side, slab_of
 
 ACTIVE = ["recording", "processing"]
 PAGE, ADMIN_PAGE, MAX_SAMPLE_MS = 50, 200, 4000
@@ -42,7 +42,7 @@ def replace_by_key(existing: DataFrame, replaced: DataFrame, rows: DataFrame, ke
 
 def replace_unless_empty(existing: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Replace by key, but a key whose new result has no rows keeps what it had."""
-    return existing.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
+    return side_by_side(existing, rows.select(key).distinct(), key, "left_anti").unionByName(rows)
 
 
 def cascade_delete(tables: dict[str, DataFrame], deleted: DataFrame, key: str) -> dict[str, DataFrame]:

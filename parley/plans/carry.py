@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
 from parley.plans.kept import keep
-from parley.plans.slabs import Run, running, slab_of
+from parley.plans.slabs import Run, running, side_by_side, slab_of
 
 # fold(carry, rows, end): `rows` are sorted; `end` is the first order value of the next slab
 # (None where nothing is handed on, so that everything must be closed).
@@ -58,7 +58,7 @@ def in_slabs(rows: DataFrame, keys: list[str], order: list[str], coarse: int, sl
     same = F.lit(True)
     for k in [*keys, "_part"]:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    met = ranked.join(firsts, same).drop(*[f"_k_{k}" for k in [*keys, "_part"]])
+    met = side_by_side(ranked, firsts, same).drop(*[f"_k_{k}" for k in [*keys, "_part"]])
     slab = F.when(F.col("_rank") < F.col("_first"), F.col("_part") - 1).otherwise(F.col("_part"))
     # Rows that went back to the slab before say nothing about how it begins.
     return met.select(*rows.columns, slab.alias("_slab"), F.col("_first").isNull().alias("_inside")), any_inside
@@ -119,7 +119,7 @@ def carry_fold(
 
     def fold_round(todo: DataFrame, number: int) -> DataFrame:
         todo = todo.select(*[F.col(c).alias(c) for c in [*by, "_carry", "_end"]])
-        part = data.join(todo.select(*by), by, "left_semi")
+        part = side_by_side(data, todo.select(*by), by, "left_semi")
         done = dealt(part, *by).groupBy(*by).cogroup(dealt(todo, *by).groupBy(*by)).applyInPandas(within, schema)
         return keep(done.withColumn("_round", F.lit(number)), "folded")
 

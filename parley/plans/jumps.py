@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from parley.plans.kept import keep
+from parley.plans.slabs import side_by_side
 
 
 def reached(pointers: DataFrame, starts: DataFrame, on_round=lambda number: None) -> DataFrame:
@@ -32,7 +33,7 @@ def reached(pointers: DataFrame, starts: DataFrame, on_round=lambda number: None
             so_far = so_far.unionByName(m)
         found, step = [], so_far
         for _ in range(3):
-            step = step.join(jump, ["k", "at"]).select("k", "key", F.col("to").alias("at"))
+            step = side_by_side(step, jump, ["k", "at"]).select("k", "key", F.col("to").alias("at"))
             found.append(step)
         new = keep(found[0].unionByName(found[1]).unionByName(found[2]), "marked")
         if new.isEmpty():
@@ -40,7 +41,8 @@ def reached(pointers: DataFrame, starts: DataFrame, on_round=lambda number: None
         marked.append(new)
         far = jump
         for _ in range(3):
-            far = far.join(jump.select("k", F.col("at").alias("to"), F.col("to").alias("_next")), ["k", "to"]).select("k", "at", F.col("_next").alias("to"))
+            beyond = jump.select("k", F.col("at").alias("to"), F.col("to").alias("_next"))
+            far = side_by_side(far, beyond, ["k", "to"]).select("k", "at", F.col("_next").alias("to"))
         jump = keep(far, "jumps")
 
 
@@ -50,6 +52,6 @@ def followed(pointers: DataFrame) -> DataFrame:
     links = keep(pointers.select("at", F.col("to").alias("root"), F.lit(True).alias("_went")), "followed")
     while not links.where("_went").isEmpty():
         beyond = links.select(F.col("at").alias("root"), F.col("root").alias("_beyond"))
-        met = links.join(beyond, "root", "left")
+        met = side_by_side(links, beyond, "root", "left")
         links = keep(met.select("at", F.coalesce("_beyond", "root").alias("root"), F.col("_beyond").isNotNull().alias("_went")), "followed")
     return links.select("at", "root")

@@ -17,6 +17,15 @@ from parley.plans.kept import keep
 SLAB_MS = 600_000
 
 
+def side_by_side(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
+    """Join of two tables that both grow with the input, as a merge of their sorted partitions.
+
+    Spark takes the bytes of files for the size of what is read from them, although equal texts, exploded rows and
+    aggregates take many times that in memory, and would gather such a table in the driver to broadcast it.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def slab_of(col: Column, width: int = SLAB_MS) -> Column:
     return F.floor(col / F.lit(width)).cast("long")
 
@@ -91,9 +100,8 @@ def running(
     carried = per_slab.select(*keys, slab, *inherited)
 
     # Keys may be null (turns before the first flagged one), so compare null-safely.
-    out = src.join(carried.select(*[F.col(c).alias(f"_k_{c}") for c in [*keys, slab]],
-                                  *[f"_c_{r.name}" for r in runs]),
-                   _same([*keys, slab])).drop(*[f"_k_{c}" for c in [*keys, slab]])
+    carried = carried.select(*[F.col(c).alias(f"_k_{c}") for c in [*keys, slab]], *[f"_c_{r.name}" for r in runs])
+    out = side_by_side(src, carried, _same([*keys, slab])).drop(*[f"_k_{c}" for c in [*keys, slab]])
     asc = W.partitionBy(*keys, slab).orderBy(*order)
     desc = W.partitionBy(*keys, slab).orderBy(*[F.col(c).desc() for c in order])
     for r in runs:
@@ -135,7 +143,7 @@ def islands(
     whole = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
         F.max(F.col(end).cast("long")).alias("_last"), F.count(F.lit(1)).alias("_all")
     )
-    return heads.join(whole, _same(keys)).select(
+    return side_by_side(heads, whole, _same(keys)).select(
         *keys,
         F.col(start).cast("long").alias(start),
         F.coalesce("_next._reach", "_last").alias(end),
