@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from parley.plans.carry import dealt
 from parley.plans.slabs import SLAB_MS, Run, islands, running, side_by_side, slab_of
 
 BIN_MS = 120_000
@@ -136,14 +137,15 @@ def dominant_speaker(
 def clipped_edges(intervals: DataFrame, keys: list[str], extra: list[str], bin_ms: int = SLAB_MS) -> DataFrame:
     """Starts (d = 1) and ends (d = -1) of the turns, clipped to the bins they touch.
 
-    `real` is false where a bin cut the turn.  A (key, bin) comes together in one partition.
+    `real` is false where a bin cut the turn.  A (key, bin) comes together in one partition; there are as many of these
+    as a shuffle has, as edges are few bytes when shuffled and far more in the windows that sort them.
     """
     live = intervals.where(F.col("start_ms") < F.col("end_ms")).withColumn(
         "_bin", F.explode(_bins(F.col("start_ms"), F.col("end_ms"), bin_ms))
     )
     lo, hi = F.col("_bin") * bin_ms, (F.col("_bin") + 1) * bin_ms
     start, end = F.col("start_ms").cast("long"), F.col("end_ms").cast("long")
-    return live.select(
+    edges = live.select(
         *keys,
         *dict.fromkeys(extra),
         "_bin",
@@ -153,7 +155,8 @@ def clipped_edges(intervals: DataFrame, keys: list[str], extra: list[str], bin_m
                 F.struct(F.least(end, hi).alias("t"), F.lit(-1).alias("d"), (end <= hi).alias("real")),
             )
         ),
-    ).repartition(*keys, "_bin")
+    )
+    return dealt(edges, *keys, "_bin")
 
 
 def sweep(

@@ -31,3 +31,9 @@ def test_tables_are_not_sent_through_the_driver(spark, tmp_path):
     assert "Broadcast" not in plan_of(met) and met.count() == 3000
     summed = slabs.running(a.withColumn("_slab", slabs.slab_of(F.col("s"))), ["meeting_id"], "_slab", ["s"], [slabs.Run("n", "sum", F.lit(1))])
     assert "Broadcast" not in plan_of(summed) and summed.agg(F.max("n")).first()[0] == 3000
+
+
+def test_edges_are_dealt_out(spark):
+    turns = spark.range(400).select(F.lit("m").alias("meeting_id"), F.lit("A").alias("speaker_id"), (F.col("id") * 600_000).alias("start_ms"), (F.col("id") * 600_000 + 50).alias("end_ms"))
+    edges = iv.clipped_edges(turns, ["meeting_id"], ["speaker_id"])
+    assert filled(edges) >= 8 and edges.count() == 800
