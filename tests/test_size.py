@@ -37,3 +37,10 @@ def test_edges_are_dealt_out(spark):
     turns = spark.range(400).select(F.lit("m").alias("meeting_id"), F.lit("A").alias("speaker_id"), (F.col("id") * 600_000).alias("start_ms"), (F.col("id") * 600_000 + 50).alias("end_ms"))
     edges = iv.clipped_edges(turns, ["meeting_id"], ["speaker_id"])
     assert filled(edges) >= 8 and edges.count() == 800
+
+
+def test_pairs_of_texts_are_dealt_out(spark, tmp_path):
+    rows = [(i, t, "user", f"text {i} of turn {t}") for i in range(40) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    pairs = src.text_pairs(spark, str(tmp_path))
+    assert filled(pairs) >= 8 and pairs.count() == 480
