@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
+from parley.plans.carry import in_groups
 from parley.plans.jumps import followed
 from parley.plans.kept import keep
 from parley.plans.slabs import islands, side_by_side, slab_of
@@ -109,17 +110,16 @@ def diarize(
     """
     i = F.col("frame_idx")
     near = F.sequence(F.greatest(F.lit(0), F.floor((i - halo_frames) / slab_frames)), F.floor((i + halo_frames) / slab_frames))
-    dealt = frames.withColumn("slab", F.explode(near))
+    spread = frames.withColumn("slab", F.explode(near))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        slab = int(key[1])
-        names = ["meeting_id", "slab", "name", "start_ms", "end_ms"]
-        if not (pdf["frame_idx"] // slab_frames == slab).any():
-            return pd.DataFrame(columns=names)  # the recording ends before this slab
-        turns = model(pdf.drop(columns="slab").sort_values("frame_idx", ignore_index=True)).rename(columns={"speaker_id": "name"})
-        return turns.assign(meeting_id=key[0], slab=slab)[names]
+    def run(key: list, pdf: pd.DataFrame) -> list[tuple]:
+        if not (pdf.pop("slab").to_numpy() == pdf["frame_idx"].to_numpy() // slab_frames).any():
+            return []  # the recording ends before this slab
+        turns = model(pdf)
+        return list(zip(turns["speaker_id"], *[turns[c].to_numpy().astype("int64").tolist() for c in ("start_ms", "end_ms")]))
 
-    heard = keep(dealt.groupBy("meeting_id", "slab").applyInPandas(run, "meeting_id string, slab long, name string, start_ms long, end_ms long"), "heard")
+    spans = T.StructType([T.StructField("name", T.StringType()), T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType())])
+    heard = keep(in_groups(spread, ["meeting_id", "slab"], ["frame_idx"], run, spans), "heard")
     slab_ms, halo_ms = slab_frames * frame_ms, halo_frames * frame_ms
 
     def around(border: Column, side: str) -> DataFrame:

@@ -14,8 +14,9 @@ costs tasks of the running round only.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
@@ -38,6 +39,44 @@ def dealt(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(parts, *by)
 
 
+def in_groups(df: DataFrame, by: list[str], order: list[str], run: Callable[[list, pd.DataFrame], list[tuple]], out: T.StructType) -> DataFrame:
+    """The columns `by` and what `run` makes of the rows of each of their groups, sorted by `order`, nulls last.
+
+    As groupBy().applyInPandas(), but neighbouring groups go to Python together: most are a few rows, and handing each
+    over alone takes longer than its work.  A task holds a batch and the group it is in.
+    """
+    key_schema = T.StructType([df.schema[c] for c in by])
+    named = df.withColumn("_group", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))
+    order_by = [F.col(c).asc_nulls_last() for c in order]
+    schema = T.StructType([T.StructField("_group", T.StringType()), *out.fields])
+
+    def finished(group: str, parts: list[pd.DataFrame]) -> list[tuple]:
+        rows = (parts[0] if len(parts) == 1 else pd.concat(parts)).reset_index(drop=True)
+        return [(group, *r) for r in run(list(json.loads(group).values()), rows)]
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = lambda data: pd.DataFrame(data, columns=schema.names, dtype=object)
+        group, parts = "", []
+        for batch in batches:
+            if not len(batch):
+                continue
+            names, data = batch.pop("_group").to_numpy(dtype=object), []
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)]
+            for at, until in zip(cuts, cuts[1:]):
+                if parts and names[at] != group:
+                    data += finished(group, parts)
+                    parts = []
+                group = names[at]
+                parts.append(batch.iloc[at:until])
+            yield table(data)
+        if parts:
+            yield table(finished(group, parts))
+
+    sorted_rows = dealt(named, "_group").sortWithinPartitions("_group", *order_by)
+    done = sorted_rows.mapInPandas(runs, schema).withColumn("_group", F.from_json("_group", key_schema))
+    return done.select(*[F.col(f"_group.{c}").alias(c) for c in by], *out.names)
+
+
 def in_slabs(rows: DataFrame, keys: list[str], order: list[str], coarse: int, slab_rows: int, end: Column | None, pause: int) -> tuple[DataFrame, bool]:
     """The rows, and whether any slab begins inside an island.  Adds `_slab`, about `slab_rows` neighbouring rows, and `_inside`: the slab begins inside an island.
 
@@ -95,8 +134,8 @@ def carry_fold(
         left = json.dumps(carry, ensure_ascii=False)
         return pd.DataFrame([*data, (*head, used, left, *blank)], columns=schema.names).astype(object)
 
-    def alone(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return folded([*group[:-1], int(group[-1])], pdf, "null", None)
+    def alone(group: list, pdf: pd.DataFrame) -> list[tuple]:
+        return fold(None, pdf, None)[0]
 
     def within(group: tuple, pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         until = state["_end"].iloc[0]
@@ -105,8 +144,7 @@ def carry_fold(
     by = [*keys, "_slab"]
     src, any_inside = in_slabs(rows, keys, order, coarse, slab_rows, end, pause)
     if not any_inside:
-        done = keep(dealt(src.drop("_inside"), *by).groupBy(*by).applyInPandas(alone, schema), "folded")
-        return done.where(F.col("_left").isNull()).select(*keys, *out.names)
+        return keep(in_groups(src.drop("_inside"), by, order, alone, out).select(*keys, *out.names), "folded")
 
     # Slabs of long islands: the first one of the island hands on to those that begin inside it.
     src = keep(src, "slabs")

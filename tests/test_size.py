@@ -44,3 +44,25 @@ def test_pairs_of_texts_are_dealt_out(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
     pairs = src.text_pairs(spark, str(tmp_path))
     assert filled(pairs) >= 8 and pairs.count() == 480
+
+
+def test_groups_go_to_python_together(spark):
+    rows = [(f"m{i % 50}" if i % 50 else None, i % 3, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "m string, k long, v long")
+    out = T.StructType([T.StructField("v", T.LongType()), T.StructField("note", T.StringType())])
+
+    def run(key, pdf):
+        assert pdf["v"].is_monotonic_increasing and all((pdf["m"] == key[0]) | pdf["m"].isna())
+        return [(int(pdf["v"].sum()), "")]
+
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(size)
+    want = sorted(((m, k, int(g["v"].sum())) for (m, k), g in pd.DataFrame(rows, columns=["m", "k", "v"]).groupby(["m", "k"], dropna=False)), key=str)
+    try:
+        for records in ("10000", "7"):
+            spark.conf.set(size, records)
+            done = carry.in_groups(df, ["m", "k"], ["v"], run, out)
+            assert "FlatMapGroups" not in done._jdf.queryExecution().toString()
+            assert sorted(((None if r.m is None else r.m, r.k, r.v) for r in done.collect()), key=str) == sorted(((None if pd.isna(m) else m, k, v) for m, k, v in want), key=str)
+    finally:
+        spark.conf.set(size, old)
