@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
-from parley.operators.intervals import overlap_join
+from parley.operators.intervals import clipped_edges
 from parley.plans.kept import keep as kept
+from parley.plans.slabs import SLAB_MS, side_by_side
 
 # Fixed values of the clustering rule.
 MIN_FRAMES, MIN_MEMBERS, MIN_SHARE = 160, 40, 0.22
@@ -37,15 +38,32 @@ def _take_best(pairs: DataFrame, new: str, old: str, score: str, tie: str) -> Da
     return pairs.groupBy("meeting_id").applyInPandas(greedy, schema)
 
 
+def _time_with_names(current: DataFrame, previous: DataFrame, bin_ms: int = SLAB_MS) -> DataFrame:
+    """(meeting_id, new_id, old_id, interval_id, o0, ms): the time each old turn shares with all turns of a new name.
+
+    No pairs of turns are formed, as these grow with the square of how many overlap.  Up to t a name has been heard
+    sum(d * (t - edge)) over its edges in the bin; an old turn shares what that grows by from its start to its end.
+    """
+    timed = lambda df: df.where(F.col("meeting_id").isNotNull())
+    cut = lambda df, extra: clipped_edges(df, ["meeting_id"], extra, bin_ms).drop("real")
+    heard = cut(timed(current), ["new_id"])
+    asked = timed(previous).select("meeting_id", F.col("speaker_id").alias("old_id"), "interval_id", F.col("start_ms").alias("o0"), "start_ms", "end_ms")
+    asked = cut(asked, ["old_id", "interval_id", "o0"])
+    names = heard.select("meeting_id", "_bin", "new_id").distinct()
+    asked = side_by_side(asked, names, ["meeting_id", "_bin"])
+    both = asked.withColumn("asked", F.lit(True)).unionByName(heard.withColumn("asked", F.lit(False)), allowMissingColumns=True)
+    upto = W.partitionBy("meeting_id", "_bin", "new_id").orderBy("t").rangeBetween(W.unboundedPreceding, 0)
+    step = F.when(~F.col("asked"), F.col("d"))
+    so_far = F.coalesce(F.sum(step).over(upto) * F.col("t") - F.sum(step * F.col("t")).over(upto), F.lit(0))
+    points = both.withColumn("_so_far", so_far).where("asked")
+    # An end (d = -1) adds what had been heard up to it, a start takes that away.
+    shared = points.groupBy("meeting_id", "new_id", "old_id", "interval_id", "o0").agg(F.sum(-F.col("d") * F.col("_so_far")).alias("ms"))
+    return shared.where("ms > 0")
+
+
 def _named_by_time(current: DataFrame, name: str, previous: DataFrame) -> DataFrame:
     """(meeting_id, new_id, old_id): new names with the old id whose single best old turn they overlap most."""
-    new = current.select("meeting_id", F.col(name).alias("new_id"), F.col("start_ms").alias("n0"), F.col("end_ms").alias("n1"))
-    old = previous.select("meeting_id", F.col("speaker_id").alias("old_id"), "interval_id", F.col("start_ms").alias("o0"), F.col("end_ms").alias("o1"))
-    per_turn = (
-        overlap_join(new, old, ["meeting_id"], ("n0", "n1"), ("o0", "o1"))
-        .groupBy("meeting_id", "new_id", "old_id", "interval_id", "o0")
-        .agg(F.sum("overlap_ms").alias("ms"))
-    )
+    per_turn = _time_with_names(current.withColumnRenamed(name, "new_id"), previous)
     best = per_turn.groupBy("meeting_id", "new_id", "old_id").agg(
         F.max("ms").alias("ms"), F.min(F.struct((-F.col("ms")).alias("neg"), "o0")).alias("first")
     ).withColumn("first_ms", F.col("first.o0")).drop("first")

@@ -46,6 +46,22 @@ def test_pairs_of_texts_are_dealt_out(spark, tmp_path):
     assert filled(pairs) >= 8 and pairs.count() == 480
 
 
+@pytest.mark.parametrize("bin_ms", [700, 600_000])
+def test_time_shared_with_names_is_that_of_the_pairs(spark, bin_ms):
+    def some(seed):
+        rows = [(None if (k * seed) % 31 == 0 else f"m{k % 2}", ["A", "B", None][(k * seed) % 3], (k * seed * 37) % 2500, (k * seed * 37) % 2500 + (k * 13) % 900 - 5, k // 2) for k in range(160)]
+        return spark.createDataFrame(rows, "meeting_id string, speaker_id string, start_ms int, end_ms int, interval_id long")
+
+    new, old = some(7), some(11)
+    met = iv.overlap_join(
+        new.select("meeting_id", F.col("speaker_id").alias("new_id"), F.col("start_ms").alias("n0"), F.col("end_ms").alias("n1")),
+        old.select("meeting_id", F.col("speaker_id").alias("old_id"), "interval_id", F.col("start_ms").alias("o0"), F.col("end_ms").alias("o1")),
+        ["meeting_id"], ("n0", "n1"), ("o0", "o1"),
+    ).groupBy("meeting_id", "new_id", "old_id", "interval_id", "o0").agg(F.sum("overlap_ms").alias("ms"))
+    got = rl._time_with_names(new.withColumnRenamed("speaker_id", "new_id"), old, bin_ms).select(met.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, met.collect()), key=str)
+
+
 def test_groups_go_to_python_together(spark):
     rows = [(f"m{i % 50}" if i % 50 else None, i % 3, i) for i in range(3000)]
     df = spark.createDataFrame(rows, "m string, k long, v long")
