@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from parley.plans.carry import in_groups
+from parley.plans.carry import dealt, in_groups
 from parley.plans.jumps import followed
 from parley.plans.kept import keep
 from parley.plans.slabs import islands, side_by_side, slab_of
 
 # Waits before the second, third and later tries.
 BACKOFF_S = (0.5, 1.0, 2.0)
+# Rows of a call: an Arrow batch of long prompts would be held once more for its answers.
+CALL_ROWS = 256
 
 Model = Callable[[pd.DataFrame], pd.Series]
 
@@ -56,8 +58,8 @@ def with_model(
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                yield from asked(batch, 0, retries + 1)
+            for at in range(0, len(batch), CALL_ROWS):
+                yield from asked(batch.iloc[at : at + CALL_ROWS], 0, retries + 1)
 
     return df.mapInPandas(call, schema)
 
@@ -83,7 +85,8 @@ def ask_batches(
     `batch_items` lets into one call, so its prompt is bounded by that budget.
     """
     asked = F.struct(F.col(item).cast("long").alias("id"), F.col(text).alias("text"))
-    prompts = items.groupBy(key, batch).agg(F.to_json(F.array_sort(F.collect_list(asked))).alias("prompt"))
+    # Dealt by number: prompts shrink much when shuffled, and few tasks would hold all of them.
+    prompts = dealt(items, key, batch).groupBy(key, batch).agg(F.to_json(F.array_sort(F.collect_list(asked))).alias("prompt"))
     answered = with_model(prompts, model, "answer", retries, backoff)
     each = answered.select(F.col(key).alias("_key"), F.col(batch).alias("_batch"), F.posexplode(parsed_answer(F.col("answer"))).alias("_pos", "_a"))
     first = each.groupBy("_key", "_batch", F.col("_a.id").alias("_id")).agg(F.min_by("_a", "_pos").alias("_a"))

@@ -82,3 +82,23 @@ def test_groups_go_to_python_together(spark):
             assert sorted(((None if r.m is None else r.m, r.k, r.v) for r in done.collect()), key=str) == sorted(((None if pd.isna(m) else m, k, v) for m, k, v in want), key=str)
     finally:
         spark.conf.set(size, old)
+
+
+def test_calls_of_a_model_are_bounded(spark):
+    df = spark.range(2000).coalesce(1)
+    out = hooks.with_model(df, lambda pdf: pd.Series([str(len(pdf))] * len(pdf)), "answer")
+    assert out.agg(F.max(F.col("answer").cast("int"))).first()[0] <= 256 and out.count() == 2000
+
+
+def test_prompts_are_dealt_out(spark):
+    def where_asked(pdf):
+        import json
+
+        from pyspark import TaskContext
+
+        at = str(TaskContext.get().partitionId())
+        return pd.Series([json.dumps({"items": [{"id": x["id"], "action": "fix", "text": at} for x in json.loads(p)]}) for p in pdf["prompt"]])
+
+    items = spark.range(400).select(F.lit("en").alias("lang"), F.col("id").alias("batch"), F.col("id").alias("doc_id"), F.lit("so").alias("text")).coalesce(1)
+    seen = hooks.ask_batches(items, "lang", "batch", "doc_id", "text", where_asked, backoff=(0.0,))
+    assert seen.select("edited").distinct().count() >= 8 and seen.count() == 400
