@@ -99,6 +99,6 @@ def test_prompts_are_dealt_out(spark):
         at = str(TaskContext.get().partitionId())
         return pd.Series([json.dumps({"items": [{"id": x["id"], "action": "fix", "text": at} for x in json.loads(p)]}) for p in pdf["prompt"]])
 
-    items = spark.range(400).select(F.lit("en").alias("lang"), F.col("id").alias("batch"), F.col("id").alias("doc_id"), F.lit("so").alias("text")).coalesce(1)
+    items = spark.createDataFrame([("en", i, i, f"so {i}") for i in range(400)], "lang string, batch long, doc_id long, text string").coalesce(1)
     seen = hooks.ask_batches(items, "lang", "batch", "doc_id", "text", where_asked, backoff=(0.0,))
     assert seen.select("edited").distinct().count() >= 8 and seen.count() == 400
