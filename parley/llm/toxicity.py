@@ -4,7 +4,8 @@ A word's embedding is the sum of three hashed ones: of the word and of its first
 forms of a stem are known. Filters of widths 1, 2 and 3 slide over the embeddings; each one's maximum over the whole
 text, if positive, enters a logistic layer. Training is on all labelled documents: embeddings, filters and the last layer
 by gradient steps on mini-batches. Documents are dealt out to shards by a hash of the id; each round the shards go on
-from one state on their own, a chunk of documents at a time, and the mean of their states is the next one.
+from one state on their own, a chunk of documents at a time, and the mean of their states is the next one. Only texts
+that may have a label are brought to their labels, and shards are dealt out once for all rounds.
 
 Thresholds are calibrated by language on the fifth of the labelled documents that training leaves out, from counts of
 their logits. A text's language is guessed from its words (naive Bayes over their bins, learned from all labelled
@@ -18,16 +19,18 @@ their largest label; labels other than 0 and 1 are left out. Other columns are i
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from .tables import keep, remainder, table
+from .tables import Filter, keep, remainder, table
 from .words import Words, pieces, run_hashes, words_of
 
 #: Labelled documents, and their words, that a task learns from at a time; documents a shard has at least; most shards.
@@ -78,7 +81,7 @@ def features(model: Model, bins: np.ndarray, rows: np.ndarray, where: bool = Fal
     n, sizes, pad = len(rows) - 1, np.diff(rows), max(WIDTHS) - 1
     row = np.repeat(np.arange(n), sizes)
     place = np.arange(len(bins)) + pad * row
-    x = np.zeros((len(bins) + pad * n, DIM), np.float32)
+    x = np.zeros((len(bins) + pad * n + 1, DIM), np.float32)  # one more, as a row without words has place 0
     x[place] = model.embeddings[bins[:, 0]] + model.embeddings[bins[:, 1]] + model.embeddings[bins[:, 2]]
     pooled = np.zeros((n, len(WIDTHS) * FILTERS), np.float32)
     places = np.zeros((n, len(WIDTHS) * FILTERS), np.int64) if where else None
@@ -185,8 +188,13 @@ def trained(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs:
     return as_model(state)
 
 
+def bytes_of(bins: np.ndarray) -> bytes:
+    """A text's bins, which are below 2**16, compressed."""
+    return zlib.compress(bins.astype(np.uint16).tobytes(), 1)
+
+
 def bins_of(part: bytes) -> np.ndarray:
-    return np.frombuffer(part, np.int32).reshape(-1, 3)
+    return np.frombuffer(zlib.decompress(part), np.uint16).astype(np.int32).reshape(-1, 3)
 
 
 def together(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -194,9 +202,9 @@ def together(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros((0, 3), np.int32), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
-def after_round(rows: DataFrame, state: State, shards: int, epochs: int) -> State:
-    """The state after every shard of `rows` (shard, order, id, toxic, bins) has gone on from it on its own: the mean of
-    the shards; that of a bin is taken over the shards that have met it."""
+def after_round(rows: DataFrame, state: State, epochs: int) -> State:
+    """The state after every shard of `rows` (shard, toxic, bins; the rows of a shard stand together) has gone on from it
+    on its own: the mean of the shards; that of a bin is taken over the shards that have met it."""
     spark = rows.sparkSession
     known = spark.sparkContext.broadcast(state)
 
@@ -250,8 +258,7 @@ def after_round(rows: DataFrame, state: State, shards: int, epochs: int) -> Stat
             out = np.where(met.any(0), (values * met).sum(0) / np.maximum(met.sum(0), 1), old)
         return pd.DataFrame({"name": [name], "value": [out.astype(np.float32).tobytes()]})
 
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "order", "id")
-    parts = dealt.select("shard", "toxic", "bins").mapInArrow(work, "name string, value binary").groupBy("name").applyInPandas(mean, "name string, value binary")
+    parts = rows.mapInArrow(work, "name string, value binary").groupBy("name").applyInPandas(mean, "name string, value binary")
     found = {r["name"]: np.frombuffer(r.value, np.float32) for r in parts.collect()}  # one state, of fixed size
     known.unpersist()
     out = {name: found[name].reshape(value.shape).copy() for name, value in state.items() if name in found}
@@ -318,8 +325,11 @@ def fitted(rows: DataFrame, share: float) -> Model:
     epochs = min(max(2, EPOCHS * FULL // max(own, 1)), EPOCHS)
     rounds = 1 if shards == 1 else min(epochs, ROUNDS)
     state, inner = begun(), rows.filter(~F.col("left_out")).withColumn("shard", F.pmod(F.shiftright("order", 8), F.lit(shards)).cast("int"))
+    # on disk for all rounds, or each would shuffle it again
+    dealt = inner.repartition(shards, "shard").sortWithinPartitions("shard", "order", "id").select("shard", "toxic", "bins").persist(StorageLevel.DISK_ONLY)
     for _ in range(rounds if own else 0):
-        state = after_round(inner, state, shards, -(-epochs // rounds))
+        state = after_round(dealt, state, -(-epochs // rounds))
+    dealt.unpersist()
     model = as_model(state)
     counted = word_numbers(rows).toPandas()
     names = sorted(set(counted["lang"]))
@@ -343,13 +353,30 @@ def fitted(rows: DataFrame, share: float) -> Model:
     return model
 
 
+def maybe_marked(docs: DataFrame, marked: DataFrame, members: int) -> DataFrame:
+    """The rows of docs whose doc_id is one of `_id`, and rarely others: most texts without a label need not be shuffled."""
+
+    def number(column: str) -> Column:
+        return F.xxhash64(F.col(column).cast("string"))
+
+    names, known = docs.columns, docs.sparkSession.sparkContext.broadcast(Filter(marked.select(number("_id")), members))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passed = known.value.passes(batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(passed))
+
+    return docs.withColumn("_number", number("doc_id")).mapInArrow(work, docs.schema)
+
+
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from all labelled rows with crc32(doc_id) mod 5 other than 0."""
     marked = labels.filter("toxic in (0, 1) and doc_id is not null").filter(remainder("doc_id", 5) != 0)
-    marked = marked.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
+    marked = keep(marked.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic")), "marked")
     numbers = {r._toxic: r["count"] for r in marked.groupBy("_toxic").count().collect()}
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    inner = docs.select("doc_id", lang.alias("lang"), "text").join(marked, F.col("doc_id") == F.col("_id"))
+    total = sum(numbers.values())
+    inner = maybe_marked(docs.select("doc_id", lang.alias("lang"), "text"), marked, total).join(marked, F.col("doc_id") == F.col("_id"))
     # one text for an id, however often it stands there: the smallest
     inner = inner.groupBy("_id", "_toxic").agg(F.min(F.struct("text", "lang")).alias("_row")).select("_id", "_toxic", "_row.lang", "_row.text")
 
@@ -358,13 +385,12 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
             for piece in pieces(batch, "text"):
                 w = words_of(piece.column(3))
                 bins = word_bins(w)
-                parts = [bins[a:b].astype(np.int32).tobytes() for a, b in zip(w.rows[:-1], w.rows[1:], strict=True)]
+                parts = [bytes_of(bins[a:b]) for a, b in zip(w.rows[:-1], w.rows[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(parts, pa.binary())], ["id", "toxic", "lang", "bins"])
 
     rows = inner.mapInArrow(work, f"id {labels.schema['doc_id'].dataType.simpleString()}, toxic int, lang string, bins binary")
     order = F.xxhash64("id")
     rows = keep(rows.withColumn("order", order).withColumn("left_out", F.pmod(order, F.lit(5)) == 4), "labelled")
-    total = sum(numbers.values())
     return fitted(rows, numbers.get(1, 0) / total if total else 0.0)
 
 

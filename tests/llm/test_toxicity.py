@@ -83,3 +83,35 @@ def test_every_labelled_row_is_learned_from(spark, monkeypatch):
     assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(6000))]
     got = tx.scored(frame, model, ["doc_id"]).collect()
     assert all((r._score >= 0.5) == (r.doc_id % 20 == 0) for r in got)
+
+
+def test_texts_without_a_label_stay_where_they_are(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 1) for i in [None, *range(4000)]], SCHEMA).select("doc_id", "lang", "text")
+    marked = spark.createDataFrame([(i, 1) for i in range(0, 4000, 100)], "_id long, _toxic int")
+    found = [r.doc_id for r in tx.maybe_marked(docs, marked, 40).collect()]
+    assert set(range(0, 4000, 100)) <= set(found) and len(found) == len(set(found)) < 60
+
+
+def test_shards_are_dealt_out_once(spark, monkeypatch):
+    monkeypatch.setattr(tx, "CHUNK", 10)
+    seen, before = [], tx.after_round
+    monkeypatch.setattr(tx, "after_round", lambda rows, *rest: seen.append((rows, rows.storageLevel.useDisk)) or before(rows, *rest))
+    docs = [(i, f"word{i % 7} plain text" if i % 3 else "odd nasty mark", "en", "s", 1) for i in range(100)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(100)], "doc_id long, quality int, toxic int")
+    tx.learned(spark.createDataFrame(docs, SCHEMA), labels)
+    assert len(seen) == tx.ROUNDS and all(rows is seen[0][0] and kept for rows, kept in seen)
+    assert not seen[0][0].storageLevel.useDisk  # released
+
+
+def test_bins_are_kept_whole():
+    bins = np.random.default_rng(1).integers(0, tx.BINS, (1000, 3)).astype(np.int32)
+    bins[0] = tx.BINS - 1
+    assert (tx.bins_of(tx.bytes_of(bins)) == bins).all() and len(tx.bytes_of(bins)) < 6200
+    assert tx.bins_of(tx.bytes_of(bins[:0])).shape == (0, 3)
+
+
+def test_a_batch_without_words_is_learned_from():
+    state = tx.begun()
+    before = state["embeddings"].copy()
+    tx.descend(state, [np.zeros((0, 3), np.int32)], np.ones(1), np.random.default_rng(1))
+    assert (state["embeddings"] == before).all() and state["bias"][0] > 0
