@@ -60,7 +60,7 @@ def w3_named(spark, d):
 
 def w4(spark, d):
     i = src.intervals(spark, d)
-    return iv.significant_overlap(i, iv.shared_regions(i), ["meeting_id", "interval_id"]).select(
+    return iv.significant_overlap(i, iv.shared_regions(i, named_from_ms=iv.MIN_REGION_MS), ["meeting_id", "interval_id"]).select(
         "interval_id", "shared_ms", "ov_start", "ov_end", F.array_join("speakers", ",").alias("speakers")
     )
 

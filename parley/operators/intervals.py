@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from parley.plans.carry import dealt
+from parley.plans.kept import keep
 from parley.plans.slabs import SLAB_MS, Run, islands, running, side_by_side, slab_of
 
 BIN_MS = 120_000
+#: Shared time shorter than this is no overlap of speakers.
+MIN_REGION_MS = 250
 DEFAULT_SPEAKER = "SPEAKER_00"
 
 
@@ -214,16 +217,36 @@ def mark_overlaps(
     )
 
 
-def shared_regions(intervals: DataFrame, bin_ms: int = BIN_MS) -> DataFrame:
-    """Atomic regions with two or more speakers, with the speakers in interval order."""
-    regions = atomic_regions(intervals, ["meeting_id"]).where("n_speakers >= 2")
+def shared_regions(intervals: DataFrame, bin_ms: int = BIN_MS, named_from_ms: int = 0) -> DataFrame:
+    """Atomic regions with two or more speakers, with the speakers in interval order.
+
+    The denser turns lie, the more regions there are, and most are short: those shorter than `named_from_ms` get no
+    list of speakers (null).  The regions are written, as they are read several times.
+    """
     ids = ["meeting_id", "region_start", "region_end"]
+    regions = keep(atomic_regions(intervals, ["meeting_id"]).where("n_speakers >= 2").select(*ids), "regions")
+    lasts = F.col("region_end") - F.col("region_start") >= named_from_ms
     # Regions are named once each, so their speakers are met once each.
     named = heard_at(
-        regions.withColumn("mid", F.floor((F.col("region_start") + F.col("region_end")) / 2)), intervals, "mid", ids, bin_ms
+        regions.where(lasts).withColumn("mid", F.floor((F.col("region_start") + F.col("region_end")) / 2)), intervals, "mid", ids, bin_ms
     )
     in_order = F.array_sort(F.collect_list(F.struct("ord", "speaker_id")))
-    return named.groupBy(*ids).agg(F.transform(in_order, lambda x: x["speaker_id"]).alias("region_speakers"))
+    named = named.groupBy(*ids).agg(F.transform(in_order, lambda x: x["speaker_id"]).alias("region_speakers"))
+    brief = regions.where(~lasts & F.col("meeting_id").isNotNull())
+    return keep(named.unionByName(brief, allowMissingColumns=True), "shared")
+
+
+def _heard_next(big: DataFrame) -> DataFrame:
+    """For each of these regions and each speaker of its bin who is still to be heard there: the next region with that
+    speaker, which may be the region itself.
+
+    `big` numbers the regions of a (meeting_id, _bin) as `_k`.
+    """
+    heard = big.select("meeting_id", "_bin", "_k", "region_start", "region_end", F.posexplode("region_speakers").alias("pos", "speaker_id"))
+    one = W.partitionBy("meeting_id", "_bin", "speaker_id").orderBy("_k")
+    heard = heard.withColumn("_first", F.lag("_k", 1, 0).over(one) + 1)
+    heard = heard.withColumn("_k", F.explode(F.sequence("_first", "_k")))
+    return heard.select("meeting_id", "_bin", "_k", "speaker_id", "region_start", "region_end", "pos")
 
 
 def significant_overlap(
@@ -231,26 +254,76 @@ def significant_overlap(
     regions: DataFrame,
     ids: list[str],
     min_overlap_ms: int = 1200,
-    min_region_ms: int = 250,
+    min_region_ms: int = MIN_REGION_MS,
     bin_ms: int = BIN_MS,
 ) -> DataFrame:
     """Windows in which speakers truly share time, with the speakers in order of appearance.
 
-    `regions` are the `shared_regions` of the turns.  Also gives the outer edge of the shared
-    time (any shared piece, however short).  One join and two aggregations.
+    `regions` are the `shared_regions` of the turns, named from `min_region_ms` on.  Also gives the outer edge of the
+    shared time (any shared piece, however short).
+
+    No pairs of windows and regions are formed.  Regions share no time, so what a window holds is the difference of
+    running sums at its edges, but for the regions that lie across an edge; and a window meets a speaker at the first
+    region from its start on in which that speaker is heard, once for each bin it touches.
     """
-    w = windows.select(*ids, F.col("start_ms").alias("w_start"), F.col("end_ms").alias("w_end"))
-    shared = overlap_join(
-        w, regions, ["meeting_id"], ("w_start", "w_end"), ("region_start", "region_end"), bin_ms
-    ).select("*", F.posexplode("region_speakers").alias("pos", "speaker_id"))
-    big = F.col("overlap_ms") >= min_region_ms
-    per_speaker = shared.groupBy(*ids, "speaker_id").agg(
-        F.sum(F.when(big & (F.col("pos") == 0), F.col("overlap_ms")).otherwise(0)).alias("ms"),
-        F.min(F.greatest("w_start", "region_start")).alias("a"),
-        F.max(F.least("w_end", "region_end")).alias("b"),
-        F.min(F.when(big, F.struct("region_start", "pos"))).alias("seen"),
+    min_region_ms = max(1, min_region_ms)  # what only touches shares no time
+    start, end = F.col("region_start"), F.col("region_end")
+    big = end - start >= min_region_ms
+    shared = regions.where(F.col("meeting_id").isNotNull()).withColumn("_bin", F.floor(start / bin_ms))
+    count = F.sum(big.cast("int")).over(W.partitionBy("meeting_id", "_bin").orderBy("region_start"))
+    shared = shared.withColumn("_k", F.when(big, count))
+
+    w = windows.select(*ids, F.col("start_ms").cast("long").alias("w_start"), F.col("end_ms").cast("long").alias("w_end"))
+    w = w.where((F.col("w_start") < F.col("w_end")) & F.col("meeting_id").isNotNull())
+    edge = lambda c, no: F.struct(F.col(c).alias("_at"), F.lit(no).alias("_edge"))
+    edges = w.select("*", F.inline(F.array(edge("w_start", 0), edge("w_end", 1))))
+    # Regions come after the edges of the same time, so that the last one before an edge begins before it.
+    spans = shared.select("meeting_id", start.alias("_at"), F.lit(2).alias("_edge"), "region_start", "region_end", "_bin", "_k")
+    line = edges.unionByName(spans, allowMissingColumns=True).withColumn("_slab", slab_of(F.col("_at")))
+    region, place = F.col("_edge") == 2, F.struct("region_start", "region_end", "_bin", "_k")
+    line = running(
+        line, ["meeting_id"], "_slab", ["_at", "_edge"],
+        [
+            Run("_sum", "sum", F.coalesce(F.when(F.col("_k").isNotNull(), end - start), F.lit(0))),
+            Run("_last", "last", F.when(region, place)),
+            Run("_next", "next", F.when(region, start)),
+            Run("_big", "next", F.when(F.col("_k").isNotNull(), place)),
+        ],
+    )
+    line = keep(line.where(~region).select(*ids, "w_start", "w_end", "_edge", "_sum", "_last", "_next", "_big"), "edges")
+
+    w0, w1, r0, r1 = F.col("w_start"), F.col("w_end"), F.col("_last.region_start"), F.col("_last.region_end")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    # The region across the start, and what of it lies in the window; none of it counts in a running sum.
+    head = F.when(r1 > w0, F.least(r1, w1) - w0)
+    counts = zero(head) >= min_region_ms
+    opening = zero(F.when(counts, head)) - F.col("_sum") + zero(F.when((r1 > w1) & F.col("_last._k").isNotNull(), r1 - r0))
+    tail = F.when((r1 > w1) & (r0 >= w0) & (w1 - r0 >= min_region_ms), w1 - r0)
+    closing = zero(tail) + F.col("_sum") - zero(F.when((r1 > w1) & F.col("_last._k").isNotNull(), r1 - r0))
+    starts = F.col("_edge") == 0
+    times = line.select(
+        *ids,
+        F.lit(False).alias("_named"),
+        F.when(starts, opening).otherwise(closing).alias("ms"),
+        F.when(starts, F.when(r1 > w0, w0).when(F.col("_next") < w1, F.col("_next"))).alias("a"),
+        F.when(~starts & (r1 > w0), F.least(r1, w1)).alias("b"),
+    )
+    # Speakers are looked up at the first long region of the window, and at the first one of each later bin.
+    asks = line.where(starts).withColumn("_from", F.when(head.isNotNull() & counts, F.col("_last")).otherwise(F.col("_big")))
+    asks = asks.where(F.least(F.col("_from.region_end"), w1) - F.greatest(F.col("_from.region_start"), w0) >= min_region_ms)
+    till = F.floor((w1 - 1) / bin_ms)
+    later = F.when(till > F.col("_from._bin"), F.sequence(F.col("_from._bin") + 1, till)).otherwise(F.array().cast("array<bigint>"))
+    at = lambda b, k: F.struct(b.alias("_bin"), k.cast("bigint").alias("_k"))
+    places = F.concat(F.array(at(F.col("_from._bin"), F.col("_from._k"))), F.transform(later, lambda b: at(b, F.lit(1))))
+    asks = asks.select(*ids, "w_start", "w_end", F.inline(places))
+    met = side_by_side(asks, _heard_next(shared.where(F.col("_k").isNotNull())), ["meeting_id", "_bin", "_k"])
+    people = met.where(F.least(end, w1) - F.greatest(start, w0) >= min_region_ms).select(
+        *ids, F.lit(True).alias("_named"), "speaker_id", F.struct("region_start", "pos").alias("seen")
+    )
+    per_speaker = times.unionByName(people, allowMissingColumns=True).groupBy(*ids, "_named", "speaker_id").agg(
+        F.sum("ms").alias("ms"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("seen").alias("seen")
     )
-    seen = F.collect_list(F.when(F.col("seen").isNotNull(), F.struct("seen", "speaker_id")))
+    seen = F.collect_list(F.when(F.col("_named"), F.struct("seen", "speaker_id")))
     return (
         per_speaker.groupBy(*ids)
         .agg(
@@ -259,7 +332,7 @@ def significant_overlap(
             F.max("b").alias("ov_end"),
             F.transform(F.array_sort(seen), lambda x: x["speaker_id"]).alias("speakers"),
         )
-        .where(F.col("shared_ms") >= min_overlap_ms)
+        .where((F.col("shared_ms") >= min_overlap_ms) & F.col("ov_start").isNotNull())
     )
 
 

@@ -46,6 +46,71 @@ def test_pairs_of_texts_are_dealt_out(spark, tmp_path):
     assert filled(pairs) >= 8 and pairs.count() == 480
 
 
+def shared_in_pairs(turns, least_ms, least_region_ms):
+    """For each turn as a window: shared time, its edges and the speakers, from every pair of a turn and a region."""
+    live = [t for t in turns if None not in (t[0], t[2], t[3]) and t[2] < t[3]]
+    found = {}
+    for m in {t[0] for t in live}:
+        mine = [t for t in live if t[0] == m]
+        cuts = sorted({t[2] for t in mine} | {t[3] for t in mine})
+        for r0, r1 in zip(cuts, cuts[1:]):
+            first = {}
+            for _, who, s, e, n in mine:
+                if s <= r0 and r1 <= e:
+                    ord = (s, e, who is not None, who or "", n)
+                    first[who] = min(first.get(who, ord), ord)
+            in_order = sorted(first, key=first.get)
+            for _, _, w0, w1, n in mine if len(first) > 1 else ():
+                a, b = max(r0, w0), min(r1, w1)
+                if a < b:
+                    ms, lows, highs, seen = found.setdefault((m, n), ([], [], [], {}))
+                    lows.append(a)
+                    highs.append(b)
+                    if b - a >= least_region_ms:
+                        ms.append(b - a)
+                        for pos, who in enumerate(in_order):
+                            seen[who] = min(seen.get(who, (r0, pos)), (r0, pos))
+    return sorted((*k, sum(ms), min(lows), max(highs), sorted(seen, key=seen.get)) for k, (ms, lows, highs, seen) in found.items() if sum(ms) >= least_ms)
+
+
+@pytest.mark.parametrize(("longest", "bin_ms"), [(900, 300), (900, 120_000), (20_000, 4_000)])
+def test_shared_time_is_that_of_the_pairs(spark, longest, bin_ms):
+    """Turns that come twice under one id count twice; null meetings and times are left out."""
+    rows = [(["m", "n", None][k % 17 % 3], ["A", "B", "C", None][(k * 7) % 4], (k * 37 * 11) % 6000, (k * 37 * 11) % 6000 + (k * 131) % longest - 5, k // 2) for k in range(90)]
+    rows += [*rows[:8], ("m", "A", None, 10, 900), ("m", "A", 5, None, 901)]
+    turns = spark.createDataFrame(rows, "meeting_id string, speaker_id string, start_ms int, end_ms int, interval_id long")
+    got = iv.significant_overlap(turns, iv.shared_regions(turns, named_from_ms=100), ["meeting_id", "interval_id"], 300, 100, bin_ms)
+    want = shared_in_pairs(rows, 300, 100)
+    assert len(want) > 5 and sorted(map(tuple, got.collect())) == want
+
+
+def rows_of_joins(df):
+    df.collect()
+    rows, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if kind.endswith("JoinExec"):
+            rows += node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+def test_windows_are_not_paired_with_every_region_they_touch(spark):
+    """Every turn lies over some 400 regions; each speaker in them is met once a bin."""
+    turns = spark.range(400).select(
+        F.lit("m").alias("meeting_id"), F.element_at(F.array(*map(F.lit, "ABC")), (F.col("id") % 3 + 1).cast("int")).alias("speaker_id"),
+        (F.col("id") * 1000).alias("start_ms"), (F.col("id") * 1000 + 200_300).alias("end_ms"), F.col("id").alias("interval_id"),
+    )
+    out = iv.significant_overlap(turns, iv.shared_regions(turns), ["meeting_id", "interval_id"])
+    assert out.count() == 400
+    assert 400 * 3 <= rows_of_joins(out) <= 400 * 3 * 4
+
+
 @pytest.mark.parametrize("bin_ms", [700, 600_000])
 def test_time_shared_with_names_is_that_of_the_pairs(spark, bin_ms):
     def some(seed):
