@@ -31,7 +31,7 @@ def w10(spark, d):
         t.alias("word"), at(i).alias("start_ms"), at(i + 1).alias("end_ms")))).alias("pos", "x")).select(
         "meeting_id", "conv_id", "turn", "pos", "x.*")
     i = src.intervals(spark, d)
-    return rc.speaker_runs(w, i, iv.shared_regions(i), ["meeting_id", "conv_id", "turn"]).select(
+    return rc.speaker_runs(w, i, iv.shared_regions(i, named_from_ms=iv.MIN_REGION_MS), ["meeting_id", "conv_id", "turn"]).select(
         "conv_id", "turn", "speaker_id", "start_ms", "end_ms", "text", "is_overlap")
 
 
